@@ -40,4 +40,29 @@ select doc_id, size, source_size, target, (size * (whole + case when more then 1
 """
 )
 
-ORACLES = {"op10_mixing": MIXING}
+DECONTAMINATION = r"""
+with tok as (select 'd' as kind, doc_id as id, [x for x in regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') if x <> ''] as w from documents
+  union all select 'i', item_id, [x for x in regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') if x <> ''] from benchmark),
+cut as (select kind, id, unnest(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)])) as shingle from tok where len(w) > 0),
+item as (select id as item_id, shingle, count(*) over (partition by id) as n_item from cut where kind = 'i'),
+hit as (select c.id as doc_id, i.item_id, i.n_item, count(*) as n_shared from cut c join item i using (shingle) where c.kind = 'd' group by all)
+select doc_id, item_id, n_item, n_shared, round(n_shared::double / n_item, 6) as containment from hit where n_shared >= n_item * 0.8 - 1e-9
+"""
+
+CHAT = r"""
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+shown as (select *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '#', '&#35;') as safe, replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '#', '&#35;'), chr(10), '&#10;') as safe_role from rows)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('<turn>### ') + length(safe_role) + 1 + length(safe) + length('</turn>') + 1)::bigint as formatted_chars
+from shown group by conv_id
+"""
+
+EXACT_DEDUP = """
+with d as (select *, coalesce(text, '') as t, row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) as nth from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, nth = 1 as kept, sha256(t) as text_sha256 from d
+"""
+
+ORACLES = {"op4_decontamination": DECONTAMINATION, "op7_chat_format": CHAT, "op8_exact_dedup": EXACT_DEDUP, "op10_mixing": MIXING}
