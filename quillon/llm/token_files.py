@@ -20,7 +20,9 @@ id are ordered by a hash of their text; extra columns are ignored; an empty tabl
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +36,36 @@ from .base import materialize, shared_path
 LENGTH = 2048
 SEQUENCES_PER_BATCH = 64
 CACHE_PIECES = 400_000
+GROUP_CHARS = 1 << 20
 END_ID = 2
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
+class _Known(dict):
+    """Pieces seen in two groups of texts or more; others are looked up in `once`."""
+
+    once: dict[bytes, bytes]
+
+    def __missing__(self, piece: bytes) -> bytes:
+        return self.once[piece]
+
+
 class PieceEncoder:
-    """Ids of texts as little-endian bytes, by way of cached white-space pieces."""
+    """Ids of texts as little-endian bytes, by way of cached white-space pieces.
+
+    Most distinct pieces occur once, so a piece enters the lasting cache when it comes a second time;
+    both caches are emptied, between groups of texts, when they are full."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.cache = Tokenizer.from_file(path), np.dtype(dtype), {}
+        self.tokenizer, self.dtype, self.known, self.once = Tokenizer.from_file(path), np.dtype(dtype), _Known(), {}
+        self.code = {1: "B", 2: "H", 4: "I"}[self.dtype.itemsize]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {m: self._ids([m])[0] for m in (b".", b",")}
 
     @classmethod
     def get(cls, path: str, dtype: str) -> PieceEncoder:
@@ -53,22 +73,69 @@ class PieceEncoder:
             _encoders[path, dtype] = cls(path, dtype)
         return _encoders[path, dtype]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.cache) + len(pieces) > CACHE_PIECES:
-            self.cache.clear()
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        self.cache.update((p, np.asarray(e.ids, self.dtype).tobytes()) for p, e in zip(pieces, found, strict=True))
-
-    def encode(self, text: str) -> bytes:
-        raw = text.encode("utf-8", "surrogatepass")
-        # The tokenizer lowers letters itself; doing so first makes pieces alike, but special tokens are exact.
-        pieces = raw.split() if b"<|" in raw else raw.lower().split()
-        missing = list({p for p in pieces if p not in self.cache})
-        for i in range(0, len(missing), CACHE_PIECES // 4):
-            self._learn(missing[i : i + CACHE_PIECES // 4])
-        if any(p not in self.cache for p in missing):  # more distinct pieces in one text than the cache holds
-            return b"".join(np.asarray(e.ids, self.dtype).tobytes() for e in (self.tokenizer.encode(p.decode(), add_special_tokens=False) for p in pieces))
-        return b"".join(map(self.cache.__getitem__, pieces))
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Words of letters only are encoded many at a time, with spaces between: each then ends with
+        the one token of its that ends a word. Other pieces are encoded one by one."""
+        texts = [p.decode() for p in pieces]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        out: list[bytes] = [b""] * len(pieces)
+        lists = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for which, e in zip(lists, self._encode([" ".join([texts[i] for i in w]) for w in lists]), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+            if len(ends) != len(which):
+                out_of = [np.array(x.ids, self.dtype).tobytes() for x in self._encode([texts[i] for i in which])]
+            else:
+                raw, ends = ids.tobytes(), ends.tolist()
+                out_of = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            for i, x in zip(which, out_of, strict=True):
+                out[i] = x
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for i, e in zip(rest, self._encode([texts[i] for i in rest]), strict=True):
+            out[i] = array(self.code, e.ids).tobytes()
+        return out
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _learn(self, pieces: set[bytes], marked: bool = True) -> None:
+        """Make all pieces known, lastingly those that were seen before."""
+        again = pieces & self.once.keys()
+        self.known.update((p, self.once[p]) for p in again)
+        new, stems = pieces - again, {}
+        if marked:  # a full stop or comma after an ASCII letter is a token of its own
+            stems = {p: p[:-1] for p in new if p[-1] in b".," and len(p) > 1 and p[-2:-1].isalpha()}
+            self._learn({s for s in stems.values() if s not in self.known}, False)
+        new = [p for p in new if p not in stems]
+        self.once.update(zip(new, self._ids(new), strict=True))
+        self.once.update((p, self.known[s] + self.marks[p[-1:]]) for p, s in stems.items())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        if len(self.once) > CACHE_PIECES:
+            self.once = {}
+        self.known.once = self.once
+        split = []
+        for text in texts:
+            raw = text.encode("utf-8")
+            # The tokenizer lowers letters itself; doing so first makes pieces alike, but special tokens are exact.
+            split.append(raw.split() if b"<|" in raw else raw.lower().split())
+        self._learn(set().union(*split) - self.known.keys())
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+
+
+def _groups(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in groups of about GROUP_CHARS characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _schemas(dtype: str, length: int) -> tuple[pa.Schema, pa.Schema]:
@@ -130,11 +197,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = L
                 sink, docs_sink = (fs.open_output_stream(f"{base}/{kind}-{name}") for kind in ("ids", "docs"))
                 packer, index = _Packer(sink, ids_schema, dtype, length), pa.ipc.new_file(docs_sink, docs_schema)
             offsets, counts = [], []
-            for text in batch.column("text"):
-                ids = encoder.encode(text.as_py() or "") + end
-                packer.add(ids)
+            for ids in chain.from_iterable(map(encoder.encode, _groups(batch.column("text")))):
+                packer.add(ids + end)
                 offsets.append(total)
-                counts.append(len(ids) // encoder.dtype.itemsize)
+                counts.append(len(ids) // encoder.dtype.itemsize + 1)
                 total += counts[-1]
             n_docs += len(counts)
             index.write_batch(pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], schema=docs_schema))
