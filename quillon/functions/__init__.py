@@ -1 +1 @@
-"""functions"""
+"""Column functions for cells, lists, ranges and casts."""

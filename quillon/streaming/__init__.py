@@ -1 +1 @@
-"""streaming"""
+"""Keyed tables as streams."""
