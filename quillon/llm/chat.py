@@ -1,8 +1,8 @@
 """Chat formatting of reply trees.
 
 Messages form trees by parent links. Each round of a self-join doubles the distance of a jump link, so
-a tree of depth d takes log2(d) rounds, and every round's table has one row a message; along the
-way each message gains its root, its depth and the summed score of its path. Leaves are ranked in
+a tree of depth d takes log2(d) rounds, and a round's table has one row for each message that
+hasn't reached its root; along the way each message gains its depth and the summed score of its path. Leaves are ranked in
 their tree by path score; the messages of a chosen path are found from its leaf by the same
 jump tables, longest jumps first. A path is then formatted as one conversation.
 
@@ -47,11 +47,11 @@ def chain(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "message_id", parent.alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def _jump(links: DataFrame) -> DataFrame:
-    """Links (conv_id, message_id, up, gain, steps) to twice the distance."""
-    far = links.select(F.col("conv_id").alias("c"), F.col("message_id").alias("m"), F.col("up").alias("up2"), F.col("gain").alias("gain2"), F.col("steps").alias("steps2"))
-    joined = links.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")), "left")
-    return joined.select("conv_id", "message_id", F.col("up2").alias("up"), (F.col("gain") + F.coalesce("gain2", F.lit(0.0))).alias("gain"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
+def _jump(active: DataFrame, done: DataFrame) -> DataFrame:
+    """Links (conv_id, message_id, up, gain, steps) that have an upper end, to twice the distance."""
+    far = active.unionByName(done).select(F.col("conv_id").alias("c"), F.col("message_id").alias("m"), F.col("up").alias("up2"), F.col("gain").alias("gain2"), F.col("steps").alias("steps2"))
+    joined = active.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")))
+    return joined.select("conv_id", "message_id", F.col("up2").alias("up"), (F.col("gain") + F.col("gain2")).alias("gain"), (F.col("steps") + F.col("steps2")).alias("steps"))
 
 
 def paths(messages: DataFrame, best: int = 1, max_rounds: int = 40) -> DataFrame:
@@ -63,21 +63,20 @@ def paths(messages: DataFrame, best: int = 1, max_rounds: int = 40) -> DataFrame
     ids = messages.select(F.col("conv_id").alias("c"), F.col("message_id").alias("m"))
     linked = messages.join(ids, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent_id") == F.col("m")), "left")
     links = materialize(linked.select("conv_id", "message_id", F.col("m").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("gain"), F.lit(1).cast("long").alias("steps")), "chat-links")
-    jumps = []
-    for _ in range(max_rounds):
-        if links.filter("up is not null").isEmpty():
-            break
-        jumps.append(links)
-        links = materialize(_jump(links), "chat-jumps")
+    jumps, active, done = [], links.filter("up is not null"), links.filter("up is null")
+    while len(jumps) < max_rounds and not active.isEmpty():
+        jumps.append(active)
+        links = materialize(_jump(active, done), "chat-jumps")
+        active, done = links.filter("up is not null"), done.unionByName(links.filter("up is null"))
     # What still has an upper end after the last round hangs on a cycle.
-    whole = links.filter("up is null").drop("up")
+    whole = done.drop("up")
     parents = linked.select(F.col("conv_id").alias("c"), F.col("m")).filter("m is not null").distinct()
     leaves = whole.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message_id") == F.col("m")), "left_anti")
     rank = Window.partitionBy("conv_id").orderBy(F.col("gain").desc(), F.col("steps").desc(), "message_id")
     chosen = leaves.withColumn("path", F.row_number().over(rank)).filter(F.col("path") <= best)
     on_path = materialize(chosen.select("conv_id", "path", "message_id", (F.col("steps") - 1).alias("step")), "chat-leaves")
     for k in reversed(range(len(jumps))):
-        up = jumps[k].filter("up is not null").select(F.col("conv_id").alias("c"), F.col("message_id").alias("m"), "up")
+        up = jumps[k].select(F.col("conv_id").alias("c"), F.col("message_id").alias("m"), "up")
         higher = on_path.join(up, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message_id") == F.col("m")))
         higher = higher.select("conv_id", "path", F.col("up").alias("message_id"), (F.col("step") - (1 << k)).alias("step"))
         on_path = materialize(on_path.unionByName(higher), "chat-path")
