@@ -65,9 +65,13 @@ def summary(t: KeyedTable) -> DataFrame:
     return t.df.agg(F.count("*").alias("size")).select("size", F.lit(t.key).alias("key"), F.lit("|".join(t.fields)).alias("fields"), F.lit(t.shape).alias("shape"))
 
 
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def trace_summary(jobs: DataFrame) -> DataFrame:
     """jobs: task, start, end (timestamps). Calls, mean and total seconds of each task, cut to whole ones."""
-    seconds = (F.unix_micros("end") - F.unix_micros("start")) / 1e6
+    seconds = (_micros("end") - _micros("start")) / 1e6
     return jobs.groupBy("task").agg(F.count("*").alias("calls"), F.floor(F.avg(seconds)).cast("bigint").alias("avg"), F.floor(F.sum(seconds)).cast("bigint").alias("total"))
 
 
@@ -76,7 +80,7 @@ def trace_times(jobs: DataFrame, by: str | None = None, drop_gaps: bool = True)
     times in which no job runs, are taken out of both."""
     order = Window.partitionBy(*([by] if by else [])).orderBy("start", "end")
     earlier, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*([by] if by else []))
-    micros = jobs.withColumns({"__s": F.unix_micros("start"), "__e": F.unix_micros("end")})
+    micros = jobs.withColumns({"__s": _micros("start"), "__e": _micros("end")})
     first = F.min("__s").over(everything)
     gap = F.greatest(F.col("__s") - F.coalesce(F.max("__e").over(earlier), F.col("__s")), F.lit(0))
     out = micros.withColumns({"__first": first, "__gap": gap})

@@ -59,10 +59,10 @@ class KnowledgeBase:
     identifiers: dict[str, list[KeyedTable]] = field(default_factory=dict)
     lists: dict[str, DataFrame] = field(default_factory=dict)
 
-    def register(self, name: str, source: Source, identifiers: Sequence[KeyedTable] = (), description: str = "", **options) -> None:
+    def register(self, name: str, table: Source, identifiers: Sequence[KeyedTable] = (), description: str = "", **options) -> None:
         """A relation from a table or a function that makes one, when first asked for. options go
         to graph.edges."""
-        self.relations[name] = Relation(source, options | {"description": description})
+        self.relations[name] = Relation(table, options | {"description": description})
         self.identifiers[name] = list(identifiers)
 
     def table(self, name: str) -> KeyedTable:

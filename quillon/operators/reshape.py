@@ -147,7 +147,7 @@ def zip_key(t: KeyedTable, field: str, sep: str = ":", merge: bool = True) -> Ke
 def remove_duplicates(t: KeyedTable) -> KeyedTable:
     """Distinct replicates of each row, in order."""
     df = t.df.withColumn("__r", F.array_distinct(replicates(t.fields)))
-    return t.with_df(df.select(quoted(t.key), *[F.transform("__r", lambda r, i=i: r[f"f{i}"]).alias(f) for i, f in enumerate(t.fields)], ORD))
+    return t.with_df(df.select(quoted(t.key), *[part(F.col("__r"), i).alias(f) for i, f in enumerate(t.fields)], ORD))
 
 
 def melt(t: KeyedTable, value: str, column: str) -> KeyedTable:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +17,32 @@ class NoPath(LookupError):
     """No chain of tables leads from one name to the other."""
 
 
+def _finder(schemas: Sequence[Sequence[str]], name: str) -> Callable[[Sequence[str]], bool]:
+    """Whether a schema has a name: exactly, if any schema has it so, else loosely."""
+    exact = any(name in s for s in schemas)
+    return lambda s: name in s if exact else find_name(s, name) is not None
+
+
+def _shared(a: Sequence[str], b: Sequence[str], besides: str | None = None) -> str | None:
+    """A name of a that b has too, exactly rather than loosely."""
+    names = [n for n in a if n != besides]
+    return next((n for n in names if n in b), None) or next((n for n in names if find_name(b, n)), None)
+
+
 def path(schemas: Sequence[Sequence[str]], source: str, target: str, max_tables: int | None = 3) -> list[int]:
     """The numbers of the tables of a shortest chain from source to target, each sharing a name with
     the next; earlier tables first."""
-    start = [[i] for i, s in enumerate(schemas) if find_name(s, source)]
+    starts, ends = _finder(schemas, source), _finder(schemas, target)
+    start = [[i] for i, s in enumerate(schemas) if starts(s)]
     todo, seen = deque(start), {p[0] for p in start}
     while todo:
         chain = todo.popleft()
-        if find_name(schemas[chain[-1]], target):
+        if ends(schemas[chain[-1]]):
             return chain
         if max_tables is not None and len(chain) >= max_tables:
             continue
         for i, s in enumerate(schemas):
-            if i not in seen and any(find_name(schemas[chain[-1]], n) for n in s):
+            if i not in seen and _shared(schemas[chain[-1]], s):
                 seen.add(i)
                 todo.append([*chain, i])
     raise NoPath(f"no path from {source!r} to {target!r}")
@@ -43,19 +56,19 @@ def _pairs(t: KeyedTable, source: str, target: str) -> DataFrame:
 def translation_index(tables: Sequence[KeyedTable], source: str | None, target: str, max_tables: int | None = 3) -> DataFrame:
     """value, target along the shortest path; first matches win. source None: from any column."""
     if source is None:
-        t = next((t for t in tables if t.has(target)), None)
+        has = _finder([t.all_fields for t in tables], target)
+        t = next((t for t in tables if has(t.all_fields)), None)
         if t is None:
             raise NoPath(f"no table has {target!r}")
         return index(t, t.identify(target))
     chain = [tables[i] for i in path([t.all_fields for t in tables], source, target, max_tables)]
     here, out = source, None
     for n, t in enumerate(chain):
-        there = target if n == len(chain) - 1 else next(f for f in t.all_fields if chain[n + 1].has(f) and not (f == here and len(t.all_fields) > 1))
+        there = target if n == len(chain) - 1 else _shared(t.all_fields, chain[n + 1].all_fields, t.identify(here)) or here
         # On the way all targets count, ranked by order; at the end the first one stays.
         step = value_pairs(t, t.identify(there), [t.identify(here)]).select("value", "target", "order")
         if out is None:
-            out = step.select("value", "target", F.array(F.struct(F.xxhash64(F.lit(0)).alias("z"))).alias("__none"), F.col("order").alias("__o0"))
-            out = out.drop("__none")
+            out = step.select("value", "target", F.col("order").alias("__o0"))
         else:
             nxt = step.select(F.col("value").alias("__v"), F.col("target").alias("__t"), F.col("order").alias(f"__o{n}"))
             out = out.join(nxt, F.col("target") == F.col("__v")).drop("target", "__v").withColumnRenamed("__t", "target")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,3 +99,13 @@ def upsert(t: KeyedTable, other: KeyedTable) -> KeyedTable:
 
 def ordered(t: KeyedTable) -> DataFrame:
     return t.df.orderBy(ORD)
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a folder of
+    this machine where that is unset. It is removed when the application ends."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = f"{(found or f'file://{tempfile.mkdtemp(prefix="spark-quillon-")}').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at, fs = _file(spark, path)
+    fs.deleteOnExit(at)
+    return path
