@@ -132,7 +132,8 @@ def paste(tables: Sequence[KeyedTable], all_match: bool = False, same_fields: bo
         columns = {}
         for n, own in enumerate(names):
             for i, f in enumerate(own):
-                columns[f if f not in columns else f"{f} ({n})"] = cell(n, i)
+                taken = f.lower() in {c.lower() for c in columns}  # Spark's names don't tell cases apart
+                columns[f"{f} ({n})" if taken else f] = cell(n, i)
     if not double:
         columns = {f: F.array_join(c, "|", "") for f, c in columns.items()}
     df = joined.select(F.col("__k").alias(tables[0].key), *[c.alias(f) for f, c in columns.items()], F.col("__k").alias(ORD))
