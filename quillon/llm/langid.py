@@ -79,6 +79,11 @@ def _letters(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
+def _grams(text: Column, n: int) -> Column:
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
+    return F.transform(starts, lambda i: F.substring(text, i, n))
+
+
 def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
     """counts: unit, lang, n. Log frequencies of the most frequent units, add-half smoothed."""
     totals = counts.groupBy("unit").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "unit").limit(most)
@@ -102,8 +107,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     tables = [_table(words, langs, MAX_WORDS)]
     marked = F.concat(F.lit("\x02"), "unit", F.lit("\x03"))
     for n in range(1, LONGEST + 1):
-        starts = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - (n - 1)))
-        grams = words.select("lang", "n", F.explode(F.transform(starts, lambda i, n=n: F.substring(marked, i, n))).alias("unit"))
+        grams = words.select("lang", "n", F.explode(_grams(marked, n)).alias("unit"))
         tables.append(_table(grams.groupBy("lang", "unit").agg(F.sum("n").alias("n")), langs, MAX_GRAMS))
     return Model(langs, tables)
 

@@ -8,8 +8,8 @@ boundary fingerprints go to the inner side too. So every close pair meets in a s
 
 The upper tree is fitted to a bounded sample (SAMPLE fingerprints by hash order) and deals all
 distinct fingerprints to shards. Each shard goes on splitting as far as it pays and compares
-what is left exactly. It returns a spanning forest of its links, not its pairs, so a group of a million
-near copies gives a million rows at most; components() joins the forests.
+what is left exactly. It returns edges that join what links, a forest rather than all pairs, so a group of
+a million near copies gives a million rows at most; components() joins the forests.
 
 Defined results: null and word-less texts have fingerprint 0 and link like any other; repeated rows
 share a component; rows with a null id get the smallest id of their component, null if it has none;
@@ -116,7 +116,8 @@ def deal(x: np.ndarray, nodes: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _absorb(x: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Spanning forest of a dense set: what a front of points reaches leaves the set at once."""
+    """Edges of a dense set from each point to the one that its component was reached from. What a
+    front of points reaches leaves the set at once, so no pair is looked at twice."""
     left = np.arange(len(x))
     while len(left):
         root, front, left = left[0], left[:1], left[1:]
@@ -172,29 +173,37 @@ def links(prints: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF_ROWS
     return routed.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, fingerprint (hex) and component_id of every row."""
+def _components(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (null if no row of the component has an id) and root (of a component)."""
     rows = materialize(docs.select("doc_id", fingerprint_udf(F.col("text").cast("string")).alias("fp")), "simhash-rows")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
-    edges = links(prints.select("fp"))
-    found = materialize(components(edges), "simhash-roots")
+    found = materialize(components(links(prints.select("fp"))), "simhash-roots")
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
     smallest = members.join(prints, "fp").groupBy("root").agg(F.min("first").alias("component"))
-    named = prints.join(members.join(smallest, "root").select("fp", "component"), "fp", "left")
-    named = materialize(named.select(F.col("fp").alias("of"), F.coalesce("component", "first").alias("component_id")), "simhash-components")
-    joined = rows.join(named, F.col("fp") == F.col("of"))
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = prints.join(members.join(smallest, "root"), "fp", "left")
+    # Without links a component is one fingerprint; with them, `component` knows all its ids.
+    component = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component"))
+    named = materialize(named.select(F.col("fp").alias("of"), component.alias("component_id"), F.coalesce("root", "fp").alias("root")), "simhash-components")
+    return rows.join(named, F.col("fp") == F.col("of")).drop("of")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. doc_id, fingerprint (hex) and component_id of every row."""
+    return _components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, with all columns, one row of each component: the one with the smallest id. Of rows that
-    share that id one stays; rows with a null id stay if their component has no other, one of them."""
-    found = materialize(near_dedup(docs), "simhash-found")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("fingerprint").alias("prints"))
-    kept = materialize(kept, "simhash-kept").withColumnRenamed("doc_id", "__keep")
-    out = docs.join(kept.select("__keep"), docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    if kept.filter("n > 1").isEmpty():
-        return out
-    # Ids are not unique. One row a component and id: a component's id names it, unless it is null.
-    by = out.withColumn("__print", F.when(F.col("doc_id").isNull(), fingerprint_udf(F.col("text").cast("string"))))
-    return by.dropDuplicates(["doc_id", "__print"]).drop("__print")
+    share that id one stays; of a component without ids one row of the smallest fingerprint."""
+    found = materialize(_components(docs), "simhash-found")
+    with_id = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("print", F.lit(None).cast("long"))
+    without = found.filter("component_id is null").groupBy("root").agg(F.min("fp").alias("print"), F.count("*").alias("n"))
+    kept = materialize(with_id.unionByName(without.select(F.lit(None).cast("long").alias("doc_id"), "n", "print")), "simhash-kept")
+    # Only texts of rows without an id are read for their fingerprint here.
+    lone = F.when(F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.withColumn("__print", F.when(F.col("doc_id").isNull(), fingerprint_udf(lone)))
+    keys = kept.select(F.col("doc_id").alias("__id"), F.col("print").alias("__of"))
+    out = out.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__print").eqNullSafe(F.col("__of")), "left_semi")
+    if not kept.filter("n > 1").isEmpty():  # some rows share what names them
+        out = out.dropDuplicates(["doc_id", "__print"])
+    return out.drop("__print")
