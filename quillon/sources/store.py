@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import hashlib
 import json
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -101,11 +104,19 @@ def ordered(t: KeyedTable) -> DataFrame:
     return t.df.orderBy(ORD)
 
 
+@functools.cache
+def _own_folder() -> str:
+    """A folder of this machine, for sessions that name no shared one (tests on local[n])."""
+    path = tempfile.mkdtemp(prefix="spark-quillon-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a folder of
-    this machine where that is unset. It is removed when the application ends."""
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. It is removed
+    when the application ends."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(found or f'file://{tempfile.mkdtemp(prefix="spark-quillon-")}').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{(found or _own_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     at, fs = _file(spark, path)
     fs.deleteOnExit(at)
     return path
