@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import replicates
 from ..model import KeyedTable, quoted
 
+#: A power of two.
 SPREAD = 64
 TIERS = 8
 
@@ -27,6 +28,11 @@ def intervals(t: KeyedTable, start: str, end: str | None = None) -> DataFrame:
     return rows.select("key", F.col("r.f0").cast("bigint").alias("start"), F.col("r.f1").cast("bigint").alias("end"))
 
 
+def floor_div(number: str, by: str) -> Column:
+    """Division of SQL whole numbers that rounds down, exact for all bigints."""
+    return F.expr(f"({number} - pmod({number}, {by})) div {by}")
+
+
 def _tier(length: Column, width: int) -> Column:
     """The lowest tier whose bins the length needs SPREAD of at most."""
     out = F.lit(TIERS - 1)
@@ -37,7 +43,7 @@ def _tier(length: Column, width: int) -> Column:
 
 def _binned(df: DataFrame, start: str, end: str, width: int, side: str) -> DataFrame:
     def bins(n: int) -> Column:
-        at = lambda c: F.floor(F.col(c) / (width * SPREAD**n)).cast("bigint")
+        at = lambda c: floor_div(f"`{c}`", str(width * SPREAD**n))
         return F.transform(F.sequence(at(start), at(end)), lambda b: F.struct(F.lit(n).alias("tier"), b.alias("bin")))
 
     own = _tier(F.col(end) - F.col(start), width)
@@ -53,8 +59,7 @@ def overlaps(left: DataFrame, right: DataFrame, width: int, left_on: tuple[str,
     (ls, le), (rs, re_) = left_on, right_on
     a, b = _binned(left, ls, le, width, "l"), _binned(right, rs, re_, width, "r")
     joined = a.join(b, ["__tier", "__bin"])
-    size = F.lit(width) * F.pow(F.lit(SPREAD), F.col("__tier")).cast("bigint")
-    first = F.floor(F.greatest(ls, rs) / size).cast("bigint")
+    first = floor_div(f"greatest(`{ls}`, `{rs}`)", f"shiftleft(bigint({width}), {SPREAD.bit_length() - 1} * __tier)")
     met = (F.col(ls) <= F.col(re_)) & (F.col(le) >= F.col(rs)) & (F.col("__tier") == F.greatest("__own_l", "__own_r")) & (F.col("__bin") == first)
     return joined.filter(met).select(*[quoted(c) for c in (*left.columns, *right.columns)])
 
