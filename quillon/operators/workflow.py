@@ -34,6 +34,7 @@ class Task:
     inputs: Sequence[Input] = ()
     deps: Sequence[tuple[str, dict]] = ()
     lazy: bool = False
+    may_fail: frozenset[str] = frozenset()
 
 
 class MissingInput(ValueError):
@@ -49,12 +50,12 @@ class Workflow:
     name: str
     tasks: dict[str, Task] = field(default_factory=dict)
 
-    def task(self, inputs: Sequence[Input] = (), deps: Sequence[str | tuple[str, dict]] = (), lazy: bool = False) -> Callable:
+    def task(self, inputs: Sequence[Input] = (), deps: Sequence[str | tuple[str, dict]] = (), lazy: bool = False, may_fail: Sequence[str] = ()) -> Callable:
         """Registers run(spark, inputs, *results of deps). A dep may fix inputs of its task; lazy
-        results are not written."""
+        results are not written; a dep that may fail has the result None if it does."""
         def add(run: Callable) -> Callable:
             pairs = [(d, {}) if isinstance(d, str) else d for d in deps]
-            self.tasks[run.__name__] = Task(run.__name__, run, list(inputs), pairs, lazy)
+            self.tasks[run.__name__] = Task(run.__name__, run, list(inputs), pairs, lazy, frozenset(may_fail))
             return run
 
         return add
@@ -81,6 +82,10 @@ class Workflow:
                 values[i.name] = i.default
         return self._job(spark, folder.rstrip("/"), task, values, overrides or {}, {})
 
+    def from_json(self, spark: SparkSession, folder: str, saved: str) -> Job:
+        x = json.loads(saved)
+        return self.job(spark, folder, x["task"], **{k: v for k, v in x["inputs"].items() if k in self.all_inputs(x["task"])})
+
     def _job(self, spark: SparkSession, folder: str, name: str, values: dict, overrides: dict, made: dict) -> Job:
         if name in overrides:
             return overrides[name]
@@ -143,7 +148,7 @@ class Job:
     def updated(self) -> bool:
         """Done, and no job it depends on ended later."""
         end = self.info.get("end", 0)
-        return self.done and all(d.task.lazy or (d.updated and d.info.get("end", 0) <= end) for d in self.deps)
+        return self.done and all(d.task.lazy or d.task.name in self.task.may_fail or (d.updated and d.info.get("end", 0) <= end) for d in self.deps)
 
     def clean(self) -> None:
         for p in (self.path, f"{self.path}.json", f"{self.path}.info"):
@@ -179,11 +184,21 @@ class Job:
         """The result. Jobs that are ready run together, `parallel` at a time."""
         sorter = TopologicalSorter({j.digest: [d.digest for d in j.deps] for j in self.order()})
         jobs = {j.digest: j for j in self.order()}
+        users = {d: [j for j in jobs.values() if d in {x.digest for x in j.deps}] for d in jobs}
+
+        def make(digest: str) -> None:
+            job = jobs[digest]
+            try:
+                job._make([jobs[x.digest] for x in job.deps])
+            except Failed:
+                if not users[digest] or any(job.task.name not in u.task.may_fail for u in users[digest]):
+                    raise
+
         sorter.prepare()
         with ThreadPoolExecutor(parallel) as pool:
             while sorter.is_active():
                 ready = sorter.get_ready()
-                for digest, _ in zip(ready, pool.map(lambda d: jobs[d]._make([jobs[x.digest] for x in jobs[d].deps]), ready), strict=True):
+                for digest, _ in zip(ready, pool.map(make, ready), strict=True):
                     sorter.done(digest)
         return jobs[self.digest].result
 
@@ -211,6 +226,13 @@ class Job:
             raise Failed(f"{self.task.name}: {e}") from e
         self.result = self._load()
 
+    def to_json(self) -> str:
+        """The task and all inputs, from which Workflow.from_json makes an equal job."""
+        given = {}
+        for j in self.order():
+            given |= {k: v for k, v in j.inputs.items() if v is not None}
+        return json.dumps({"task": self.task.name, "inputs": given}, sort_keys=True, default=str)
+
     def trace(self) -> DataFrame:
         """task, start and end of all jobs that were made, for aggregate.trace_summary."""
         infos = [i for j in self.order() if (i := j.info)]

@@ -225,6 +225,10 @@ def test_workflow(spark):
     def broken(spark, inputs, df):
         raise RuntimeError("no")
 
+    @w.task(deps=["total", "broken"], may_fail=["broken"])
+    def either(spark, inputs, n, nothing):
+        return [n, nothing]
+
     folder = store.work_path(spark, "wf")
     with pytest.raises(MissingInput):
         w.job(spark, folder, "total")
@@ -240,6 +244,8 @@ def test_workflow(spark):
     with pytest.raises(Failed):
         w.job(spark, folder, "broken").run()
     assert w.job(spark, folder, "broken").status == "error"
+    assert w.job(spark, folder, "either", need="x", n=4).run(parallel=2) == [6, None]
+    assert w.from_json(spark, folder, job.to_json()).digest == job.digest
 
 
 def test_streams(spark):
