@@ -18,7 +18,7 @@ are ignored.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from .base import materialize
 
 MAX_ROWS = 20_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 30_000
+MAX_WORDS = 60_000
+MAX_GRAMS = 20_000
 LONGEST = 5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 80_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -39,37 +39,51 @@ LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass
 class Model:
     """Log frequencies: tables[0] by word, tables[n] by n-gram; each the units' row numbers and a
-    matrix with a column a language."""
+    matrix with a column a language. Unseen words that were scored are kept as further rows."""
 
     langs: list[str]
     tables: list[tuple[dict[str, int], np.ndarray]]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def __getstate__(self) -> dict:
-        return {"langs": self.langs, "tables": self.tables, "cache": {}}
+    def __post_init__(self) -> None:
+        known, logs = self.tables[0] if self.tables else ({}, np.zeros((0, len(self.langs)), np.float32))
+        self.known, self.cached, self.rows = known, {}, np.concatenate([logs, np.zeros((CACHE_WORDS, len(self.langs)), np.float32)])
 
-    def word(self, w: str) -> np.ndarray:
-        rows, logs = self.tables[0]
-        if w in rows:
-            return logs[rows[w]]
+    def __reduce__(self):
+        return Model, (self.langs, self.tables)
+
+    def unseen(self, w: str) -> np.ndarray:
+        """The score of a word that training doesn't have."""
         marked = f"\x02{w}\x03"
         for n in range(min(LONGEST, len(marked)), 0, -1):
             rows, logs = self.tables[n]
             found = [rows[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in rows]
             if found:
-                return logs[found].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return np.add.reduce(logs[found]) / len(found)
+        return np.zeros(len(self.langs), np.float32)
+
+    def _learn(self, words: set[str]) -> None:
+        for w in words:
+            at = self.cached[w] = len(self.known) + len(self.cached)
+            self.rows[at] = self.unseen(w)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        total = np.zeros(len(self.langs))
+        for i in range(0, len(words), CACHE_WORDS // 2):
+            part = words[i : i + CACHE_WORDS // 2]
+            at = list(map(self.known.get, part))
+            others = [w for w, i in zip(part, at, strict=True) if i is None]
+            if len(self.cached) + len(others) > CACHE_WORDS:
+                self.cached = {}
+            self._learn({w for w in others if w not in self.cached})
+            at = [i for i in at if i is not None] + [self.cached[w] for w in others]
+            total += np.add.reduce(self.rows[at], axis=0, dtype=np.float64)
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
         if not words or not self.langs or not (any(map(str.isalpha, words)) or any(map(str.isalpha, text))):
             return UNKNOWN, 0.0
-        missing = [w for w in set(words) if w not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = list(set(words))
-        self.cache.update((w, self.word(w)) for w in missing)
-        total = np.sum(list(map(self.cache.__getitem__, words)), axis=0, dtype=np.float64)
+        total = self.score(words)
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.langs[best], float(share[best] / share.sum())
@@ -121,7 +135,7 @@ def predictor(model: Model, docs: DataFrame):
         use = shared.value
         return pd.DataFrame([use.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return predict
+    return predict.asNondeterministic()  # so that a filter on the result doesn't compute it again
 
 
 def identify(docs: DataFrame, training: DataFrame) -> DataFrame:

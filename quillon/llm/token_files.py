@@ -35,7 +35,7 @@ from .base import materialize, shared_path
 
 LENGTH = 2048
 SEQUENCES_PER_BATCH = 64
-CACHE_PIECES = 400_000
+CACHE_PIECES = 160_000
 GROUP_CHARS = 1 << 20
 END_ID = 2
 
@@ -54,8 +54,9 @@ class _Known(dict):
 class PieceEncoder:
     """Ids of texts as little-endian bytes, by way of cached white-space pieces.
 
-    Most distinct pieces occur once, so a piece enters the lasting cache when it comes a second time;
-    both caches are emptied, between groups of texts, when they are full."""
+    Most distinct pieces occur once, so a piece enters the lasting cache when it comes a second time.
+    Between groups of texts a full cache of new pieces is emptied, and a full lasting cache takes its
+    place, from where pieces that are still in use come back."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
@@ -112,8 +113,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        if len(self.once) > CACHE_PIECES:
+            self.once, self.known = dict(self.known), _Known()
+        elif len(self.once) > CACHE_PIECES:
             self.once = {}
         self.known.once = self.once
         split = []
