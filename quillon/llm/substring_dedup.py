@@ -40,6 +40,7 @@ BLOCK = (WINDOW + 1) // 2
 BATCH_WORDS = 1 << 20
 WORDS_PER_SHARD = 4_000_000
 CHARS_A_WORD = 6
+MAX_BUCKETS = 4096
 FAR = np.iinfo(np.int64).max
 PACKED = "shard int, keys binary, ids binary, rows binary, counts binary, places binary"
 
@@ -74,7 +75,7 @@ class Entries:
     def __init__(self, key: np.ndarray, ids: np.ndarray, rows: np.ndarray, place: np.ndarray):
         self.key, self.ids, self.rows, self.place = key, ids, rows, place
 
-    def __getitem__(self, which: np.ndarray) -> Entries:
+    def __getitem__(self, which: np.ndarray | slice) -> Entries:
         return Entries(self.key[which], self.ids[which], self.rows[which], self.place[which])
 
     def pack(self, shard: int, with_keys: bool) -> dict | None:
@@ -103,6 +104,13 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.diff(np.append(first, len(key)))
 
 
+def _runs(a: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where equal neighbours begin and end."""
+    if len(a):
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        yield from zip(first.tolist(), [*first[1:].tolist(), len(a)], strict=True)
+
+
 def settle_anchors(e: Entries) -> tuple[np.ndarray, np.ndarray]:
     """Which entries are hits, and which must still be compared with other batches. The smallest id
     that has the block aligned is the reference; larger ids hit it, and then it is a hit itself."""
@@ -137,25 +145,36 @@ def _deal(e: Entries, n_shards: int, settle: Callable, short: bool, spread: int)
     e = e[open_]
     shard = (((e.key >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)).astype(np.uint16 if n_shards <= 65536 else np.uint32)
     order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(n_shards + 1))
     key = e.key.astype("<u4") if short else e.key
-    e = Entries(key, e.ids, e.rows, e.place)[order]
-    for s in range(n_shards):
-        if row := e[ends[s] : ends[s + 1]].pack(s, True):
-            yield row
+    e, shard = Entries(key, e.ids, e.rows, e.place)[order], shard[order]
+    for at, end in _runs(shard):
+        yield e[slice(at, end)].pack(int(shard[at]), True)
 
 
-def _collect(payloads: pd.DataFrame, settle: Callable, dtype: str) -> pd.DataFrame:
-    """In a shard: the entries that are hits or marked, a row for each document row."""
+def _collect(payloads: pd.DataFrame, settle: Callable, dtype: str, n_buckets: int) -> pd.DataFrame:
+    """In a shard: the entries that are hits or marked, packed by bucket, a range of hashes of rows."""
     bare = payloads["keys"].map(len) == 0
     e, settled = Entries.unpack(payloads[~bare], dtype), Entries.unpack(payloads[bare].assign(keys=b""), dtype)
     e = e[settle(e)[0]]
-    ids, rows, place = (np.concatenate([getattr(e, c), getattr(settled, c)]) for c in ("ids", "rows", "place"))
+    rows, place = (np.concatenate([getattr(e, c), getattr(settled, c)]) for c in ("rows", "place"))
+    bucket = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n_buckets
+    order = np.lexsort((rows, bucket))
+    rows, place, bucket = rows[order], place[order], bucket[order]
+    out = []
+    for at, end in _runs(bucket):
+        row = Entries(place[at:end], rows[at:end], rows[at:end], place[at:end]).pack(int(bucket[at]), False)
+        out.append((row["shard"], row["rows"], row["counts"], row["places"]))
+    return pd.DataFrame(out, columns=["bucket", "rows", "counts", "places"])
+
+
+def _gather(payloads: pd.DataFrame) -> pd.DataFrame:
+    """In a bucket: all places of each row."""
+    n = [unplanes(c, "<u4") for c in payloads["counts"]]
+    rows = np.concatenate([np.repeat(unplanes(r, "<i8"), k) for r, k in zip(payloads["rows"], n, strict=True)])
+    place = np.concatenate([unplanes(p, "<u4") for p in payloads["places"]])
     order = np.argsort(rows, kind="stable")
-    ids, rows, place = ids[order], rows[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    spans = zip(first, np.append(first[1:], len(rows)), strict=True)
-    return pd.DataFrame({"of": rows[first], "places": [place[a:b].astype("<u4").tobytes() for a, b in spans]})
+    rows, place = rows[order], place[order]
+    return pd.DataFrame([(int(rows[a]), place[a:b].tobytes()) for a, b in _runs(rows)], columns=["of", "found"])
 
 
 def _word_hashes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,8 +249,8 @@ def _windows(n_shards: int) -> Callable:
     return run
 
 
-def _joined_places(found: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(found or []), "<u4")).astype(np.int64)
+def _joined_places(found: bytes | None) -> np.ndarray:
+    return np.unique(np.frombuffer(found or b"", "<u4")).astype(np.int64)
 
 
 def _sha(words: list[bytes]) -> str:
@@ -276,11 +295,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sharded(packed: DataFrame, n_shards: int, settle: Callable, dtype: str) -> DataFrame:
+    n_buckets = min(n_shards, MAX_BUCKETS)
+
     def collect(rows: pd.DataFrame) -> pd.DataFrame:
-        return _collect(rows, settle, dtype)
+        return _collect(rows, settle, dtype, n_buckets)
 
-    found = packed.repartition(n_shards, "shard").groupBy("shard").applyInPandas(collect, "of long, places binary")
-    return found.groupBy("of").agg(F.collect_list("places").alias("found"))
+    found = packed.repartition(n_shards, "shard").groupBy("shard").applyInPandas(collect, "bucket int, rows binary, counts binary, places binary")
+    return found.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_gather, "of long, found binary")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
