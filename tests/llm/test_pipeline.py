@@ -32,3 +32,9 @@ def test_token_output_equals_a_plain_encoding(spark):
     for r in corpus_pipeline.token_output(spark, docs, sf).collect():
         ids = whole.encode(text[r.doc_id], add_special_tokens=False).ids + [2]
         assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+
+
+def test_documents_without_any_label_go_on(spark):
+    rows = [(1, "some words", None), (2, "12 !?", None), (3, None, None), (4, "日本語", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(map(tuple, corpus_pipeline.language(spark, docs, "").collect())) == [rows[0], rows[3]]
