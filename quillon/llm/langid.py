@@ -7,8 +7,9 @@ known ones. The scores of a text add up; the best language wins, its score being
 sums are turned into probabilities.
 
 Fitting: the counts are Spark aggregations over a bounded sample of the labelled rows (MAX_ROWS, in
-order of a hash of id and text), of which the MAX_WORDS most frequent words and MAX_GRAMS most
-frequent grams a length are kept, so the model's size has a bound and it can be sent to all tasks.
+order of a hash of id and text), of which MAX_WORDS words and MAX_GRAMS grams a length are kept, those
+that have the largest share of a language, however few texts that language has. So the model's size has a
+bound and it can be sent to all tasks.
 
 Defined results: `und` with score 0 for a text that is null, has no letter, or when nothing was
 learned; ties between languages go to the first by name; empty tables give no rows; extra columns
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from .base import materialize
 
 MAX_ROWS = 20_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 20_000
+MAX_WORDS = 100_000
+MAX_GRAMS = 30_000
 LONGEST = 5
-CACHE_WORDS = 80_000
+CACHE_WORDS = 40_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -99,9 +100,12 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """counts: unit, lang, n. Log frequencies of the most frequent units, add-half smoothed."""
-    totals = counts.groupBy("unit").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "unit").limit(most)
-    rows = counts.join(totals.select("unit"), "unit").groupBy("unit").pivot("lang", langs).agg(F.sum("n")).na.fill(0).toPandas()
+    """counts: unit, lang, n. Log frequencies, add-half smoothed, of the units with the largest share of
+    a language, so that a common language doesn't crowd out a rare one."""
+    of_lang = counts.groupBy("lang").agg(F.sum("n").alias("of_lang"))  # a row a language
+    shares = counts.join(F.broadcast(of_lang), "lang").groupBy("unit").agg(F.max(F.col("n") / F.col("of_lang")).alias("share"))
+    top = shares.orderBy(F.col("share").desc(), "unit").limit(most)
+    rows = counts.join(top.select("unit"), "unit").groupBy("unit").pivot("lang", langs).agg(F.sum("n")).na.fill(0).toPandas()
     n = rows[langs].to_numpy(np.float64)
     logs = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n)))
     return {unit: i for i, unit in enumerate(rows["unit"])}, logs.astype(np.float32)
