@@ -7,8 +7,9 @@ decoding takes the path with the best sum of channel cost and character-trigram
 restored words join the text's own. Features are the distinct words and their beginnings of PREFIXES
 letters; a logistic regression on the features that tell the classes apart gives the score.
 
-Fitting uses a bounded sample of labelled rows (MAX_ROWS by hash of id) and keeps MAX_FEATURES
-features and MAX_TRIGRAMS trigrams, so the model's size has a bound.
+The trigrams are counted over all documents, labelled or not. The classifier is fitted on a bounded
+sample of labelled rows (MAX_ROWS by hash of id). MAX_FEATURES features and the MAX_TRIGRAMS most
+frequent trigrams are kept, so the model's size has a bound.
 
 Defined results: null and empty texts get the score of a text without features; equal texts get equal
 scores; without labels of both classes every score is 0; ids labelled twice count once, as toxic if any
@@ -137,7 +138,7 @@ class Reader:
         stretches = {w for w in found if len(w) > 3 and REPEATED.fullmatch(w)}
         if SIGN.search(low):
             stretches.update(m.rstrip("0123456789@$!|+(") if not m[-1].isalpha() and not SIGN.search(m.rstrip("0123456789@$!|+(")) else m for m in MIXED.findall(low))
-        stretches.update(m for m in APART.findall(low) if len(set(m)) > 3)
+        stretches.update(m for m in APART.findall(low) if len(set(m[::2])) > 1)
         for s in stretches:
             if s not in found or REPEATED.fullmatch(s):
                 found.update(self._restore(s))
@@ -203,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     marks = materialize(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "toxicity-labels")
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(marks), "doc_id")  # max_rows rows
     rows = materialize(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity-sample")
-    language = learn_language(rows)
+    language = learn_language(docs.select(F.col("text").cast("string").alias("text")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(language)

@@ -194,6 +194,18 @@ def test_reader_takes_any_text(text):
     assert all(0 <= s < e <= len(text) for s, e in secrets.candidates(text))
 
 
+def test_language_of_the_decoder_covers_unlabelled_texts(spark):
+    docs = frame(spark, [(1, "labelled words", None), (2, "a zyxwv here", None), (3, None, None), (None, "qjq", None)])
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert {"zyx", "wv" + toxicity.EDGE, "qjq", "lab"} < set(model.language.threes)
+
+
+def test_spaced_words_of_two_letters_are_decoded():
+    grams = {toxicity.EDGE * 2 + "a": 5, toxicity.EDGE + "as": 5, "ass": 5, "ss" + toxicity.EDGE: 5}
+    assert "ass" in toxicity.Reader(toxicity.Language(grams)).words("an a s s here")
+    assert "ass" not in toxicity.Reader(toxicity.Language(grams)).words("an s s s here")
+
+
 def test_toxicity_of_held_out_texts(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
