@@ -18,7 +18,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_copies
 from .base import materialize
 from .components import components
 
@@ -173,11 +174,11 @@ def links(prints: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF_ROWS
     return routed.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-def _components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (null if no row of the component has an id) and root (of a component)."""
-    rows = materialize(docs.select("doc_id", fingerprint_udf(F.col("text").cast("string")).alias("fp")), "simhash-rows")
+def _components(rows: DataFrame, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows: doc_id, fp; join gives the edges between distinct ones. doc_id, fp, component_id (null if no
+    row of the component has an id) and root (of a component)."""
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
-    found = materialize(components(links(prints.select("fp"))), "simhash-roots")
+    found = materialize(components(join(prints.select("fp"))), "simhash-roots")
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
     smallest = members.join(prints, "fp").groupBy("root").agg(F.min("first").alias("component"))
     named = prints.join(members.join(smallest, "root"), "fp", "left")
@@ -189,19 +190,23 @@ def _components(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. doc_id, fingerprint (hex) and component_id of every row."""
-    return _components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = materialize(docs.select("doc_id", fingerprint_udf(F.col("text").cast("string")).alias("fp")), "simhash-rows")
+    return _components(rows, links).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, with all columns, one row of each component: the one with the smallest id. Of rows that
-    share that id one stays; of a component without ids one row of the smallest fingerprint."""
-    found = materialize(_components(docs), "simhash-found")
+    """docs, with all columns, one row of each component of near copies (near_copies.py: five-word shingles,
+    similarity 0.8 or more): the one with the smallest id. Of rows that share that id one stays; of
+    a component without ids one row of the smallest set."""
+    text = F.col("text").cast("string")
+    rows = materialize(docs.select("doc_id", text.alias("text"), near_copies.sketch_udf(text).alias("s")).select("doc_id", "text", "s.*"), "copies-rows")
+    found = materialize(_components(rows.select("doc_id", "fp"), lambda _: near_copies.links(rows)), "simhash-found")
     with_id = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("print", F.lit(None).cast("long"))
     without = found.filter("component_id is null").groupBy("root").agg(F.min("fp").alias("print"), F.count("*").alias("n"))
     kept = materialize(with_id.unionByName(without.select(F.lit(None).cast("long").alias("doc_id"), "n", "print")), "simhash-kept")
-    # Only texts of rows without an id are read for their fingerprint here.
+    # Only texts of rows without an id are read for their set here.
     lone = F.when(F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.withColumn("__print", F.when(F.col("doc_id").isNull(), fingerprint_udf(lone)))
+    out = docs.withColumn("__print", F.when(F.col("doc_id").isNull(), near_copies.name_udf(lone)))
     keys = kept.select(F.col("doc_id").alias("__id"), F.col("print").alias("__of"))
     out = out.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__print").eqNullSafe(F.col("__of")), "left_semi")
     if not kept.filter("n > 1").isEmpty():  # some rows share what names them

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillon.llm import components, langid, secrets, simhash, substring_dedup, toxicity
+from quillon.llm import components, langid, near_copies, secrets, simhash, substring_dedup, toxicity
 from tests.llm.test_files_and_chat import frame
 
 SMALL = "/root/testdata/sf0.001"
@@ -80,6 +80,28 @@ def test_near_dedup_cases(spark):
     assert simhash.near_dedup(frame(spark, [])).count() == 0
 
 
+def test_keep_one_joins_all_texts_of_similarity_four_fifths(spark):
+    rng, texts = random.Random(3), []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(6, 120))]
+        for _ in range(6):  # chains: each a few words from the last
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    far = [i for i in range(len(texts)) if root[i] < i and (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[root[i]])).bit_count() > 3]
+    assert len(set(root)) < len(texts) and far
+    kept = simhash.keep_one(frame(spark, [(i, t, None) for i, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert near_copies.similar(near_copies.shingles("A b c d e f"), near_copies.shingles("a B  c d e f"))
+
+
 def test_language_of_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
