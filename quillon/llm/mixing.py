@@ -8,8 +8,12 @@ alone. Nothing is sorted but at most 4096 buckets of one source.
 What the boundary bucket leaves of a budget (less than its documents are long) goes to a nested
 threshold over the documents that lie beyond the first one and still fit, ROUNDS times in all.
 
+If rows share the place where the last round ends and some still fit, their ties are refined alike: by
+a hash of the text, and rows of one such hash by a hash of their number. So at most one row's words are missing
+from a target, however many rows share a place.
+
 Defined results: null texts have size 0; null ids share one place; equal ids share a place and are
-taken or left together; a source without words has target 0; an empty table gives an empty result;
+taken or left together unless a target's boundary lies in that place; a source without words has target 0; an empty table gives an empty result;
 columns other than doc_id, text and source are ignored by the plan and kept by apply().
 """
 
@@ -32,9 +36,18 @@ def place(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 2 * BITS // 4), 16, 10).cast("long")
 
 
+def ties(text: Column, number: Column) -> list[Column]:
+    """The places of a row among those that share its place: by text, and by row number."""
+    return [F.pmod(F.xxhash64(text.cast("string")), F.lit(PLACES)), F.pmod(F.xxhash64(number), F.lit(PLACES))]
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and place of every document."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place"))
+    """doc_id, source, size and places of every document. Its number is __mix_number or given here."""
+    number = F.col("__mix_number") if "__mix_number" in docs.columns else F.monotonically_increasing_id()
+    by_text, by_number = ties(F.col("text"), number)
+    return docs.select(
+        "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place"), by_text.alias("tie"), by_number.alias("tie2")
+    )
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -87,7 +100,8 @@ def _threshold(eligible: DataFrame, label: str) -> DataFrame:
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The measured documents, and one row a source: source_size, target, whole (full copies of
     all its documents) and rounds, an array of (start, threshold, fits): a document gets one copy more if in
-    a round its place lies from start up to threshold and its size is at most fits."""
+    a round its place lies from start up to threshold and its size is at most fits; so does a row at the place
+    ties.at that is below ties.tie and fits ties.need, or is at ties.tie, below ties.tie2 and fits ties.need2."""
     sizes = materialize(measure(docs), "mix-sizes")
     per_source = targets(sizes).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per_source = per_source.withColumn("need", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
@@ -108,32 +122,47 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             ),
             f"mix-sources{n}",
         )
-    return sizes, per_source
-
-
-def copies(size: Column, at: Column, whole: Column, rounds: Column) -> Column:
+    # Ties at the place that the last round refused; the rounds took nothing from there.
+    side = per_source.select(F.col("source").alias("of"), "need", "start")
+    at_end = F.col("source").eqNullSafe(F.col("of")) & (F.col("place") == F.col("start")) & (F.col("size") <= F.col("need"))
+    eligible = sizes.join(side, at_end).select("source", "size", F.col("tie").alias("place"), "need")
+    found = _threshold(eligible, "mix-ties").select(F.col("source").alias("of"), F.col("threshold").alias("tie"), "got")
+    joined = per_source.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    per_source = materialize(joined.withColumn("tie", F.coalesce("tie", F.lit(-1)).cast("long")).withColumn("need2", F.col("need") - F.coalesce("got", F.lit(0))).drop("got"), "mix-sources-ties")
+    side = per_source.select(F.col("source").alias("of"), F.col("need2").alias("need"), "start", F.col("tie").alias("end"))
+    eligible = sizes.join(side, at_end & (F.col("tie") == F.col("end"))).select("source", "size", F.col("tie2").alias("place"), "need")
+    found = _threshold(eligible, "mix-ties2").select(F.col("source").alias("of"), F.col("threshold").alias("tie2"))
+    joined = per_source.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return sizes, materialize(joined.withColumn("ties", F.struct(F.col("start").alias("at"), "tie", "need", F.coalesce("tie2", F.lit(0)).alias("tie2"), "need2")), "mix-plan")
+
+
+def copies(size: Column, at: Column, tie: Column, tie2: Column, whole: Column, rounds: Column, end: Column) -> Column:
     """How often the mix takes a document."""
     chosen = F.exists(rounds, lambda r: (at >= r["start"]) & (at < r["threshold"]) & (size <= r["fits"]))
+    below = (tie < end["tie"]) & (size <= end["need"])
+    chosen = chosen | ((at == end["at"]) & (below | ((tie == end["tie"]) & (tie2 < end["tie2"]) & (size <= end["need2"]))))
     return whole + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (size times copies), a row a document."""
     sizes, per_source = plan(docs)
-    side = per_source.select(F.col("source").alias("of"), "source_size", "target", "whole", "rounds")
+    side = per_source.select(F.col("source").alias("of"), "source_size", "target", "whole", "rounds", "ties")
     joined = sizes.join(side, F.col("source").eqNullSafe(F.col("of")))
-    n = copies(F.col("size"), F.col("place"), F.col("whole"), F.col("rounds"))
+    n = copies(F.col("size"), F.col("place"), F.col("tie"), F.col("tie2"), F.col("whole"), F.col("rounds"), F.col("ties"))
     return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * n).alias("taken"))
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """docs with all its columns, each row as often as the mix takes it. Rows without words count
     nothing towards a target and are kept once."""
-    _, per_source = plan(docs)
-    side = per_source.select(F.col("source").alias("__mix_of"), F.col("whole").alias("__mix_whole"), F.col("rounds").alias("__mix_rounds"))
+    # A row's number must be the same in the plan and here.
+    numbered = materialize(docs.withColumn("__mix_number", F.monotonically_increasing_id()), "mix-numbered")
+    _, per_source = plan(numbered)
+    side = per_source.select(F.col("source").alias("__mix_of"), F.col("whole").alias("__mix_whole"), F.col("rounds").alias("__mix_rounds"), F.col("ties").alias("__mix_ties"))
     size, at = F.col("__mix_size"), F.col("__mix_place")
-    joined = docs.withColumns({"__mix_size": n_words(F.col("text")), "__mix_place": place(F.col("doc_id"))})
+    joined = numbered.withColumns({"__mix_size": n_words(F.col("text")), "__mix_place": place(F.col("doc_id"))})
     joined = joined.join(side, F.col("source").cast("string").eqNullSafe(F.col("__mix_of")))
-    n = F.when(size == 0, 1).otherwise(copies(size, at, F.col("__mix_whole"), F.col("__mix_rounds")))
+    n = F.when(size == 0, 1).otherwise(copies(size, at, *ties(F.col("text"), F.col("__mix_number")), F.col("__mix_whole"), F.col("__mix_rounds"), F.col("__mix_ties")))
     # An array of n elements, exploded, gives n rows and none for 0.
     return joined.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*docs.columns)

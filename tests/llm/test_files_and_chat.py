@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import chat, decontam, exact_dedup, mixing, token_files
@@ -127,3 +128,16 @@ def test_long_chain(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", str(i)) for i in range(300)]
     d = chat.digest(chat.render(chat.paths(chat.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).first()
     assert d.n_turns == 300 and d.loss_chars == sum(len(str(i)) for i in range(1, 300, 2))
+
+
+@pytest.mark.parametrize("ids", ["null", "hot"])
+def test_mixing_fills_targets_from_rows_of_one_place(spark, ids):
+    rows = [(None if ids == "null" or i % 3 == 0 else i, None if i == 7 else f"w{i % 50} " * (5 + i % 5), f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        was = taken.setdefault(r.source, [r.target, 0])
+        was[1] += r.taken
+    assert len(taken) == 3 and all(0 <= target - got < 10 for target, got in taken.values())
+    again = {r.source: r.n for r in mixing.apply(docs).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert all(0 <= target - again[s] < 10 for s, (target, _) in taken.items()) and mixing.apply(docs).columns == docs.columns
