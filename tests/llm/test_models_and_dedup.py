@@ -195,6 +195,19 @@ def test_network_learns_secret_forms():
     assert ((p >= net.threshold) == (y[200:] == 1)).mean() > 0.95 and ((p >= 0) & (p <= 1)).all()
 
 
+def test_runs_of_any_form_are_scored_to_their_end():
+    net = secrets.Network.new(np.random.default_rng(1))
+    long = "/".join(["abcdefgh"] * 30)
+    texts = ["", "x" * 6, "short password=abcdef and letters é " + long + "0123456789", "日本 secrets \0 qwerty", "xy" * 41, "z" * 40, "w" * 60]
+    bases = [secrets.rule_spans(t) for t in texts]
+    nth, start, end, p = secrets.chances(texts, bases, net)
+    want = [(i, s, e) for i, t in enumerate(texts) for s, e in secrets.candidates(t) if not any(x < e and s < y for x, y, _ in bases[i])]
+    assert list(zip(nth, start, end, strict=True)) == want and (1, 0, 6) in want and len(want) == 8
+    slow = [max(net.probability(np.stack([secrets.encode(texts[i], a, b) for a, b in secrets.pieces(s, e)]))) for i, s, e in want]
+    assert np.allclose(p, slow, atol=1e-5)
+    assert all({x for a, b in secrets.pieces(s, e) for x in range(a, b)} == set(range(s, e)) for _, s, e in want)
+
+
 def english():
     grams = {}
     for w in "idiot clown worthless the and cool look letter stupid is it a".split() * 5:
