@@ -496,7 +496,7 @@ def order_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def range_overlap(spark, sf):
-    """Orders that were open while an event day's week ran, counted a week."""
+    """Orders that were open in the first three days of an order day's week, counted a week; the SQL sets the days."""
     day = F.unix_date(F.to_date("o_orderdate")).cast("bigint")
     weeks = table(spark, sf, "orders").select((F.floor(day / 7) * 7).cast("bigint").alias("q_start")).distinct().withColumn("q_end", F.col("q_start") + 2)
     found = ranges.overlaps(order_spans(spark, sf), weeks, 32)
@@ -743,7 +743,7 @@ def kb_block(spark, sf):
 @query
 def csv_scan(spark, sf):
     path = store.work_path(spark, "csv")
-    table(spark, sf, "customer").coalesce(1).write.csv(path, header=True)
+    table(spark, sf, "customer").write.csv(path, header=True)
     t = text.read_csv(spark, path, key_field="c_custkey", fields=["c_name", "c_acctbal"])
     return reshape.process(t, "c_acctbal", to_float).public()
 

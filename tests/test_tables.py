@@ -232,3 +232,15 @@ def test_casts(spark):
 def test_split_cell_as_in_python(spark, cells):
     got = spark.createDataFrame([(c,) for c in cells] or [("",)], "v string").select("v", split_cell(F.col("v")).alias("s")).collect()
     assert all(r.s == (r.v.split("|") if r.v else []) for r in got)
+
+
+def test_csv_scan_writes_with_the_partitions_of_its_table(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillon.plans import queries
+
+    read, place, paths = queries.table, queries.store.work_path, []
+    monkeypatch.setattr(queries, "table", lambda *a: read(*a).repartition(3))
+    monkeypatch.setattr(queries.store, "work_path", lambda *a: paths.append(place(*a)) or paths[-1])
+    assert queries.QUERIES["csv_scan"](spark, "/root/testdata/sf0.001").count() == read(spark, "/root/testdata/sf0.001", "customer").count()
+    assert spark.read.text(paths[0]).select(F.input_file_name()).distinct().count() == 3
