@@ -82,6 +82,10 @@ class KeyedTable:
     def with_df(self, df: DataFrame, **changes) -> KeyedTable:
         return KeyedTable(df, replace(self.meta, **{k: tuple(v) if k == "fields" else v for k, v in changes.items()}))
 
+    def identified_by(self, *tables: KeyedTable) -> KeyedTable:
+        """The table with mapping tables, through which attach() finds rows in other namings."""
+        return self.with_df(self.df, identifiers=(*self.meta.identifiers, *tables))
+
     def public(self) -> DataFrame:
         """Key and fields, without the order."""
         return self.df.select(*map(quoted, self.all_fields))
@@ -92,6 +96,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def in_namespace(path: str, namespace: str | None) -> str:
+    """A path with its NAMESPACE or [NAMESPACE] filled in."""
+    return re.sub(r"\[NAMESPACE\]|NAMESPACE", lambda _: namespace, path) if namespace else path
+
+
 def keyed(df: DataFrame, key: str, fields: Sequence[str] | None = None, shape: str = "list", order: Column | str | None = None, **meta) -> KeyedTable:
     """A table of df's columns. order: a column or expression that orders rows; without it rows are
     taken as the reader deals them."""

@@ -33,6 +33,20 @@ def match_keys(source: KeyedTable, other: KeyedTable, match_key: str | None = No
     raise UnknownField(f"{source.all_fields} and {other.all_fields} share no name")
 
 
+def _through_identifiers(source: KeyedTable, other: KeyedTable, match_key: str | None, other_key: str | None) -> DataFrame | None:
+    """An index from source's naming to other's if the tables share no name; None if they do, or no table leads over."""
+    from .translate import NoPath, translation_index
+
+    known = (*source.meta.identifiers, *other.meta.identifiers)
+    wanted = other.identify(other_key) if other_key else other.key
+    if not known or source.has(wanted) or (match_key is None and other_key is None and any(other.has(f) for f in source.all_fields)):
+        return None
+    try:
+        return translation_index([*known, source, other], source.identify(match_key) if match_key else source.key, wanted)
+    except NoPath:
+        return None
+
+
 def _in_shape(cell: Column, source: str, other: str) -> Column:
     """A cell of another table in the shape of source: lists of one, or the first element."""
     if source in ("flat", "double"):
@@ -45,12 +59,15 @@ def attach(
     one2one: bool | str = True, complete: bool = False, index: DataFrame | None = None,
 ) -> KeyedTable:
     """source with fields of other, matched by key or by a column. A list-valued match column
-    collects what all its elements match, in order. Cells that both have: in a `list` table the
+    collects what all its elements match, in order, each row for itself. Without a common name the
+    tables are joined through the identifier tables that either has, or through either itself. Cells that both have: in a `list` table the
     first filled one stays; in a `double` table what is new is appended; in a `flat` one everything.
     index (value, target) maps source's match values to other's keys first. complete: keys
     that only other has get rows of their own (matching by source's key only)."""
     if source.shape == "single":
         source = source.with_df(source.df, shape="list")
+    if index is None:
+        index = _through_identifiers(source, other, match_key, other_key)
     if index is not None:
         match, key = source.identify(match_key) if match_key else source.key, other.identify(other_key) if other_key else other.key
     else:
@@ -77,11 +94,12 @@ def attach(
     else:
         # The elements of the match column with their places, joined, and put together again by row.
         values = F.array(quoted(match).cast("string")) if match == source.key or not source.listed else quoted(match)
-        place = source.df.select(quoted(source.key).alias("__k"), F.posexplode(values).alias("__at", "__v"))
+        row = [quoted(source.key).alias("__k"), quoted(ORD).alias("__row")]  # keys may repeat
+        place = source.df.select(*row, F.posexplode(values).alias("__at", "__v"))
         tie = ["__t"] if index is not None else []
-        hits = place.join(right, F.col("__v") == F.col("__m")).select("__k", F.struct("__at", *tie).alias(ORD), *cells)
-        hits = hits.groupBy("__k").agg(in_order(cells).alias("__rows"))
-        joined = source.df.join(hits, quoted(source.key) == F.col("__k"), "left")
+        hits = place.join(right, F.col("__v") == F.col("__m")).select("__k", "__row", F.struct("__at", *tie).alias(ORD), *cells)
+        hits = hits.groupBy("__k", "__row").agg(in_order(cells).alias("__rows"))
+        joined = source.df.join(hits, (quoted(source.key) == F.col("__k")) & quoted(ORD).eqNullSafe(F.col("__row")), "left")
         new = [F.coalesce(part(F.col("__rows"), i), F.array().cast("array<array<string>>" if source.listed else "array<string>")) for i in range(len(wanted))]
         if not source.listed:
             new = [F.get(F.filter(c, lambda v: v.isNotNull() & (v.cast("string") != "")), F.lit(0)) for c in new]

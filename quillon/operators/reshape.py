@@ -59,6 +59,12 @@ def add_field(t: KeyedTable, name: str, value: Column) -> KeyedTable:
     return t.with_df(df.select(quoted(t.key), *map(quoted, t.fields), quoted(name), ORD), fields=(*t.fields, name))
 
 
+def traverse(t: KeyedTable, make: Callable[[dict[str, Column]], Column], name: str = "result", many: bool = False) -> DataFrame:
+    """Key and result of each row: make gets the columns by name. A null drops the row; many: an array gives a row an element."""
+    made = t.df.select(quoted(t.key), make({c: quoted(c) for c in t.all_fields}).alias(name))
+    return made.select(quoted(t.key), F.explode(name).alias(name)).filter(quoted(name).isNotNull()) if many else made.filter(quoted(name).isNotNull())
+
+
 def rename(t: KeyedTable, names: dict[str, str]) -> KeyedTable:
     new = {c: names.get(c, c) for c in t.all_fields}
     return t.with_df(t.df.select(*[quoted(c).alias(n) for c, n in new.items()], ORD), key=new[t.key], fields=[new[f] for f in t.fields])

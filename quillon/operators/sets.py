@@ -31,6 +31,12 @@ def merge_zip(t: KeyedTable, other: KeyedTable) -> KeyedTable:
     return concat([t, other], merge=True)
 
 
+def zip_new(t: KeyedTable, rows: KeyedTable) -> KeyedTable:
+    """t with rows of new values: those of a known key are appended to its lists, an empty list as one null so
+    that the lists stay parallel; other keys are new."""
+    return merge_by_key(concat([t, rows]), one2one=True)
+
+
 def without(t: KeyedTable, other: KeyedTable) -> KeyedTable:
     keys = other.df.select(quoted(other.key).alias("__k")).distinct()
     return t.with_df(t.df.join(keys, quoted(t.key) == F.col("__k"), "left_anti"))

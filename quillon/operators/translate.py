@@ -92,10 +92,10 @@ def translate(t: KeyedTable, field: str, target: str, tables: Sequence[KeyedTabl
         value = F.coalesce("__t", quoted(name).cast("string")) if keep_unresolved else F.col("__t")
         columns = [value.alias(target) if f == name else quoted(f) for f in t.fields]
     else:
-        parts = t.df.select(quoted(t.key).alias("__k"), F.posexplode(quoted(name)).alias("__at", "__e"))
+        parts = t.df.select(quoted(t.key).alias("__k"), quoted(ORD).alias("__row"), F.posexplode(quoted(name)).alias("__at", "__e"))
         parts = parts.join(found, F.col("__e") == F.col("__v"), "left" if keep_unresolved else "inner")
-        lists = parts.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("__at", F.col("__t").alias("t")))).alias("__l"))
-        joined = t.df.join(lists, quoted(t.key) == F.col("__k"), "left")
+        lists = parts.groupBy("__k", "__row").agg(F.array_sort(F.collect_list(F.struct("__at", F.col("__t").alias("t")))).alias("__l"))
+        joined = t.df.join(lists, (quoted(t.key) == F.col("__k")) & quoted(ORD).eqNullSafe(F.col("__row")), "left")
         value = F.coalesce(F.transform("__l", lambda x: x["t"]), F.array().cast("array<string>"))
         columns = [value.alias(target) if f == name else quoted(f) for f in t.fields]
     return t.with_df(joined.select(quoted(t.key), *columns, ORD), fields=[target if f == name else f for f in t.fields])

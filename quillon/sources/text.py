@@ -19,7 +19,6 @@ from ..model import ORD, KeyedTable, Meta, find_name, quoted
 from ..operators.aggregate import merge_by_key
 from ..operators.reshape import reorder, to_shape
 
-HEADER_LINES = 200
 
 
 @dataclass
@@ -89,7 +88,7 @@ def parse_lines(
     columns = {n: F.coalesce(F.get(cells, F.lit(i)), F.lit(None)) for i, n in enumerate(names)}
     key = names[0]
     if flat:
-        values = F.filter(F.flatten(F.transform(F.slice(cells, 2, 1 << 20), lambda c: split_cell(c, sep2))), lambda v: v.isNotNull())
+        values = F.filter(F.flatten(F.transform(F.slice(cells, F.lit(2), F.size(cells)), lambda c: split_cell(c, sep2))), lambda v: v.isNotNull())
         name = names[1] if len(names) > 1 else "values"
         parsed = body.select(columns[key].alias(key), values.alias(name), ORD)
         meta = Meta(key, (name,), "flat")
@@ -125,13 +124,59 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return lines.select("value", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line")).alias(ORD))
 
 
+def first_lines(spark: SparkSession, path: str, sep: str = "\t", header_mark: str = "#") -> tuple[list[str], Header]:
+    """The header with all its lines, and with body lines after it if there are any. A dump's header is a file of its own."""
+    from .store import exists
+
+    if "*" not in path and exists(spark, f"{path}/header-00000.txt"):
+        path = f"{path}/header-00000.txt"
+    n = 64
+    while True:
+        lines = [r[0] for r in spark.read.text(path).limit(n).collect()]
+        header = parse_header(lines, sep, header_mark)
+        if header.lines < len(lines) or len(lines) < n:
+            return lines, header
+        n *= 4
+
+
+def fix_lines(lines: DataFrame, change: Callable[[Column], Column] | bool = True, stop: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Lines (value and ORD) with each value changed; a null goes. True repairs invalid UTF-8. stop: the first
+    line that meets it goes, and so do all after it."""
+    if stop is not None:
+        end = lines.filter(stop(F.col("value"))).agg(F.min(ORD).alias("__end"))  # one row
+        lines = lines.join(F.broadcast(end), F.col("__end").isNull() | (F.col(ORD) < F.col("__end"))).drop("__end")
+    change = F.make_valid_utf8 if change is True else change
+    return lines.withColumn("value", change(F.col("value"))).filter("value is not null")
+
+
+def process_body(spark: SparkSession, path: str, change: Callable[[Column], Column], header_mark: str = "#") -> tuple[list[str], DataFrame]:
+    """The header's lines as they are, and the body's lines (value and ORD) changed."""
+    lines, header = first_lines(spark, path, header_mark=header_mark)
+    body = read_lines(spark, path).filter(~F.startswith("value", F.lit(header_mark)))
+    return lines[: header.lines], fix_lines(body, change)
+
+
+def sibling_identifiers(spark: SparkSession, path: str, sep: str = "\t") -> tuple[KeyedTable, ...]:
+    """The table `identifiers` in the folder of a file or dump, if there is one."""
+    from .store import exists
+
+    beside = path.rstrip("/").rpartition("/")[0] + "/identifiers"
+    if not exists(spark, beside):
+        return ()
+    return (read_dump(spark, beside, sep) if exists(spark, f"{beside}/header-00000.txt") else read_tsv(spark, beside, sep),)
+
+
 def read_tsv(
-    spark: SparkSession, path: str, sep: str = "\t", header_mark: str = "#", grep: str | None = None, invert_grep: bool = False, fixed: bool = False, head: int | None = None, field: str | None = None, **options
-) -> KeyedTable:
+    spark: SparkSession, path: str, sep: str = "\t", header_mark: str = "#", grep: str | None = None, invert_grep: bool = False, fixed: bool = False, head: int | None = None, field: str | None = None,
+    fix: Callable[[Column], Column] | bool = False, stop: Callable[[Column], Column] | None = None, identifiers: bool = False, **options
+) -> KeyedTable:
     """A table from delimited text. grep: body lines that match (a pattern, or fixed text). head: the
-    first n body lines. field: that field alone, as a `single` table."""
-    first = [r[0] for r in spark.read.text(path).limit(HEADER_LINES).collect()]  # the header's lines
-    header = parse_header(first, sep, header_mark)
+    first n body lines. field: that field alone, as a `single` table. fix and stop: see fix_lines. identifiers:
+    the table so named in the same folder comes with it."""
+    if identifiers:
+        t = read_tsv(spark, path, sep, header_mark, grep, invert_grep, fixed, head, field, fix, stop, **options)
+        return t.identified_by(*sibling_identifiers(spark, path, sep))
+    first, header = first_lines(spark, path, sep, header_mark)
     lines = read_lines(spark, path)
     if header_mark == "":
         # The header is the first line, by its text and place.
@@ -140,6 +185,8 @@ def read_tsv(
     if grep is not None:
         found = F.contains("value", F.lit(grep)) if fixed else F.col("value").rlike(grep)
         lines = lines.filter(~found if invert_grep else found)
+    if fix or stop is not None:
+        lines = fix_lines(lines, fix or (lambda v: v), stop)
     if head is not None:
         lines = lines.orderBy(ORD).limit(head)
     if field is not None:
@@ -151,7 +198,7 @@ def read_tsv(
 
 
 def all_fields(spark: SparkSession, path: str, sep: str = "\t", header_mark: str = "#") -> list[str]:
-    header = parse_header([r[0] for r in spark.read.text(path).limit(HEADER_LINES).collect()], sep, header_mark)
+    _, header = first_lines(spark, path, sep, header_mark)
     return [header.key, *header.fields] if header.key else []
 
 
