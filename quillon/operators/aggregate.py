@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,10 @@ from ..functions.cells import STRINGS, empty_list, in_order, padded, part
 from ..model import ORD, KeyedTable, quoted
 
 
+#: Of the time that trace_times() covers.
+SLICES = 1024
+
+
 def merge_by_key(t: KeyedTable, one2one: bool = False, merge: bool = True) -> KeyedTable:
     """One row a key. Lists of `flat` and `double` tables are joined in row order (one2one: an empty
     list counts as one null, so lists stay parallel); of `single` and `list` tables, and without
@@ -77,13 +81,27 @@ def trace_summary(jobs: DataFrame) -> DataFrame:
 
 def trace_times(jobs: DataFrame, by: str | None = None, drop_gaps: bool = True) -> DataFrame:
     """jobs with start_s and end_s, in seconds from the first start of all (or of each `by`). Gaps, the
-    times in which no job runs, are taken out of both."""
-    order = Window.partitionBy(*([by] if by else [])).orderBy("start", "end")
-    earlier, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*([by] if by else []))
+    times in which no job runs, are taken out of both. Time is cut into SLICES slices, so that no window is over all jobs:
+    the latest end and the gaps before a slice come from a table with a row a slice."""
+    keys = [by] if by else []
     micros = jobs.withColumns({"__s": _micros("start"), "__e": _micros("end")})
-    first = F.min("__s").over(everything)
-    gap = F.greatest(F.col("__s") - F.coalesce(F.max("__e").over(earlier), F.col("__s")), F.lit(0))
-    out = micros.withColumns({"__first": first, "__gap": gap})
-    gone = F.sum("__gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) if drop_gaps else F.lit(0)
-    # Jobs with one start share a gap: the first of them has it, later ones count it as well.
-    return out.withColumn("__gone", gone).withColumns({"start_s": (F.col("__s") - F.col("__first") - F.col("__gone")) / 1e6, "end_s": (F.col("__e") - F.col("__first") - F.col("__gone")) / 1e6}).drop("__s", "__e", "__first", "__gap", "__gone")
+    low, high = micros.agg(F.min("__s"), F.max("__s")).first()
+    cut = F.floor((F.col("__s") - F.lit(low or 0)) / F.lit(((high or 0) - (low or 0)) / SLICES + 1)).cast("int")
+    micros = micros.withColumn("__cut", cut)
+
+    def before(rows: DataFrame, value: Column, total: Callable[[str], Column]) -> DataFrame:
+        """rows with the total of value over earlier slices."""
+        slices = rows.groupBy(*keys, "__cut").agg(value.alias("__v"), F.min("__s").alias("__low"))
+        order = Window.partitionBy(*keys).orderBy("__cut")
+        slices = slices.select(*keys, "__cut", total("__v").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__low").over(order).alias("__first"))
+        same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in [*keys, "__cut"]]
+        return rows.join(slices.withColumnsRenamed({k: f"__of_{k}" for k in [*keys, "__cut"]}), same).drop(*[f"__of_{k}" for k in [*keys, "__cut"]])
+
+    order = Window.partitionBy(*keys, "__cut").orderBy("start", "end")
+    out = before(micros, F.max("__e"), F.max)
+    latest = F.greatest(F.max("__e").over(order.rowsBetween(Window.unboundedPreceding, -1)), "__before")
+    out = out.withColumn("__gap", F.greatest(F.col("__s") - F.coalesce(latest, F.col("__s")), F.lit(0))).drop("__before", "__first")
+    out = before(out, F.sum("__gap"), F.sum)
+    # Jobs with one start share a gap: the first of them has it, later ones and its equals count it as well.
+    gone = F.coalesce("__before", F.lit(0)) + F.sum("__gap").over(order) if drop_gaps else F.lit(0)
+    return out.withColumn("__gone", gone).withColumns({"start_s": (F.col("__s") - F.col("__first") - F.col("__gone")) / 1e6, "end_s": (F.col("__e") - F.col("__first") - F.col("__gone")) / 1e6}).drop("__s", "__e", "__first", "__gap", "__gone", "__cut", "__before")

@@ -1,14 +1,15 @@
 """Interval and point joins by bins.
 
 Intervals are (start, end), both inclusive. Bins come in tiers, each SPREAD times as wide as the one
-below. An interval belongs to the lowest tier in which it covers SPREAD bins at most, and also shows
-itself in all higher tiers, where it covers two or fewer a tier. Two intervals meet in the higher of their
-tiers, in the first bin they share: an equi-join without duplicates, whatever the lengths.
+below. An interval belongs to the lowest tier in which it covers SPREAD bins at most. Two intervals meet in the
+higher of their tiers, in the first bin they share: an equi-join without duplicates, whatever the lengths. One
+side shows itself in its own tier, the other in the tiers that the first has; both ways round make all pairs.
+Where bins are full, the left rows of a bin are split and the right ones repeated for each part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import replicates
@@ -17,6 +18,8 @@ from ..model import KeyedTable, quoted
 #: A power of two.
 SPREAD = 64
 TIERS = 8
+#: Left rows of a bin that one task joins, on average.
+ROWS_PER_BIN = 1_000_000
 
 
 def intervals(t: KeyedTable, start: str, end: str | None = None) -> DataFrame:
@@ -41,26 +44,43 @@ def _tier(length: Column, width: int) -> Column:
     return out
 
 
-def _binned(df: DataFrame, start: str, end: str, width: int, side: str) -> DataFrame:
-    def bins(n: int) -> Column:
+def _placed(df: DataFrame, on: tuple[str, str], width: int, own: str) -> tuple[DataFrame, list]:
+    """Valid intervals with their tier, and a row a tier: its number, how many intervals, and their extent."""
+    start, end = on
+    df = df.filter(F.col(start) <= F.col(end)).withColumn(own, _tier(F.col(end) - F.col(start), width))
+    return df, df.groupBy(own).agg(F.count("*").alias("n"), F.min(start).alias("low"), F.max(end).alias("high")).collect()
+
+
+def _shown(df: DataFrame, on: tuple[str, str], width: int, tiers: list[tuple[int, int, Column]]) -> DataFrame:
+    """A row for each bin of each (tier, role) whose condition holds."""
+
+    def bins(n: int, role: int) -> Column:
         at = lambda c: floor_div(f"`{c}`", str(width * SPREAD**n))
-        return F.transform(F.sequence(at(start), at(end)), lambda b: F.struct(F.lit(n).alias("tier"), b.alias("bin")))
+        return F.transform(F.sequence(at(on[0]), at(on[1])), lambda b: F.struct(F.lit(n).alias("tier"), F.lit(role).alias("role"), b.alias("bin")))
 
-    own = _tier(F.col(end) - F.col(start), width)
-    none = F.array().cast("array<struct<tier:int,bin:bigint>>")
-    shown = F.concat(*[F.when(own <= n, bins(n)).otherwise(none) for n in range(TIERS)])
-    valid = df.filter(F.col(start) <= F.col(end))
-    return valid.withColumns({f"__own_{side}": own, "__b": F.explode(shown)}).withColumns({"__tier": F.col("__b.tier"), "__bin": F.col("__b.bin")}).drop("__b")
+    none = F.array().cast("array<struct<tier:int,role:int,bin:bigint>>")
+    shown = F.concat(none, *[F.when(holds, bins(n, role)).otherwise(none) for n, role, holds in tiers])
+    return df.withColumn("__b", F.explode(shown)).withColumns({"__tier": F.col("__b.tier"), "__role": F.col("__b.role"), "__bin": F.col("__b.bin")}).drop("__b")
 
 
-def overlaps(left: DataFrame, right: DataFrame, width: int, left_on: tuple[str, str] = ("start", "end"), right_on: tuple[str, str] = ("q_start", "q_end")) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, width: int, left_on: tuple[str, str] = ("start", "end"), right_on: tuple[str, str] = ("q_start", "q_end"), rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """All pairs of rows whose intervals overlap. width: of the lowest bins, about a usual
     interval's length. Column names of the two sides must differ."""
     (ls, le), (rs, re_) = left_on, right_on
-    a, b = _binned(left, ls, le, width, "l"), _binned(right, rs, re_, width, "r")
-    joined = a.join(b, ["__tier", "__bin"])
+    a, tiers_a = _placed(left, left_on, width, "__own_l")
+    b, tiers_b = _placed(right, right_on, width, "__own_r")
+    own_l, own_r = F.col("__own_l"), F.col("__own_r")
+    in_a, in_b = ([r[0] for r in tiers] for tiers in (tiers_a, tiers_b))
+    # Role 0: left rows in their own tier. Role 1: right rows in theirs, which is higher than the left row's.
+    a = _shown(a, left_on, width, [(n, 0, own_l == n) for n in in_a] + [(n, 1, own_l < n) for n in in_b])
+    b = _shown(b, right_on, width, [(n, 0, own_r <= n) for n in in_a] + [(n, 1, own_r == n) for n in in_b])
+    n_left, low, high = sum(r["n"] for r in tiers_a), min((r["low"] for r in tiers_a), default=0), max((r["high"] for r in tiers_a), default=0)
+    parts = 1 + n_left // (rows_per_bin * max(1, min(n_left, (high - low) // width + 1)))
+    a = a.withColumn("__part", F.pmod(F.xxhash64(*map(quoted, left.columns)), F.lit(parts)).cast("int"))
+    b = b.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    joined = a.join(b, ["__tier", "__role", "__bin", "__part"])
     first = floor_div(f"greatest(`{ls}`, `{rs}`)", f"shiftleft(bigint({width}), {SPREAD.bit_length() - 1} * __tier)")
-    met = (F.col(ls) <= F.col(re_)) & (F.col(le) >= F.col(rs)) & (F.col("__tier") == F.greatest("__own_l", "__own_r")) & (F.col("__bin") == first)
+    met = (F.col(ls) <= F.col(re_)) & (F.col(le) >= F.col(rs)) & (F.col("__bin") == first)
     return joined.filter(met).select(*[quoted(c) for c in (*left.columns, *right.columns)])
 
 
@@ -70,6 +90,15 @@ def at_points(ranges: DataFrame, points: DataFrame, width: int, on: tuple[str, s
     return overlaps(ranges, doubled, width, on, (point, "__end")).drop("__end")
 
 
+def collapse(ranges: DataFrame, by: str) -> DataFrame:
+    """by, start, end: the ranges of each `by` that overlap or touch as one."""
+    order = Window.partitionBy(by).orderBy("start", "end")
+    latest = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = ranges.withColumn("__new", F.coalesce((F.col("start") > latest + 1).cast("int"), F.lit(1)))
+    parted = parted.withColumn("__part", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return parted.groupBy(by, "__part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__part")
+
+
 def query(ranges: DataFrame, start: int, end: int | None = None) -> DataFrame:
     """The rows that overlap one range or position; the filter reaches the scan."""
     return ranges.filter((F.col("start") <= (start if end is None else end)) & (F.col("end") >= start))

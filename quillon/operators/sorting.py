@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEY, ORD, KeyedTable, quoted
@@ -22,6 +22,20 @@ def sort_by(t: KeyedTable, field: str = KEY, reverse: bool = False, by: Column |
     return t.df.orderBy(*order).select(*map(quoted, t.all_fields))
 
 
+def numbered(df: DataFrame, position: str = "position") -> DataFrame:
+    """A sorted table with each row's place, from 1: its place in its part plus the rows of all parts before, which come from
+    a table with a row a part."""
+    from ..sources.store import work_path
+
+    path = work_path(df.sparkSession, "sorted")
+    df.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("__p", F.shiftright("__id", 33))
+    before = F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    parts = rows.groupBy("__p").agg(F.count("*").alias("n"), F.min("__id").alias("__first")).select("__p", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__id") - F.col("__first") + 1
+    return rows.join(F.broadcast(parts), "__p").withColumn(position, place).drop("__id", "__p", "__first", "__before")  # a row a part
+
+
 def page(t: KeyedTable, number: int, size: int, field: str = KEY, reverse: bool = False) -> DataFrame:
     """The number-th page, from 1, of the sorted rows; past the end it is empty."""
     return sort_by(t, field, reverse).offset((number - 1) * size).limit(size)
