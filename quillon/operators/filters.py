@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable, Iterable, Sequence
 from contextlib import contextmanager
@@ -74,6 +76,17 @@ def select_value(t: KeyedTable, field: str, test: Callable[[Column], Column], in
     return t.with_df(t.df.filter(~found if invert else found))
 
 
+def select_named(t: KeyedTable, field: str, test: str | re.Pattern, names: DataFrame, invert: bool = False) -> KeyedTable:
+    """Rows with a value of a field whose name is test, or matches it. names: value and target (its name)."""
+    name = t.identify(field)
+    found = F.col("target").rlike(test.pattern) if isinstance(test, re.Pattern) else F.col("target") == test
+    wanted = names.filter(found).select(F.col("value").cast("string").alias("__v"))
+    cells = t.df.select(quoted(t.key).alias("__k"), quoted(ORD).alias("__row"), F.explode(_values(t, name)).alias("__e"))
+    hits = cells.join(wanted, F.col("__e") == F.col("__v"), "left_semi").select("__k", "__row").distinct()
+    same = (quoted(t.key) == F.col("__k")) & quoted(ORD).eqNullSafe(F.col("__row"))
+    return t.with_df(t.df.join(hits, same, "left_anti" if invert else "left_semi"))
+
+
 def row_matches(t: KeyedTable, test: object, fields: Sequence[str] | None = None, invert: bool = False) -> Column:
     """The per-row predicate on key and values: a comparison is tried on every value, and a number asks
     for more than so many values."""
@@ -115,10 +128,21 @@ def values_at(t: KeyedTable, keys: Sequence[str]) -> DataFrame:
 
 class FilterStack:
     """Filters on top of a table, which all must hold: ':key' against a value or a set; a field
-    against a value that its cell holds, or a list that it equals."""
+    against a value that its cell holds, or a list that it equals. With a folder, the keys that a filter on a field
+    finds are saved there once, sorted, and read from then on by any stack of that folder; reset(True) deletes them."""
+
+    def __init__(self, table: KeyedTable, folder: str | None = None):
+        self.table, self.filters, self.folder = table, [], folder and folder.rstrip("/")
 
-    def __init__(self, table: KeyedTable):
-        self.table, self.filters = table, []
+    def _saved(self, match: str, value: object, test: Column) -> DataFrame:
+        from ..sources.store import exists
+
+        spark, digest = self.table.df.sparkSession, hashlib.sha256(json.dumps([match, value], default=sorted).encode()).hexdigest()[:16]
+        path = f"{self.folder}/filter-{digest}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            keys = self.table.df.filter(test).select(quoted(self.table.key).alias("__k")).distinct()
+            keys.repartitionByRange("__k").sortWithinPartitions("__k").write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
     def add(self, match: str, value: object) -> FilterStack:
         name = match.removeprefix("field:")
@@ -129,14 +153,19 @@ class FilterStack:
             test = quoted(column).cast("array<string>") == F.array(*map(F.lit, value))
         else:
             test = F.array_contains(_values(self.table, column), str(value))
-        self.filters.append(sure(test))
+        test = sure(test)
+        self.filters.append(self._saved(match, value, test) if self.folder and column != self.table.key else test)
         return self
 
     def pop(self) -> None:
         self.filters.pop()
 
-    def reset(self) -> None:
+    def reset(self, saved: bool = False) -> None:
+        from ..sources.store import delete
+
         self.filters.clear()
+        if saved and self.folder:
+            delete(self.table.df.sparkSession, self.folder)
 
     @contextmanager
     def having(self, match: str, value: object):
@@ -149,7 +178,7 @@ class FilterStack:
     def result(self) -> KeyedTable:
         df = self.table.df
         for f in self.filters:
-            df = df.filter(f)
+            df = df.join(f, quoted(self.table.key) == F.col("__k"), "left_semi") if isinstance(f, DataFrame) else df.filter(f)
         return self.table.with_df(df)
 
 

@@ -12,7 +12,8 @@ Rules are lines like
 A match rule reads `source relation target [- conditions]`; ends are entities, variables (?v) or saved lists
 (:name). Each rule keeps the edges that fit what its variables may be so far; a variable then means the
 ends it met. Earlier rules are not narrowed again: assignments are those sets, and paths are the
-combinations that agree in all rules.
+combinations that agree in all rules. Rules without a variable in common combine freely, so each connected group of
+rules has a table of paths of its own, and their product is never made.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ import re
 import shlex
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import KeyedTable, quoted
+from ..model import KeyedTable, in_namespace, quoted
+from ..sources.store import delete, load, names_in, save, write_text
 from . import graph
 from .filters import info_condition
 from .translate import NoPath, translate_column, translation_index
 
-Source = KeyedTable | Callable[[], KeyedTable]
+Source = KeyedTable | Callable[[], KeyedTable] | str
 
 
 @dataclass
@@ -45,10 +47,12 @@ class Relation:
 
 @dataclass
 class Answer:
-    """assignments: a one-column DataFrame (entity) a variable; paths: a column a variable or None."""
+    """assignments: a one-column DataFrame (entity) a variable. groups: for each connected group of rules a table
+    with a column a variable; paths: that table if there is one group, else None."""
 
     assignments: dict[str, DataFrame]
-    paths: DataFrame | None
+    groups: list[DataFrame]
+    paths = property(lambda self: self.groups[0] if len(self.groups) == 1 else None)
 
 
 @dataclass
@@ -58,10 +62,15 @@ class KnowledgeBase:
     relations: dict[str, Relation] = field(default_factory=dict)
     identifiers: dict[str, list[KeyedTable]] = field(default_factory=dict)
     lists: dict[str, DataFrame] = field(default_factory=dict)
+    #: Where lists are written; without it they last as long as this object.
+    folder: str | None = None
 
     def register(self, name: str, table: Source, identifiers: Sequence[KeyedTable] = (), description: str = "", **options) -> None:
-        """A relation from a table or a function that makes one, when first asked for. options go
-        to graph.edges."""
+        """A relation from a table, a function that makes one when first asked for, or the path of a saved one, in which
+        NAMESPACE stands for the namespace. options go to graph.edges."""
+        if isinstance(table, str):
+            path = in_namespace(table, self.namespace)
+            table = lambda: load(self.spark, path)
         self.relations[name] = Relation(table, options | {"description": description})
         self.identifiers[name] = list(identifiers)
 
@@ -91,15 +100,43 @@ class KnowledgeBase:
             lines += [f"## {name}", "", f"{i['source']} to {i['target']}" + (", undirected" if i["undirected"] else ""), *([i["description"]] if i["description"] else []), ""]
         return "\n".join(lines)
 
-    def save_list(self, name: str, entities: DataFrame | Sequence[str]) -> None:
+    def take_descriptions(self, readme: str) -> str:
+        """Describes relations from a README: `# Relation` heads a section, in any case. The text before the first section,
+        which describes the whole, is returned. Descriptions given at registration stay."""
+        head, *sections = re.split(r"^# *", readme, flags=re.MULTILINE)
+        found = {title.strip().lower(): text.strip() for title, _, text in (s.partition("\n") for s in sections)}
+        for name, r in self.relations.items():
+            r.options["description"] = r.options["description"] or found.get(name.lower(), "")
+        return head.strip()
+
+    def _list_path(self, name: str) -> str:
+        return f"{self.folder.rstrip('/')}/lists/{name}"
+
+    def save_list(self, name: str, entities: DataFrame | Sequence[str], entity: str | None = None) -> None:
+        """entity: what the members are, kept as the column's metadata."""
         df = entities if isinstance(entities, DataFrame) else self.spark.createDataFrame([(e,) for e in entities], "entity string")
-        self.lists[name] = df.select(F.col(df.columns[0]).cast("string").alias("entity"))
+        df = df.select(F.col(df.columns[0]).cast("string").alias("entity"))
+        df = df.withMetadata("entity", {"entity": entity}) if entity else df
+        if self.folder:
+            df.write.mode("overwrite").parquet(self._list_path(name))
+            df = self.spark.read.parquet(self._list_path(name))
+        self.lists[name] = df
 
     def load_list(self, name: str) -> DataFrame:
+        if name not in self.lists:
+            if name not in self.list_names():
+                raise KeyError(f"no list {name!r}")
+            self.lists[name] = self.spark.read.parquet(self._list_path(name))
         return self.lists[name]
 
+    def list_names(self) -> list[str]:
+        saved = names_in(self.spark, f"{self.folder.rstrip('/')}/lists") if self.folder else []
+        return sorted({*self.lists, *saved})
+
     def delete_list(self, name: str) -> None:
-        del self.lists[name]
+        self.lists.pop(name, None)
+        if self.folder:
+            delete(self.spark, self._list_path(name))
 
     def identify(self, name: str, entities: DataFrame, end: str) -> DataFrame:
         """entities in the naming that a relation's end uses; unresolved ones stay as they are."""
@@ -142,7 +179,30 @@ class KnowledgeBase:
 
     def to_json(self) -> str:
         """The registry's names and options."""
-        return json.dumps({"namespace": self.namespace, "relations": {n: r.options for n, r in self.relations.items()}, "lists": sorted(self.lists)}, sort_keys=True)
+        return json.dumps({"namespace": self.namespace, "relations": {n: r.options for n, r in self.relations.items()}, "lists": self.list_names()}, sort_keys=True)
+
+    def save(self, folder: str) -> None:
+        """All tables, lists and options, for open_knowledge()."""
+        folder = folder.rstrip("/")
+        for name in self.relations:
+            save(self.table(name), f"{folder}/tables/{name}", "overwrite")
+            for i, t in enumerate(self.identifiers[name]):
+                save(t, f"{folder}/identifiers/{name}/{i}", "overwrite")
+        for name in self.list_names():
+            if self.folder != folder:
+                self.load_list(name).write.mode("overwrite").parquet(f"{folder}/lists/{name}")
+        registry = json.loads(self.to_json()) | {"identifiers": {n: len(ts) for n, ts in self.identifiers.items()}}
+        write_text(self.spark, f"{folder}/registry.json", json.dumps(registry, sort_keys=True))
+
+
+def open_knowledge(spark: SparkSession, folder: str) -> KnowledgeBase:
+    """What save() wrote; its lists stay in that folder."""
+    folder = folder.rstrip("/")
+    registry = json.loads(spark.read.text(f"{folder}/registry.json", wholetext=True).first()[0])
+    kb = KnowledgeBase(spark, registry["namespace"], folder=folder)
+    for name, options in registry["relations"].items():
+        kb.register(name, partial(load, spark, f"{folder}/tables/{name}"), [load(spark, f"{folder}/identifiers/{name}/{i}") for i in range(registry["identifiers"][name])], **options)
+    return kb
 
 
 ASSIGN = re.compile(r"(\?\w+)\s*=(\S*)\s+(.+)")
@@ -160,7 +220,7 @@ class _Traversal:
     def _assign(self, name: str, relation: str, values: str) -> None:
         parts = []
         for v in (x.strip() for x in values.split(",")):
-            parts.append(self.bound[v] if v in self.bound else self.kb.lists[v[1:]] if v.startswith(":") else self._one([v]))
+            parts.append(self.bound[v] if v in self.bound else self.kb.load_list(v[1:]) if v.startswith(":") else self._one([v]))
         found = reduce(lambda a, b: a.unionByName(b), parts)
         if relation:
             found = self.kb.identify(relation, found, "source").unionByName(self.kb.identify(relation, found, "target"))
@@ -172,7 +232,7 @@ class _Traversal:
                 return e
             wanted = self.bound[term]
         elif term.startswith(":"):
-            wanted = self.kb.identify(relation, self.kb.lists[term[1:]], end)
+            wanted = self.kb.identify(relation, self.kb.load_list(term[1:]), end)
         else:
             wanted = self.kb.identify(relation, self._one([term]), end)
         wanted = wanted.select(F.col("entity").alias("__e")).distinct()
@@ -223,22 +283,22 @@ class _Traversal:
             else:
                 raise ValueError(f"{line!r} is no rule")
             i += 1
-        return Answer(self.bound, self._paths() if with_paths and self.steps else None)
+        return Answer(self.bound, self._groups() if with_paths else [])
 
-    def _paths(self) -> DataFrame:
-        """The natural join of all rules, those that share variables next to each other."""
-        left, todo = self.steps[0], self.steps[1:]
+    def _groups(self) -> list[DataFrame]:
+        """The natural join of each connected group of rules. A rule without variables is a condition on all groups: it has
+        one row or none."""
+        facts = [s for s in self.steps if s.columns == ["__met"]]
+        todo, groups = [s for s in self.steps if s.columns != ["__met"]], []
         while todo:
-            nth = next((k for k, s in enumerate(todo) if set(s.columns) & set(left.columns)), 0)
-            step = todo.pop(nth)
-            shared = [c for c in step.columns if c in left.columns]
-            if shared:
-                left = left.join(step, shared)
-            else:
-                # Rules without a common variable combine freely: the answer itself is the product.
-                left = left.withColumn("__all", F.lit(1)).join(step.withColumn("__all", F.lit(1)), "__all").drop("__all")
-        names = [c for c in left.columns if c.startswith("?")]
-        return left.select(*map(quoted, names)).distinct() if names else left
+            left = todo.pop(0)
+            while (nth := next((k for k, s in enumerate(todo) if set(s.columns) & set(left.columns)), None)) is not None:
+                step = todo.pop(nth)
+                left = left.join(step, [c for c in step.columns if c in left.columns])
+            for fact in facts:
+                left = left.join(F.broadcast(fact), F.col("__met"), "left_semi")
+            groups.append(left.select(*map(quoted, left.columns)).distinct())
+        return groups or facts[:1]
 
 
 def edge_table(kb: KnowledgeBase, name: str) -> DataFrame:

@@ -27,13 +27,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def _describe(t: KeyedTable, path: str, **more) -> None:
-    at, fs = _file(t.df.sparkSession, f"{path}.meta")
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _file(spark, path)
+    fs.delete(at, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    at, fs = _file(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    at, fs = _file(spark, path)
     out = fs.create(at, True)
-    out.write(bytearray(json.dumps({"key": t.key, "fields": t.fields, "shape": t.shape, "namespace": t.meta.namespace, **more}).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
+def _describe(t: KeyedTable, path: str, **more) -> None:
+    write_text(t.df.sparkSession, f"{path}.meta", json.dumps({"key": t.key, "fields": t.fields, "shape": t.shape, "namespace": t.meta.namespace, **more}))
+
+
 def described(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}.meta", wholetext=True).first()[0])
 
@@ -74,9 +88,9 @@ def get_sharded(spark: SparkSession, path: str, shard: Callable[[Column], Column
     return KeyedTable(df.drop("shard"), Meta(meta["key"], tuple(meta["fields"]), meta["shape"], meta["namespace"]))
 
 
-def packed(t: KeyedTable, position: str | None = None) -> DataFrame:
-    """Records by integer position; positions without one are absent, and read as null."""
-    at = quoted(t.identify(position or KEY)).cast("bigint")
+def packed(t: KeyedTable, position: str | Column | None = None) -> DataFrame:
+    """Records by integer position, a column or computed from the key; positions without one are absent, and read as null."""
+    at = (position if isinstance(position, Column) else quoted(t.identify(position or KEY))).cast("bigint")
     return t.df.select(at.alias("position"), *map(quoted, t.fields))
 
 
@@ -105,8 +119,10 @@ def ordered(t: KeyedTable) -> DataFrame:
 
 
 @functools.cache
-def _own_folder() -> str:
+def _own_folder(master: str) -> str:
     """A folder of this machine, for sessions that name no shared one (tests on local[n])."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="spark-quillon-")
     atexit.register(shutil.rmtree, path, True)
     return f"file://{path}"
@@ -116,7 +132,7 @@ def work_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share, spark.checkpoint.dir. It is removed
     when the application ends."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(found or _own_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{(found or _own_folder(spark.sparkContext.master)).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     at, fs = _file(spark, path)
     fs.deleteOnExit(at)
     return path

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,23 @@ def sessions(events: DataFrame, time: str, gap: str, keys: Sequence[str], *aggre
         events = events.withWatermark(time, late)
     out = events.groupBy(F.session_window(time, gap), *keys).agg(*aggregates)
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *[c for c in out.columns if c != "session_window"])
+
+
+def concat_streams(streams: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
+    """Rows of all streams under the same names."""
+    return reduce(DataFrame.unionByName, [s.toDF(*names) for s in streams])
+
+
+def paste_streams(left: DataFrame, right: DataFrame, key: str, time: str, within: str, late: str) -> DataFrame:
+    """Rows of two streams with equal keys whose times are within a span; a left row that meets none comes once with nulls,
+    when the watermark has passed. The right stream's columns must have other names but for key and time."""
+    a = left.withWatermark(time, late).alias("a")
+    b = right.withWatermark(time, late).withColumnsRenamed({key: "__k", time: "__t"}).alias("b")
+    met = (quoted(key) == F.col("__k")) & F.col("__t").between(quoted(time) - F.expr(f"interval {within}"), quoted(time) + F.expr(f"interval {within}"))
+    return a.join(b, met, "left").drop("__k", "__t")
+
+
+def collapse_stream(stream: DataFrame, key: str, fields: Sequence[str], sep: str = "|") -> DataFrame:
+    """Rows of a key as one row of joined texts, in order of the texts; for output mode "complete" or "update"."""
+    lists = merge_running(stream, key, fields)
+    return lists.select(quoted(key), *[F.array_join(quoted(f), sep, "").alias(f) for f in fields])
