@@ -100,8 +100,8 @@ join (select c_nationkey::varchar as k, string_agg(c_name, '|' order by c_custke
     "translation_two_hops": "select c_name as value, n_regionkey::varchar as target from customer join nation on c_nationkey = n_nationkey",
     "translation_three_hops": "select c_custkey::varchar as value, r_name as target from customer join nation on c_nationkey = n_nationkey join region on r_regionkey = n_regionkey",
     "translation_from_any": "with v as (select n_name as value, n_name, 0 as pos, n_nationkey from nation union all select n_nationkey::varchar, n_name, 1, n_nationkey from nation union all select n_regionkey::varchar, n_name, 2, n_nationkey from nation) select value, arg_min(n_name, pos * 1000 + n_nationkey) as target from v group by value",
-    "range_overlap": f"with {SPANS}, w as (select distinct {DAY.format('o_orderdate')} // 7 * 7 as q from orders) select q as q_start, count(*) as n, sum(key)::bigint as keys from w join spans on start <= q + 2 and \"end\" >= q group by q",
-    "point_in_range": f"with {SPANS}, p as (select distinct {DAY.format('o_orderdate')} as point from orders) select point, key from p join spans on point between start and \"end\" where point % 50 = 0",
+    "range_overlap": f"with {SPANS}, w as (select distinct {DAY.format('o_orderdate')} // 7 * 7 as q from orders) select q as q_start, count(*) as n, sum(key)::bigint as keys from w join spans on start <= q + 6 and \"end\" >= q group by q",
+    "point_in_range": f"with {SPANS}, p as (select distinct {DAY.format('o_orderdate')} as point from orders) select point, count(*) as n, sum(key)::bigint as keys from p join spans on point between start and \"end\" group by point",
     "range_query": f"with {SPANS} select key, start, \"end\" from spans where start <= 9510 and \"end\" >= 9500",
     "field_match_counts": f"with t as ({PARTS}), v as (unpivot t on p_partkey, p_name, p_brand, p_type, p_size into name field value val) select field, count(distinct val) as n from v where val in ('Brand#11', 'Brand#12', '12', '17', 'STEEL', 'nothing') group by field",
     "incidence": "select c_nationkey as source, " + ", ".join(f"bool_or(c_mktsegment = '{s}') as {s}" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " from customer where c_acctbal > 9000 group by 1",
@@ -112,7 +112,7 @@ join (select c_nationkey::varchar as k, string_agg(c_name, '|' order by c_custke
 h as (select *, sum(gap) over (partition by user_id order by s, e rows between unbounded preceding and current row) as gone from g)
 select event_id, user_id, ((s - z - gone) / 1e6)::double as start_s, ((e - z - gone) / 1e6)::double as end_s from h""",
     "trace_times_with_gaps": f"with {JOBS} select event_id, user_id, ((s - min(s) over (partition by user_id)) / 1e6)::double as start_s, ((e - min(s) over (partition by user_id)) / 1e6)::double as end_s from jobs",
-    "sort_by_field": "select n_nationkey::varchar as n_nationkey, n_name from nation",
+    "sort_by_field": "select n_nationkey::varchar as n_nationkey, n_name, row_number() over (order by n_name, n_nationkey::varchar) as position from nation",
     "page_of_customers": "select c_custkey, c_name, c_acctbal from customer order by c_acctbal desc, c_custkey limit 25 offset 50",
     "page_by_list": f"with {OBC} select o_custkey, len(ks) as n from obc order by len(ks) desc, ks[1] desc, o_custkey limit 40 offset 40",
     "head_rows": "select p_partkey::varchar as p_partkey, p_name from part order by part.p_partkey limit 17",
