@@ -3,28 +3,38 @@ operations only.
 
 A text is the set of its shingles of five words (lower case, runs of letters and digits; a shorter
 text is one shingle). A document is contaminated by an item if it holds at least 0.8 of the item's
-shingles. Such a document lacks floor(0.2 q) of an item's q shingles at most, so of any
-floor(0.2 q) + 1 of them it holds one. Items are partitioned by that number k: the sketch of a
-partition's items is their k smallest hashes (bottom-k MinHash). A document is a candidate if one of
-its hashes is in a sketch; hashes above the largest of all sketches are dropped before that
-join. No contaminated document is missed, however long it is. Candidates are then verified by
-counting the shingles, as strings, that they share with the item.
+shingles.
+
+Items are partitioned by size, a partition for each power of two. An item of q shingles may lack
+m = floor(0.2 q) of them in a contaminated document; its sketch is its 2 m + 1 smallest hashes (bottom-k
+MinHash), of which such a document holds m + 1 at least. So the share of the sketch that a document
+holds estimates the containment, and no contaminated document falls short of the bound, however long it is.
+A document searches only the partitions whose items it is large enough to contain, and of its hashes only
+those up to the largest in their sketches. Candidate pairs are verified by their shingles, as strings.
 
 Defined results: null and word-less texts (items too) match nothing; rows with equal id are judged by
-their own texts; extra columns are ignored; empty tables give an empty result.
+their own texts; texts of one item id form one item; extra columns are ignored, and kept by clean(); empty
+tables give an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import bounded, materialize
+from .base import fresh, materialize, small
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: An index of so many rows (hash and numbers, under 64 MB) is broadcast; a larger one is joined by shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: An index of so many bytes, counted, is broadcast; a larger one is joined by shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once a row however often use mentions it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def words(text: Column) -> Column:
@@ -35,44 +45,70 @@ def _starts(w: Column) -> Column:
     return F.when(F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))))
 
 
-def shingle_hashes(w: Column) -> Column:
-    return F.array_distinct(F.transform(_starts(w), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
+def shingle_hashes(text: Column) -> Column:
+    return _once(words(text), lambda w: F.array_distinct(F.transform(_starts(w), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))))
+
+
+def shingles(text: Column) -> Column:
+    return _once(words(text), lambda w: F.array_distinct(F.transform(_starts(w), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))))
 
 
-def shingles(w: Column) -> Column:
-    return F.array_distinct(F.transform(_starts(w), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
+def least_size(n_item: Column) -> Column:
+    """The shingles that a document has at least if it contains an item of n_item."""
+    return F.ceil(n_item * F.lit(CONTAINMENT) - F.lit(1e-9))
 
 
-def _joined(rows: DataFrame, index: DataFrame, on: str) -> DataFrame:
-    return rows.join(F.broadcast(index) if bounded(index, MAX_BROADCAST_ROWS) else index, on)
+def index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The items (item_id, n_item, set: shingles) and their sketches (part, item_id, n_item, need, h)."""
+    parts = items.select("item_id", F.explode(shingles(F.col("text").cast("string"))).alias("shingle"))
+    sets = parts.groupBy("item_id").agg(F.collect_set("shingle").alias("set")).withColumn("n_item", F.size("set").cast("long"))
+    sets = materialize(sets.withColumn("part", F.floor(F.log2("n_item")).cast("int")), "decontam-items")
+    hashes = sets.select("part", "item_id", "n_item", F.explode("set").alias("shingle"))
+    hashes = hashes.select("part", "item_id", "n_item", F.xxhash64(F.split("shingle", " ")).alias("h")).distinct()
+    lack = F.floor(F.col("n_item") * F.lit(round(1 - CONTAINMENT, 9)) + F.lit(1e-9))
+    by_item = Window.partitionBy("part", "item_id")
+    ranked = hashes.withColumns({"nth": F.row_number().over(by_item.orderBy("h")), "of": F.count("*").over(by_item)})
+    sketch = ranked.filter(F.col("nth") <= 2 * lack + 1).withColumn("need", F.least("of", 2 * lack + 1) - lack)
+    return sets, materialize(sketch.select("part", "item_id", "n_item", "need", "h"), "decontam-sketches")
+
+
+def _limit(n_doc: Column, limits: dict[int, int]) -> Column:
+    """The largest hash that the partitions open to a document of n_doc shingles ask for."""
+    out = F.lit(-(1 << 63))
+    for part, limit in sorted(limits.items()):
+        out = F.greatest(out, F.when(n_doc >= least_size(F.lit(2**part)), F.lit(limit)))
+    return out
+
+
+def _joined(rows: DataFrame, right: DataFrame, on: Column | str) -> DataFrame:
+    return rows.join(F.broadcast(right) if small(right, MAX_BROADCAST_BYTES) else right, on)
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs: doc_id, text. items: item_id, text. One row for each document and item that it
     contains: doc_id, text_key (a hash of the document's text), item_id, n_item and n_shared."""
-    parts = items.select("item_id", words(F.col("text").cast("string")).alias("w")).select("item_id", F.explode(shingles(F.col("w"))).alias("shingle"))
-    parts = parts.distinct().withColumn("n_item", F.count("*").over(Window.partitionBy("item_id")))
-    parts = parts.withColumn("h", F.xxhash64(F.split("shingle", " ")))
-    k = F.floor(F.col("n_item") * F.lit(round(1 - CONTAINMENT, 9)) + F.lit(1e-9)) + 1
-    by_hash = Window.partitionBy("item_id").orderBy("h")
-    parts = materialize(parts.withColumn("in_sketch", F.row_number().over(by_hash) <= k), "decontam-items")
-    sketch = materialize(parts.filter("in_sketch").select("h").distinct(), "decontam-sketch")
-    limit = sketch.agg(F.max("h")).first()[0]  # one number
-    if limit is None:
-        limit = -(1 << 63)
+    sets, sketch = index(items)
+    limits = {r["part"]: r["limit"] for r in sketch.groupBy("part").agg(F.max("h").alias("limit")).collect()}  # a row a power of two
 
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    hashed = keyed.withColumn("w", words(F.col("text"))).select("doc_id", F.xxhash64("text").alias("text_key"), shingle_hashes(F.col("w")).alias("hs"))
-    hits = hashed.select("doc_id", "text_key", F.explode(F.filter("hs", lambda h: h <= F.lit(limit))).alias("h"))
-    candidates = _joined(hits, sketch, "h").select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text")).distinct()
-    candidates = materialize(candidates, "decontam-candidates")
+    low = lambda hs, limit: F.struct(F.size(hs).alias("n_doc"), F.filter(hs, lambda h: h <= limit).alias("hs"))
+    searched = _once(shingle_hashes(F.col("text")), lambda hs: _once(_limit(F.size(hs), limits), lambda limit: low(hs, limit)))
+    hashed = keyed.select("doc_id", F.xxhash64("text").alias("text_key"), searched.alias("s"))
+    hits = hashed.select("doc_id", "text_key", F.col("s.n_doc").alias("n_doc"), F.explode("s.hs").alias("h"))
+    met = _joined(hits, sketch, "h").filter(F.col("n_doc") >= least_size(F.col("n_item")))
+    met = met.groupBy("doc_id", "text_key", "item_id", "need").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("need"))
+    pairs = materialize(met.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text"), F.col("item_id").alias("of_item")), "decontam-candidates")
 
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_text"))
-    found = keyed.join(candidates, same, "left_semi").withColumn("w", words(F.col("text")))
-    found = found.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(shingles(F.col("w"))).alias("shingle"))
-    shared = _joined(found, parts.select("item_id", "n_item", "shingle"), "shingle")
-    counts = shared.groupBy("doc_id", "text_key", "item_id", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
-    return counts.filter(F.col("n_shared") >= F.col("n_item") * CONTAINMENT - 1e-9)
+    found = _joined(keyed.join(pairs, same), _packed(sets), F.col("of_item").eqNullSafe(F.col("item_id")))
+    shared = F.size(F.array_intersect(shingles(F.col("text")), F.split("packed", "\n"))).cast("long")
+    found = found.select("doc_id", F.col("of_text").alias("text_key"), "item_id", "n_item", shared.alias("n_shared"))
+    return found.filter(F.col("n_shared") >= F.col("n_item") * CONTAINMENT - 1e-9).distinct()
+
+
+def _packed(sets: DataFrame) -> DataFrame:
+    """The items' sets as text, whose bytes can be counted; no shingle holds a line feed."""
+    return materialize(sets.select("item_id", "n_item", F.array_join("set", "\n").alias("packed")), "decontam-sets")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -83,6 +119,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that contain no item."""
-    found = materialize(contained(docs, items).select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__of_text")).distinct(), "decontam-found")
-    same = docs["doc_id"].eqNullSafe(F.col("__of")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__of_text"))
+    of, of_text = fresh(docs, "of", "of_text")
+    found = materialize(contained(docs, items).select(F.col("doc_id").alias(of), F.col("text_key").alias(of_text)).distinct(), "decontam-found")
+    same = docs["doc_id"].eqNullSafe(F.col(of)) & (F.xxhash64(docs["text"].cast("string")) == F.col(of_text))
     return docs.join(found, same, "left_anti")
