@@ -10,29 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (bigint, any order, repeats allowed). One row for each node that has an edge and
-    isn't the smallest of its component: node, root."""
+    isn't the smallest of its component: node, root. Rounds are about the log of the longest path."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "star-edges")
     state = _state(edges)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    before = None
+    while state[0] and state != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialize(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star-small")
+        last, edges = edges, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star-small")
+        discard(last, large)
         before, state = state, _state(edges)
-        if state == before:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -7,8 +7,9 @@ fingerprints within the radius can lie on both sides only if the outer one is wi
 boundary fingerprints go to the inner side too. So every close pair meets in a shard.
 
 The upper tree is fitted to a bounded sample (SAMPLE fingerprints by hash order) and deals all
-distinct fingerprints to shards. Each shard goes on splitting as far as it pays and compares
-what is left exactly. It returns edges that join what links, a forest rather than all pairs, so a group of
+distinct fingerprints to shards. A shard of more than 2 * SHARD_ROWS rows is dealt again by a tree fitted to
+itself, until no shard is larger that a tree can take apart. Each shard goes on splitting as far as it
+pays and compares what is left exactly. It returns edges that join what links, a forest rather than all pairs, so a group of
 a million near copies gives a million rows at most; components() joins the forests.
 
 Defined results: null and word-less texts have fingerprint 0 and link like any other; repeated rows
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_copies
-from .base import materialize
+from .base import discard, fresh, materialize, row_hash
 from .components import components
 
 RADIUS = 3
@@ -37,6 +38,7 @@ SEED = 42
 SAMPLE = 32_768
 SHARD_ROWS = 4096
 LEAF_ROWS = 512
+COMPARED = 1 << 22
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 
@@ -132,14 +134,17 @@ def _absorb(x: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def forest(x: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (i, j) that join all of x that links, by comparing all."""
+    """Edges (i, j) that join all of x that links, by comparing all, COMPARED pairs at a time."""
     edges: list[tuple[int, int]] = []
-    for at in range(0, len(x), 128):
-        i, j = np.nonzero(np.bitwise_count(x[at : at + 128, None] ^ x[None, at:]) <= RADIUS)
+    at = 0
+    while at < len(x):
+        n = max(1, COMPARED // (len(x) - at))
+        i, j = np.nonzero(np.bitwise_count(x[at : at + n, None] ^ x[None, at:]) <= RADIUS)
         up = i < j
         edges += zip((i[up] + at).tolist(), (j[up] + at).tolist(), strict=True)
         if len(edges) > 8 * len(x) + 64:
             return list(_absorb(x))
+        at += n
     return edges
 
 
@@ -152,6 +157,43 @@ def shard_links(x: np.ndarray, half: int, leaf: int = LEAF_ROWS) -> pd.DataFrame
     return pd.DataFrame(np.unique(np.concatenate(pairs), axis=0), columns=["a", "b"])
 
 
+def _half(shard: int) -> int:
+    return (shard if shard >= 0 else ~shard) & 1
+
+
+def _inner(shard: int, leaf: int) -> int:
+    """The name of a part of a shard, of the same half. Two parts of one name would only be searched together."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(f"{shard}.{leaf}") >> 2 << 1 | _half(shard)
+
+
+def _dealt(parts: Iterator[tuple[int, np.ndarray]]) -> pd.DataFrame:
+    """Rows of (shard, fingerprints)."""
+    held = list(parts)
+    shard = np.repeat(np.array([s for s, _ in held], np.int64), [len(x) for _, x in held])
+    return pd.DataFrame({"shard": shard, "fp": np.concatenate([np.zeros(0, np.uint64), *(x for _, x in held)]).view(np.int64)})
+
+
+def split_again(routed: DataFrame, shard_rows: int) -> DataFrame:
+    """The shards with more than shard_rows rows, dealt to smaller ones, each by a tree fitted to a sample
+    of its own rows, and the others as they are. Dense shards, which no tree takes apart, stay whole; their names are negative."""
+    large = routed.groupBy("shard").agg(F.count("*").alias("n")).filter((F.col("n") > shard_rows) & (F.col("shard") >= 0))
+    large = materialize(large.select(F.col("shard").alias("of")), "simhash-large")
+    if large.isEmpty():
+        return routed
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        name, x = int(rows["shard"].iloc[0]), rows["fp"].to_numpy(np.int64).view(np.uint64)
+        sample = np.sort(x)[:: -(-len(x) // SAMPLE)]
+        nodes = grow(sample, _half(name), max(32, shard_rows * len(sample) // len(x)))
+        return rows.assign(shard=~name) if len(nodes) == 1 else _dealt((_inner(name, at), part) for at, part in deal(x, nodes))
+
+    again = routed.join(large, F.col("shard") == F.col("of"), "left_semi").groupBy("shard").applyInPandas(split, "shard long, fp long")
+    rest = routed.join(large, F.col("shard") == F.col("of"), "left_anti")
+    return split_again(materialize(rest.unionByName(again), "simhash-split"), shard_rows)
+
+
 def links(prints: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF_ROWS) -> DataFrame:
     """prints: fp, distinct. Edges (a, b) whose components are those of all links."""
     spark = prints.sparkSession
@@ -162,16 +204,16 @@ def links(prints: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF_ROWS
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = b["fp"].to_numpy(np.int64).view(np.uint64)
-            for half, nodes in enumerate(trees):
-                for at, part in deal(x, nodes):
-                    yield pd.DataFrame({"shard": np.int32(2 * at + half), "fp": part.view(np.int64)})
+            yield _dealt((2 * at + half, part) for half, nodes in enumerate(trees) for at, part in deal(x, nodes))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        return shard_links(rows["fp"].to_numpy(np.int64).view(np.uint64), int(rows["shard"].iloc[0]) & 1, leaf)
+        return shard_links(rows["fp"].to_numpy(np.int64).view(np.uint64), _half(int(rows["shard"].iloc[0])), leaf)
 
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n // (8 * shard_rows))
-    routed = prints.repartition(width).mapInPandas(route, "shard int, fp long").repartition(width, "shard")
-    return routed.groupBy("shard").applyInPandas(search, "a long, b long")
+    routed = materialize(prints.repartition(width).mapInPandas(route, "shard long, fp long"), "simhash-routed")
+    # A sample's tree leaves shards of about shard_rows; twice that is split again.
+    dealt = split_again(routed, 2 * shard_rows).repartition(width, "shard")
+    return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
 def _components(rows: DataFrame, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -196,19 +238,21 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, with all columns, one row of each component of near copies (near_copies.py: five-word shingles,
-    similarity 0.8 or more): the one with the smallest id. Of rows that share that id one stays; of
-    a component without ids one row of the smallest set."""
+    similarity 0.8 or more): the one with the smallest id, rows without an id being last. Among rows of one id the
+    smallest hash of the whole row decides, so reruns agree; of rows that are equal throughout one stays."""
     text = F.col("text").cast("string")
-    rows = materialize(docs.select("doc_id", text.alias("text"), near_copies.sketch_udf(text).alias("s")).select("doc_id", "text", "s.*"), "copies-rows")
-    found = materialize(_components(rows.select("doc_id", "fp"), lambda _: near_copies.links(rows)), "simhash-found")
-    with_id = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("print", F.lit(None).cast("long"))
-    without = found.filter("component_id is null").groupBy("root").agg(F.min("fp").alias("print"), F.count("*").alias("n"))
-    kept = materialize(with_id.unionByName(without.select(F.lit(None).cast("long").alias("doc_id"), "n", "print")), "simhash-kept")
-    # Only texts of rows without an id are read for their set here.
-    lone = F.when(F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.withColumn("__print", F.when(F.col("doc_id").isNull(), near_copies.name_udf(lone)))
-    keys = kept.select(F.col("doc_id").alias("__id"), F.col("print").alias("__of"))
-    out = out.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__print").eqNullSafe(F.col("__of")), "left_semi")
-    if not kept.filter("n > 1").isEmpty():  # some rows share what names them
-        out = out.dropDuplicates(["doc_id", "__print"])
-    return out.drop("__print")
+    named = docs.select(F.col("doc_id").alias("id"), row_hash(docs).alias("row"), text.alias("text"))
+    rows = materialize(named.select("id", "row", "text", near_copies.sketch_udf("text").alias("s")).select("id", "row", "text", "s.*"), "copies-rows")
+    roots = materialize(components(near_copies.links(rows)), "copies-groups")
+    placed = rows.select("id", "row", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("id", "row", F.coalesce("root", "fp").alias("root"))
+    # Equal rows first: they may be a third of all.
+    counted = placed.groupBy("root", "id", "row").agg(F.count("*").alias("n"))
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "n")).alias("first"))
+    of, of_row = fresh(docs, "of", "of_row")
+    kept = materialize(first.select(F.col("first.id").alias(of), F.col("first.row").alias(of_row), F.col("first.n").alias("n")), "copies-kept")
+    discard(rows, roots)
+    here = docs.withColumn(own := fresh(docs, "row")[0], row_hash(docs))
+    out = here.join(kept.drop("n"), F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(of_row)), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", own])
+    return out.drop(own)
