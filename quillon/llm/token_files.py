@@ -11,7 +11,7 @@ A task writes under a name of its own attempt and reports it; only reported file
 a repeated or speculative attempt does no harm.
 
 Encoding is exact but works on pieces between ASCII white space, which no token of the vocabulary
-crosses; distinct pieces are encoded once a process, in a cache that is emptied when full.
+crosses; distinct pieces are encoded once a process, in a table of bounded size.
 
 Defined results: null texts are empty and give the end id alone; null ids come first; rows with equal
 id are ordered by a hash of their text; extra columns are ignored; an empty table gives no files.
@@ -20,53 +20,45 @@ id are ordered by a hash of their text; extra columns are ignored; an empty tabl
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, shared_path
+from .base import by_bytes, materialize, shared_path
 
 LENGTH = 2048
 SEQUENCES_PER_BATCH = 64
-CACHE_PIECES = 160_000
-GROUP_CHARS = 1 << 20
+MAX_PIECES = 1_000_000
+GROUP_BYTES = 1 << 23
+LETTERS_AT_ONCE = 4096
 END_ID = 2
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
-class _Known(dict):
-    """Pieces seen in two groups of texts or more; others are looked up in `once`."""
-
-    once: dict[bytes, bytes]
-
-    def __missing__(self, piece: bytes) -> bytes:
-        return self.once[piece]
-
-
 class PieceEncoder:
-    """Ids of texts as little-endian bytes, by way of cached white-space pieces.
+    """Ids of texts by way of a table of white-space pieces, each of which is encoded once.
 
-    Most distinct pieces occur once, so a piece enters the lasting cache when it comes a second time.
-    Between groups of texts a full cache of new pieces is emptied, and a full lasting cache takes its
-    place, from where pieces that are still in use come back."""
+    The table is three arrays, pieces, ids and offsets, so a million pieces take about 30 MB. Splitting, the
+    distinct pieces of a group of texts and their look-up are Arrow operations; a group's ids are
+    gathered from the table at once. A table of more than MAX_PIECES keeps the pieces used since it
+    was last cut, or none if that is most of them; a piece that is gone is encoded again."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known, self.once = Tokenizer.from_file(path), np.dtype(dtype), _Known(), {}
-        self.code = {1: "B", 2: "H", 4: "I"}[self.dtype.itemsize]
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {m: self._ids([m])[0] for m in (b".", b",")}
+        self._clear()
 
     @classmethod
     def get(cls, path: str, dtype: str) -> PieceEncoder:
@@ -74,69 +66,85 @@ class PieceEncoder:
             _encoders[path, dtype] = cls(path, dtype)
         return _encoders[path, dtype]
 
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        """Words of letters only are encoded many at a time, with spaces between: each then ends with
-        the one token of its that ends a word. Other pieces are encoded one by one."""
-        texts = [p.decode() for p in pieces]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        out: list[bytes] = [b""] * len(pieces)
-        lists = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for which, e in zip(lists, self._encode([" ".join([texts[i] for i in w]) for w in lists]), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
-            if len(ends) != len(which):
-                out_of = [np.array(x.ids, self.dtype).tobytes() for x in self._encode([texts[i] for i in which])]
+    def _clear(self) -> None:
+        self.pieces, self.ids = pa.array([], pa.string()), np.zeros(0, self.dtype)
+        self.first, self.used = np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _add(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.ids = np.concatenate([self.ids, ids.astype(self.dtype)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.used = np.concatenate([self.used, np.ones(len(sizes), bool)])
+
+    def _add_one_by_one(self, pieces: pa.Array) -> None:
+        lists = self._ids(pieces.to_pylist())
+        self._add(pieces, np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def _add_letters(self, pieces: pa.Array) -> None:
+        """Pieces of letters only, many at a time with spaces between: each ends with the one token of its
+        that ends a word. Where that isn't so, they are encoded one by one."""
+        for at in range(0, len(pieces), LETTERS_AT_ONCE):
+            part = pieces.slice(at, LETTERS_AT_ONCE)
+            ids = np.concatenate([np.array(x, np.int64) for x in self._ids([" ".join(part.slice(i, 256).to_pylist()) for i in range(0, len(part), 256)])])
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                self._add(part, ids, np.diff(ends, prepend=0))
             else:
-                raw, ends = ids.tobytes(), ends.tolist()
-                out_of = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            for i, x in zip(which, out_of, strict=True):
-                out[i] = x
-        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
-        for i, e in zip(rest, self._encode([texts[i] for i in rest]), strict=True):
-            out[i] = array(self.code, e.ids).tobytes()
-        return out
-
-    def _encode(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-
-    def _learn(self, pieces: set[bytes], marked: bool = True) -> None:
-        """Make all pieces known, lastingly those that were seen before."""
-        again = pieces & self.once.keys()
-        self.known.update((p, self.once[p]) for p in again)
-        new, stems = pieces - again, {}
-        if marked:  # a full stop or comma after an ASCII letter is a token of its own
-            stems = {p: p[:-1] for p in new if p[-1] in b".," and len(p) > 1 and p[-2:-1].isalpha()}
-            self._learn({s for s in stems.values() if s not in self.known}, False)
-        new = [p for p in new if p not in stems]
-        self.once.update(zip(new, self._ids(new), strict=True))
-        self.once.update((p, self.known[s] + self.marks[p[-1:]]) for p, s in stems.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_PIECES:
-            self.once, self.known = dict(self.known), _Known()
-        elif len(self.once) > CACHE_PIECES:
-            self.once = {}
-        self.known.once = self.once
-        split = []
-        for text in texts:
-            raw = text.encode("utf-8")
-            # The tokenizer lowers letters itself; doing so first makes pieces alike, but special tokens are exact.
-            split.append(raw.split() if b"<|" in raw else raw.lower().split())
-        self._learn(set().union(*split) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
-
-
-def _groups(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in groups of about GROUP_CHARS characters."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size >= GROUP_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+                self._add_one_by_one(part)
+
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """Where pieces are in the table; -1 if they aren't."""
+        return pc.fill_null(pc.index_in(pieces, self.pieces), -1).to_numpy(zero_copy_only=False)
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Put new pieces in the table. A full stop or comma after an ASCII letter is a token of its own, so
+        the piece before it is what is encoded."""
+        marked = pc.match_substring_regex(pieces, "[A-Za-z][.,]$")
+        ends, pieces = pieces.filter(marked), pieces.filter(pc.invert(marked))
+        stems = pc.utf8_slice_codeunits(ends, 0, -1)
+        plain = pc.unique(pa.concat_arrays([pieces, stems]))
+        plain = plain.filter(pa.array(self._rows(plain) < 0))
+        letters = pc.utf8_is_alpha(plain)
+        self._add_letters(plain.filter(letters))
+        self._add_one_by_one(plain.filter(pc.invert(letters)))
+        rows = self._rows(stems)
+        sizes = np.diff(self.first)[rows]
+        marks = np.where(pc.ends_with(ends, ".").to_numpy(zero_copy_only=False), *(self._ids([m])[0][0] for m in ".,"))
+        self._add(ends, np.insert(self.ids[_spans(self.first[rows], sizes)], np.cumsum(sizes), marks), sizes + 1)
+
+    def _cut(self) -> None:
+        keep = np.flatnonzero(self.used)
+        if len(keep) > MAX_PIECES // 2:
+            return self._clear()
+        first, sizes = self.first[keep], np.diff(self.first)[keep]
+        self.ids = self.ids[_spans(first, sizes)]
+        self.pieces, self.first, self.used = self.pieces.take(pa.array(keep)), np.append(0, np.cumsum(sizes)), np.zeros(len(keep), bool)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without nulls, one after the other, and how many each has."""
+        if len(self.pieces) > MAX_PIECES:
+            self._cut()
+        # The tokenizer lowers letters itself; doing so first makes pieces alike, but special tokens are exact.
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = lists.flatten().dictionary_encode()
+        rows = self._rows(coded.dictionary)
+        if (rows < 0).any():
+            self._learn(coded.dictionary.filter(pa.array(rows < 0)))
+            rows = self._rows(coded.dictionary)
+        self.used[rows] = True
+        rows = rows[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = np.diff(self.first)[rows]
+        before = np.append(0, np.cumsum(sizes))  # ids before each piece
+        return self.ids[_spans(self.first[rows], sizes)], np.diff(before[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+
+
+def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ... of all spans, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
 
 
 def _schemas(dtype: str, length: int) -> tuple[pa.Schema, pa.Schema]:
@@ -152,15 +160,15 @@ class _Packer:
         self.writer, self.schema, self.dtype, self.length = pa.ipc.new_file(sink, schema), schema, np.dtype(dtype), length
         self.pending, self.held = [], 0
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.pending.append(ids)
         self.held += len(ids)
-        if self.held >= self.length * SEQUENCES_PER_BATCH * self.dtype.itemsize:
+        if self.held >= self.length * SEQUENCES_PER_BATCH:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
         """Write full batches; at the end also what is left, padded."""
-        flat, step = np.frombuffer(b"".join(self.pending), self.dtype), self.length * SEQUENCES_PER_BATCH
+        flat, step = np.concatenate([np.zeros(0, self.dtype), *self.pending]), self.length * SEQUENCES_PER_BATCH
         real = len(flat) if last else len(flat) // step * step
         whole = -(-real // self.length) * self.length
         if whole > len(flat):
@@ -170,7 +178,7 @@ class _Packer:
             mask = np.arange(at, at + len(part)) < real
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=self.schema.field(i).type) for i, x in enumerate((part, mask))]
             self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
-        self.pending = [flat[whole:].tobytes()]
+        self.pending = [flat[whole:].copy()]
         self.held = len(self.pending[0])
 
     def close(self) -> None:
@@ -186,7 +194,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = L
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        encoder, end = PieceEncoder.get(tokenizer, dtype), np.asarray([end_id], dtype).tobytes()
+        encoder, end = PieceEncoder.get(tokenizer, dtype), np.dtype(dtype).type(end_id)
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}.arrow"
         packer, total, n_docs = None, 0, 0
         for batch in batches:
@@ -197,14 +205,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = L
                 fs.create_dir(base)
                 sink, docs_sink = (fs.open_output_stream(f"{base}/{kind}-{name}") for kind in ("ids", "docs"))
                 packer, index = _Packer(sink, ids_schema, dtype, length), pa.ipc.new_file(docs_sink, docs_schema)
-            offsets, counts = [], []
-            for ids in chain.from_iterable(map(encoder.encode, _groups(batch.column("text")))):
-                packer.add(ids + end)
-                offsets.append(total)
-                counts.append(len(ids) // encoder.dtype.itemsize + 1)
-                total += counts[-1]
-            n_docs += len(counts)
-            index.write_batch(pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], schema=docs_schema))
+            counts = []
+            for ids, sizes in map(encoder.encode, by_bytes(batch.column("text"), GROUP_BYTES)):
+                packer.add(np.insert(ids, np.cumsum(sizes), end))
+                counts.append(sizes + 1)
+            counts = np.concatenate(counts)
+            offsets = total + np.cumsum(counts) - counts
+            total, n_docs = total + int(counts.sum()), n_docs + len(counts)
+            index.write_batch(pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(offsets), pa.array(counts)], schema=docs_schema))
         if packer is not None:
             for x in (packer, index, sink, docs_sink):
                 x.close()
@@ -255,4 +263,5 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    return manifest.repartition(max(1, manifest.count()), "part").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A file a task: the manifest has a row a file, so ranges of single rows.
+    return manifest.repartitionByRange(max(1, manifest.count()), "part").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
