@@ -1,114 +1,166 @@
 """Language identification by word-first backoff.
 
-A text is read as runs of letters, lower case. A word known from training scores the log of its
+A text is read as runs of letters (\\p{L}), lower case. A word known from training scores the log of its
 frequency in each language. An unseen word, its ends marked, scores by its character 5-grams;
 where none of them is known by 4-grams, and so on to single letters, at the mean log frequency of the
 known ones. The scores of a text add up; the best language wins, its score being its share when the
 sums are turned into probabilities.
 
-Fitting: the counts are Spark aggregations over a bounded sample of the labelled rows (MAX_ROWS, in
-order of a hash of id and text), of which MAX_WORDS words and MAX_GRAMS grams a length are kept, those
-that have the largest share of a language, however few texts that language has. So the model's size has a
-bound and it can be sent to all tasks.
+Fitting: counts are Spark aggregations over a sample of the labelled rows, whose bound MAX_ROWS is
+the model's only one (rows in order of a hash of id and text). All words and grams of these rows are kept,
+in tables of 64-bit names and log frequencies, 8 bytes and 4 a language each.
+
+Scoring: a batch is cut at white space; each distinct piece of a few megabytes of text is
+scored once, and the scores are added up by text.
 
 Defined results: `und` with score 0 for a text that is null, has no letter, or when nothing was
-learned; ties between languages go to the first by name; empty tables give no rows; extra columns
-are ignored.
+learned; ties between languages go to the first by name; empty tables give no rows; identify() puts its
+result in the column it is told, in place of one that is already called so; other columns are kept.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import by_bytes, materialize
 
 MAX_ROWS = 20_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 30_000
 LONGEST = 5
-CACHE_WORDS = 40_000
+GROUP_BYTES = 1 << 22
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+BEGIN, END = "\x02", "\x03"
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words, and how many each has."""
+    joined = "".join(words.to_pylist())
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def names(words: pa.Array) -> np.ndarray:
+    """A 64-bit name of each word, none of which is empty."""
+    points, sizes = _points(words)
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(points)) - np.repeat(starts, sizes)
+    powers = np.multiply.accumulate(np.full(int(sizes.max()) + 1, STEP))
+    return _mixed(np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * powers[place], starts))
+
+
+def grams(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all n-grams of the words, and the number of the word that each is from."""
+    points, sizes = _points(words)
+    h = np.zeros(max(0, len(points) - n + 1), np.uint64)
+    for j in range(n):
+        h = h * STEP + points[j : j + len(h)] + np.uint64(1)
+    of = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
+    inside = np.arange(len(h)) + n <= np.cumsum(sizes)[of]
+    return _mixed(h[inside]), of[inside]
 
 
 @dataclass
 class Model:
-    """Log frequencies: tables[0] by word, tables[n] by n-gram; each the units' row numbers and a
-    matrix with a column a language. Unseen words that were scored are kept as further rows."""
+    """tables[0] by word, tables[n] by n-gram: names in order, and a row of log frequencies each."""
 
     langs: list[str]
-    tables: list[tuple[dict[str, int], np.ndarray]]
-
-    def __post_init__(self) -> None:
-        known, logs = self.tables[0] if self.tables else ({}, np.zeros((0, len(self.langs)), np.float32))
-        self.known, self.cached, self.rows = known, {}, np.concatenate([logs, np.zeros((CACHE_WORDS, len(self.langs)), np.float32)])
-
-    def __reduce__(self):
-        return Model, (self.langs, self.tables)
-
-    def unseen(self, w: str) -> np.ndarray:
-        """The score of a word that training doesn't have."""
-        marked = f"\x02{w}\x03"
-        for n in range(min(LONGEST, len(marked)), 0, -1):
-            rows, logs = self.tables[n]
-            found = [rows[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in rows]
-            if found:
-                return np.add.reduce(logs[found]) / len(found)
-        return np.zeros(len(self.langs), np.float32)
-
-    def _learn(self, words: set[str]) -> None:
-        for w in words:
-            at = self.cached[w] = len(self.known) + len(self.cached)
-            self.rows[at] = self.unseen(w)
-
-    def score(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(len(self.langs))
-        for i in range(0, len(words), CACHE_WORDS // 2):
-            part = words[i : i + CACHE_WORDS // 2]
-            at = list(map(self.known.get, part))
-            others = [w for w, i in zip(part, at, strict=True) if i is None]
-            if len(self.cached) + len(others) > CACHE_WORDS:
-                self.cached = {}
-            self._learn({w for w in others if w not in self.cached})
-            at = [i for i in at if i is not None] + [self.cached[w] for w in others]
-            total += np.add.reduce(self.rows[at], axis=0, dtype=np.float64)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs or not (any(map(str.isalpha, words)) or any(map(str.isalpha, text))):
-            return UNKNOWN, 0.0
-        total = self.score(words)
-        share = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.langs[best], float(share[best] / share.sum())
+    tables: list[tuple[np.ndarray, np.ndarray]]
+
+    def _find(self, n: int, wanted: np.ndarray) -> np.ndarray:
+        """Rows in a table; -1 where there is none."""
+        known = self.tables[n][0]
+        at = np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
+        return np.where(known[at] == wanted, at, -1) if len(known) else np.full(len(wanted), -1)
+
+    def words(self, words: pa.Array) -> np.ndarray:
+        """A row of scores a word, a column a language."""
+        rows = self._find(0, names(words))
+        out = np.zeros((len(words), len(self.langs)))
+        out[rows >= 0] = self.tables[0][1][rows[rows >= 0]]
+        left = np.flatnonzero(rows < 0)
+        marked = pc.binary_join_element_wise(BEGIN, words.take(pa.array(left)), END, "")
+        for n in range(LONGEST, 0, -1):
+            if not len(left):
+                break
+            named, of = grams(marked, n)
+            rows = self._find(n, named)
+            of, rows = of[rows >= 0], rows[rows >= 0]
+            found = np.bincount(of, minlength=len(left))
+            hit = found > 0
+            for k in range(len(self.langs)):
+                sums = np.bincount(of, self.tables[n][1][rows, k], minlength=len(left))
+                out[left[hit], k] = sums[hit] / found[hit]
+            left, marked = left[~hit], marked.filter(pa.array(~hit))
+        return out
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The summed scores of each piece's words, and how many words it has."""
+        lists = pc.split_pattern_regex(pieces, r"[^\p{L}]+")
+        words = lists.flatten()
+        of = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        filled = pc.not_equal(pc.binary_length(words), 0)
+        words, of = words.filter(filled), of[filled.to_numpy(zero_copy_only=False)]
+        coded = words.dictionary_encode()
+        which, scores = coded.indices.to_numpy(zero_copy_only=False), self.words(coded.dictionary)
+        sums = [np.bincount(of, scores[which, k], minlength=len(pieces)) for k in range(len(self.langs))]
+        return np.stack(sums, axis=1), np.bincount(of, minlength=len(pieces))
+
+    def predict(self, texts: pa.Array) -> pa.Array:
+        """lang_pred and score of each text."""
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        coded = lists.flatten().dictionary_encode()
+        scores, counts = self.pieces(coded.dictionary)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        total = np.stack([np.bincount(of, scores[which, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
+        share = np.exp(total - total.max(axis=1, keepdims=True))
+        best, n_words = total.argmax(axis=1), np.bincount(of, counts[which], minlength=len(texts))
+        score = np.where(n_words > 0, 1 / share.sum(axis=1), 0.0)
+        lang = pa.array(self.langs).take(pa.array(best))
+        return _result(pc.if_else(pa.array(n_words > 0), lang, UNKNOWN), pa.array(score))
+
+
+def _result(lang: pa.Array, score: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([lang, score], names=["lang_pred", "score"])
 
 
 def _letters(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def _grams(text: Column, n: int) -> Column:
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
-    return F.transform(starts, lambda i: F.substring(text, i, n))
+def _units(word: Column) -> Column:
+    """A word as unit 0 and its n-grams as units n."""
+    marked = F.concat(F.lit(BEGIN), word, F.lit(END))
+    whole = F.array(F.struct(F.lit(0).alias("n"), word.alias("unit")))
 
+    def grams_of(n: int) -> Column:
+        starts = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.substring(marked, i, n).alias("unit")))
 
-def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """counts: unit, lang, n. Log frequencies, add-half smoothed, of the units with the largest share of
-    a language, so that a common language doesn't crowd out a rare one."""
-    of_lang = counts.groupBy("lang").agg(F.sum("n").alias("of_lang"))  # a row a language
-    shares = counts.join(F.broadcast(of_lang), "lang").groupBy("unit").agg(F.max(F.col("n") / F.col("of_lang")).alias("share"))
-    top = shares.orderBy(F.col("share").desc(), "unit").limit(most)
-    rows = counts.join(top.select("unit"), "unit").groupBy("unit").pivot("lang", langs).agg(F.sum("n")).na.fill(0).toPandas()
-    n = rows[langs].to_numpy(np.float64)
-    logs = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n)))
-    return {unit: i for i, unit in enumerate(rows["unit"])}, logs.astype(np.float32)
+    return F.concat(whole, *map(grams_of, range(1, LONGEST + 1)))
+
+
+def _table(counts: pa.Table, langs: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log frequencies, add-half smoothed, in the order of the units' names."""
+    rows = counts.filter(pc.equal(counts["n"], n))
+    units = rows["unit"].combine_chunks() if len(rows) else pa.array([], pa.string())
+    named = grams(units, n)[0] if n else names(units)
+    number = np.stack([rows[f"lang{k}"].to_numpy() for k in range(len(langs))], axis=1).astype(np.float64)
+    logs = np.log((number + 0.5) / (number.sum(axis=0) + 0.5 * len(number))) if len(number) else number
+    order = np.argsort(named)
+    return named[order], logs[order].astype(np.float32)
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
@@ -122,27 +174,32 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = rows.filter(F.col("order") <= last)
     words = materialize(rows.select("lang", F.explode(_letters(F.col("text"))).alias("unit")).groupBy("lang", "unit").agg(F.count("*").alias("n")), "langid-words")
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())  # labels, not rows
-    tables = [_table(words, langs, MAX_WORDS)]
-    marked = F.concat(F.lit("\x02"), "unit", F.lit("\x03"))
-    for n in range(1, LONGEST + 1):
-        grams = words.select("lang", "n", F.explode(_grams(marked, n)).alias("unit"))
-        tables.append(_table(grams.groupBy("lang", "unit").agg(F.sum("n").alias("n")), langs, MAX_GRAMS))
-    return Model(langs, tables)
+    if not langs:
+        return Model([], [])
+    # One column a language, under plain names.
+    by_word = words.groupBy("unit").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"lang{k}") for k, lang in enumerate(langs)])
+    sums = [F.sum(f"lang{k}").alias(f"lang{k}") for k in range(len(langs))]
+    units = by_word.select(F.explode(_units(F.col("unit"))).alias("u"), *[f"lang{k}" for k in range(len(langs))])
+    counts = units.groupBy("u.n", "u.unit").agg(*sums).toArrow()  # bounded by max_rows
+    return Model(langs, [_table(counts, langs, n) for n in range(LONGEST + 1)])
 
 
 def predictor(model: Model, docs: DataFrame):
     """A Column function text -> (lang_pred, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by MAX_WORDS and MAX_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_ROWS
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def predict(texts: pa.Array) -> pa.Array:
         use = shared.value
-        return pd.DataFrame([use.predict(t) for t in texts], columns=["lang_pred", "score"])
+        if not use.langs:
+            return _result(pa.array([UNKNOWN] * len(texts), pa.string()), pa.array([0.0] * len(texts), pa.float64()))
+        parts = [use.predict(group) for group in by_bytes(texts, GROUP_BYTES)]
+        return pa.concat_arrays(parts) if parts else _result(pa.array([], pa.string()), pa.array([], pa.float64()))
 
-    return predict.asNondeterministic()  # so that a filter on the result doesn't compute it again
+    predict.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()  # so that a filter on the result doesn't compute it again
 
 
-def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """docs with all its columns and a struct `langid` of lang_pred and score."""
+def identify(docs: DataFrame, training: DataFrame, column: str = "langid") -> DataFrame:
+    """docs with all its columns and a struct of lang_pred and score, named by `column`."""
     predict = predictor(fit(training), docs)
-    return docs.withColumn("langid", predict(F.col("text").cast("string")))
+    return docs.withColumn(column, predict(F.col("text").cast("string")))

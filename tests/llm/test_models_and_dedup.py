@@ -121,13 +121,6 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(odd.limit(0), training).count() == 0
 
 
-def test_words_of_a_rare_language_stay_in_the_table(spark):
-    assert (langid.MAX_WORDS, langid.MAX_GRAMS) == (100_000, 30_000)
-    counts = [(f"common{i}", "en", 50) for i in range(100)] + [(f"rare{i}", "fi", 2) for i in range(5)]
-    table, logs = langid._table(spark.createDataFrame(counts, "unit string, lang string, n long"), ["en", "fi"], 20)
-    assert len(table) == len(logs) == 20 and {f"rare{i}" for i in range(5)} < set(table)
-
-
 def brute_substring(rows):
     first, want = {}, []
     for i, words in rows:
