@@ -7,8 +7,9 @@ also starts in a document with a smaller id; a word goes if such a window covers
    multiple of BLOCK in its own document. Those blocks are the index; every rolling block of every
    document probes it. Hashes meet in shards by hash range.
 2. Extension. A hit is extended to the windows that hold it, in the documents on both sides. Only these
-   windows are hashed in full (64 bits, in shards by hash range); adjacent windows that
-   match make up the maximal exact repeat. The smallest id of each window decides.
+   windows are named in full, by 128 bits in shards by hash range; adjacent windows that match make up the
+   maximal exact repeat. The smallest id of each window decides. Blocks that only seem equal cost work but
+   change nothing.
 3. The marked windows meet their documents again, and covered words go.
 
 Hot passages: before anything is shuffled, each batch settles what it can. A window that occurs several
@@ -40,7 +41,6 @@ BLOCK = (WINDOW + 1) // 2
 BATCH_WORDS = 1 << 20
 WORDS_PER_SHARD = 4_000_000
 CHARS_A_WORD = 6
-MAX_BUCKETS = 4096
 FAR = np.iinfo(np.int64).max
 PACKED = "shard int, keys binary, ids binary, rows binary, counts binary, places binary"
 
@@ -49,12 +49,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, size: int, step: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A 64-bit hash of each run of `size` word hashes."""
     n = max(0, len(hashes) - size + 1)
     h = np.zeros(n, np.uint64)
     for j in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+        h = h * np.uint64(step) + hashes[j : j + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -64,13 +64,15 @@ def planes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
 
 
-def unplanes(raw: bytes, dtype: str) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+def unplanes(raw: bytes, dtype: str, columns: int = 1) -> np.ndarray:
+    width = np.dtype(dtype).itemsize * columns
+    a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype)
+    return a.ravel() if columns == 1 else a
 
 
 class Entries:
-    """Occurrences of hashes: key, id (of the document), row (that tells rows apart) and place."""
+    """Occurrences of hashes: key (one column, or two that count together), id (of the document), row (that
+    tells rows apart) and place."""
 
     def __init__(self, key: np.ndarray, ids: np.ndarray, rows: np.ndarray, place: np.ndarray):
         self.key, self.ids, self.rows, self.place = key, ids, rows, place
@@ -87,20 +89,26 @@ class Entries:
         return {"shard": shard, "keys": planes(self.key) if with_keys else b"", "ids": planes(self.ids[first]), "rows": planes(self.rows[first]), "counts": planes(counts.astype("<u4")), "places": planes(self.place.astype("<u4"))}
 
     @classmethod
-    def unpack(cls, payloads: pd.DataFrame, dtype: str) -> Entries:
+    def unpack(cls, payloads: pd.DataFrame, dtype: str, columns: int) -> Entries:
         parts: list[list[np.ndarray]] = [[], [], [], []]
         for keys, ids, rows, counts, places in zip(*(payloads[c] for c in ("keys", "ids", "rows", "counts", "places")), strict=True):
             n = unplanes(counts, "<u4")
-            new = (unplanes(keys, dtype), np.repeat(unplanes(ids, "<i8"), n), np.repeat(unplanes(rows, "<i8"), n), unplanes(places, "<u4"))
+            new = (unplanes(keys, dtype, columns), np.repeat(unplanes(ids, "<i8"), n), np.repeat(unplanes(rows, "<i8"), n), unplanes(places, "<u4"))
             for part, x in zip(parts, new, strict=True):
                 part.append(x)
-        return cls(*(np.concatenate(p) if p else np.zeros(0, d) for p, d in zip(parts, (dtype, "<i8", "<i8", "<u4"), strict=True)))
+        none = (np.zeros((0, columns) if columns > 1 else 0, dtype), np.zeros(0, "<i8"), np.zeros(0, "<i8"), np.zeros(0, "<u4"))
+        return cls(*(np.concatenate(p) if p else n for p, n in zip(parts, none, strict=True)))
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that sorts key, where groups start in it, and their sizes."""
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else np.zeros(0, np.int64)
+    if key.ndim == 1:
+        order = np.argsort(key, kind="stable")
+        new = np.diff(key[order]) != 0
+    else:
+        order = np.lexsort(key.T[::-1])
+        new = (np.diff(key[order], axis=0) != 0).any(axis=1)
+    first = np.flatnonzero(np.concatenate([[True], new])) if len(key) else np.zeros(0, np.int64)
     return order, first, np.diff(np.append(first, len(key)))
 
 
@@ -143,7 +151,8 @@ def _deal(e: Entries, n_shards: int, settle: Callable, short: bool, spread: int)
     if row := e[done].pack(spread % n_shards, False):
         yield row
     e = e[open_]
-    shard = (((e.key >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)).astype(np.uint16 if n_shards <= 65536 else np.uint32)
+    leading = e.key if e.key.ndim == 1 else e.key[:, 0]
+    shard = (((leading >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)).astype(np.uint16 if n_shards <= 65536 else np.uint32)
     order = np.argsort(shard, kind="stable")
     key = e.key.astype("<u4") if short else e.key
     e, shard = Entries(key, e.ids, e.rows, e.place)[order], shard[order]
@@ -151,10 +160,10 @@ def _deal(e: Entries, n_shards: int, settle: Callable, short: bool, spread: int)
         yield e[slice(at, end)].pack(int(shard[at]), True)
 
 
-def _collect(payloads: pd.DataFrame, settle: Callable, dtype: str, n_buckets: int) -> pd.DataFrame:
+def _collect(payloads: pd.DataFrame, settle: Callable, dtype: str, columns: int, n_buckets: int) -> pd.DataFrame:
     """In a shard: the entries that are hits or marked, packed by bucket, a range of hashes of rows."""
     bare = payloads["keys"].map(len) == 0
-    e, settled = Entries.unpack(payloads[~bare], dtype), Entries.unpack(payloads[bare].assign(keys=b""), dtype)
+    e, settled = Entries.unpack(payloads[~bare], dtype, columns), Entries.unpack(payloads[bare].assign(keys=b""), dtype, columns)
     e = e[settle(e)[0]]
     rows, place = (np.concatenate([getattr(e, c), getattr(settled, c)]) for c in ("rows", "place"))
     bucket = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n_buckets
@@ -178,10 +187,16 @@ def _gather(payloads: pd.DataFrame) -> pd.DataFrame:
 
 
 def _word_hashes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    from xxhash import xxh64_intdigest
+    """Two 64-bit hashes of each word, and how many words each list has."""
+    from xxhash import xxh3_128_digest
 
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(map(xxh64_intdigest, chain.from_iterable(lists)), np.uint64, int(sizes.sum())), sizes
+    return np.frombuffer(b"".join(map(xxh3_128_digest, chain.from_iterable(lists))), ">u8").astype(np.uint64).reshape(-1, 2), sizes
+
+
+def window_keys(hashes: np.ndarray) -> np.ndarray:
+    """128 bits for each window: windows of one key are taken for the same words."""
+    return np.stack([rolling(hashes[:, 0], WINDOW), rolling(hashes[:, 1], WINDOW, 0xC2B2AE3D27D4EB4F)], axis=1)
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
@@ -218,7 +233,7 @@ def _anchors(n_shards: int) -> Callable:
         def deal() -> Iterator[dict]:
             for nth, held in enumerate(_batches(rows)):
                 hashes, sizes = _word_hashes([r[2] for r in held])
-                key = rolling(hashes, BLOCK)
+                key = rolling(hashes[:, 0], BLOCK)
                 start = np.cumsum(sizes) - sizes
                 doc = np.repeat(np.arange(len(held)), sizes)[: len(key)]
                 place = np.arange(len(key)) - start[doc]
@@ -238,7 +253,7 @@ def _windows(n_shards: int) -> Callable:
         def deal() -> Iterator[dict]:
             for nth, held in enumerate(_batches(rows)):
                 hashes, sizes = _word_hashes([r[2] for r in held])
-                key = rolling(hashes, WINDOW)
+                key = window_keys(hashes)
                 start, n = np.cumsum(sizes) - sizes, np.array([len(r[3]) for r in held])
                 place = np.concatenate([r[3] for r in held])
                 ids, row = (np.repeat(np.array([r[i] for r in held], np.int64), n) for i in (0, 1))
@@ -294,14 +309,24 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)) if rows else [[]] * 5, strict=True)), schema=schema)
 
 
-def _sharded(packed: DataFrame, n_shards: int, settle: Callable, dtype: str) -> DataFrame:
-    n_buckets = min(n_shards, MAX_BUCKETS)
+def _whole(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable:
+    """run on all rows of a partition, which repartitionById makes one shard or bucket."""
+
+    def on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if held := [b for b in batches if len(b)]:
+            yield run(pd.concat(held, ignore_index=True))
+
+    return on
+
+
+def _sharded(packed: DataFrame, n_shards: int, settle: Callable, dtype: str, columns: int) -> DataFrame:
+    """Shard i is partition i, and so is bucket i. A shard gives a row a bucket at most, and no more rows than hits."""
 
     def collect(rows: pd.DataFrame) -> pd.DataFrame:
-        return _collect(rows, settle, dtype, n_buckets)
+        return _collect(rows, settle, dtype, columns, n_shards)
 
-    found = packed.repartition(n_shards, "shard").groupBy("shard").applyInPandas(collect, "bucket int, rows binary, counts binary, places binary")
-    return found.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_gather, "of long, found binary")
+    found = packed.repartitionById(n_shards, F.col("shard")).mapInPandas(_whole(collect), "bucket int, rows binary, counts binary, places binary")
+    return found.repartitionById(n_shards, F.col("bucket")).mapInPandas(_whole(_gather), "of long, found binary")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -313,14 +338,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_shards = max(width, chars // CHARS_A_WORD // WORDS_PER_SHARD)
 
-    hits = _sharded(docs.mapInArrow(_anchors(n_shards), PACKED), n_shards, settle_anchors, "<u4")
+    hits = _sharded(docs.mapInArrow(_anchors(n_shards), PACKED), n_shards, settle_anchors, "<u4", 1)
     hits = materialize(hits.withColumnRenamed("found", "hits"), "substring-hits")
     met = docs.join(hits, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "hits")
     extended = met.mapInArrow(_extend, "doc_id long, text string, n_words long, starts binary, sha string")
     extended = materialize(extended.withColumn("row", F.monotonically_increasing_id()), "substring-extended")
 
     candidates = extended.filter("starts is not null")
-    marked = _sharded(candidates.select("doc_id", "row", "text", "starts").mapInArrow(_windows(n_shards), PACKED), n_shards, settle_windows, "<u8")
+    marked = _sharded(candidates.select("doc_id", "row", "text", "starts").mapInArrow(_windows(n_shards), PACKED), n_shards, settle_windows, "<u8", 2)
     marked = materialize(marked.withColumnRenamed("found", "marked"), "substring-marked")
     cut = candidates.join(marked, F.col("row") == F.col("of"), "left").select("doc_id", "n_words", "text", "marked")
     cut = cut.mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
