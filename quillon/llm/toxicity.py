@@ -7,13 +7,15 @@ decoding takes the path with the best sum of channel cost and character-trigram
 restored words join the text's own. Features are the distinct words and their beginnings of PREFIXES
 letters; a logistic regression on the features that tell the classes apart gives the score.
 
-The trigrams are counted over all documents, labelled or not. The classifier is fitted on a bounded
-sample of labelled rows (MAX_ROWS by hash of id). MAX_FEATURES features and the MAX_TRIGRAMS most
-frequent trigrams are kept, so the model's size has a bound.
+The trigrams are counted over all documents, labelled or not, and all are kept: they are over the letters that
+signs can stand for and their accented kin (ALPHABET), all other letters counting as one, so there are
+59**3 at most. The classifier is fitted on a sample of labelled rows, whose bound MAX_ROWS (by hash of id) is its
+only one: every feature whose evidence reaches MIN_EVIDENCE is used.
 
 Defined results: null and empty texts get the score of a text without features; equal texts get equal
 scores; without labels of both classes every score is 0; ids labelled twice count once, as toxic if any
-label says so; an empty table gives no rows; extra columns are ignored.
+label says so; an empty table gives no rows; score() puts its result in the column it is told, in place of one
+that is already called so, and keeps the others.
 """
 
 from __future__ import annotations
@@ -32,12 +34,11 @@ from pyspark.sql import functions as F
 from .base import materialize
 
 MAX_ROWS = 20_000
-MAX_FEATURES = 4_000
-MAX_TRIGRAMS = 50_000
 MIN_EVIDENCE = 12.0
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 200_000
-EDGE = "\x02"
+EDGE, OTHER = "\x02", "\x01"
+ALPHABET = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ" + EDGE)
 
 # The letters that signs stand for.
 LOOKALIKES = {
@@ -57,7 +58,7 @@ SIGN = re.compile(r"[0-9@$!|+(]")
 
 @dataclass
 class Language:
-    """Character trigrams with backoff to pairs and single characters."""
+    """Trigrams of characters of ALPHABET and OTHER with backoff to pairs and single characters."""
 
     threes: dict[str, int]
     twos: Counter = field(default_factory=Counter)
@@ -105,6 +106,7 @@ def decode(stretch: str, language: Language) -> str:
             for letters, cost in place:
                 x, y, s = a, b, score + cost
                 for c in letters:
+                    c = c if c in ALPHABET else OTHER
                     s += language.log(x, y, c)
                     x, y = y, c
                 if (x, y) not in after or s > after[x, y][0]:
@@ -175,13 +177,14 @@ class Model:
 
 
 def learn_language(texts: DataFrame) -> Language:
-    """texts: text. Trigram counts, a Spark aggregation, of which the most frequent are kept."""
+    """texts: text. Trigram counts of all texts, a Spark aggregation."""
     word = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
     counts = texts.select(word.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    marked = F.concat(F.lit(EDGE * 2), "w", F.lit(EDGE))
+    folded = F.regexp_replace("w", f"[^{''.join(sorted(ALPHABET - {EDGE}))}]", OTHER)
+    marked = F.concat(F.lit(EDGE * 2), folded, F.lit(EDGE))
     grams = F.transform(F.sequence(F.lit(1), F.length(marked) - 2), lambda i: F.substring(marked, i, 3))
-    top = counts.select("n", F.explode(grams).alias("g")).groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "g").limit(MAX_TRIGRAMS)
-    return Language({r["g"]: r["n"] for r in top.collect()})
+    found = counts.select("n", F.explode(grams).alias("g")).groupBy("g").agg(F.sum("n").alias("n"))
+    return Language({r["g"]: r["n"] for r in found.collect()})  # 59**3 rows at most
 
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, n: int, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -221,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     # Evidence: how much likelier the toxic rows make the feature, summed over its toxic rows.
     tallies = rows.mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     evidence = F.col("toxic") * F.log(((F.col("toxic") + 0.1) / n[True]) / ((F.col("clean") + 0.5) / n[False]))
-    chosen = tallies.filter("toxic >= 3").withColumn("evidence", evidence).filter(F.col("evidence") >= MIN_EVIDENCE)
-    names = [r["f"] for r in chosen.orderBy(F.col("evidence").desc(), "f").limit(MAX_FEATURES).collect()]
+    chosen = tallies.filter(evidence >= MIN_EVIDENCE)
+    names = sorted(r["f"] for r in chosen.select("f").collect())  # of MAX_ROWS texts
     number = {f: i for i, f in enumerate(names)}
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,13 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return Model(language, dict(zip(names, weights.tolist(), strict=True)), bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, with all columns, and `toxicity`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_FEATURES and MAX_TRIGRAMS
+def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """docs, with all columns, and their score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_ROWS and the alphabet
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         model = shared.value
         return texts.map(model.score, na_action=None).astype("float64")
 
-    return docs.withColumn("toxicity", run(F.col("text").cast("string")))
+    return docs.withColumn(column, run(F.col("text").cast("string")))
