@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, n_words
+from .base import fresh, materialize, n_words
 
 BITS = 12
 PLACES = 1 << (2 * BITS)
@@ -41,9 +41,9 @@ def ties(text: Column, number: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(text.cast("string")), F.lit(PLACES)), F.pmod(F.xxhash64(number), F.lit(PLACES))]
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and places of every document. Its number is __mix_number or given here."""
-    number = F.col("__mix_number") if "__mix_number" in docs.columns else F.monotonically_increasing_id()
+def measure(docs: DataFrame, number: Column | None = None) -> DataFrame:
+    """doc_id, source, size and places of every document. number tells rows apart; without it they are counted."""
+    number = F.monotonically_increasing_id() if number is None else number
     by_text, by_number = ties(F.col("text"), number)
     return docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place"), by_text.alias("tie"), by_number.alias("tie2")
@@ -97,12 +97,12 @@ def _threshold(eligible: DataFrame, label: str) -> DataFrame:
     return materialize(out.select("source", F.coalesce("threshold", F.lit(PLACES)).alias("threshold"), F.coalesce("got", "below").alias("got")), label)
 
 
-def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, number: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The measured documents, and one row a source: source_size, target, whole (full copies of
     all its documents) and rounds, an array of (start, threshold, fits): a document gets one copy more if in
     a round its place lies from start up to threshold and its size is at most fits; so does a row at the place
     ties.at that is below ties.tie and fits ties.need, or is at ties.tie, below ties.tie2 and fits ties.need2."""
-    sizes = materialize(measure(docs), "mix-sizes")
+    sizes = materialize(measure(docs, number), "mix-sizes")
     per_source = targets(sizes).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per_source = per_source.withColumn("need", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     per_source = materialize(per_source.withColumn("start", F.lit(0).cast("long")).withColumn("rounds", F.array().cast("array<struct<start:bigint,threshold:bigint,fits:bigint>>")), "mix-sources")
@@ -156,13 +156,13 @@ def mix(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """docs with all its columns, each row as often as the mix takes it. Rows without words count
     nothing towards a target and are kept once."""
+    of, whole, rounds, end, number, size, at, copy = fresh(docs, "of", "whole", "rounds", "ties", "number", "words", "place", "copy")
     # A row's number must be the same in the plan and here.
-    numbered = materialize(docs.withColumn("__mix_number", F.monotonically_increasing_id()), "mix-numbered")
-    _, per_source = plan(numbered)
-    side = per_source.select(F.col("source").alias("__mix_of"), F.col("whole").alias("__mix_whole"), F.col("rounds").alias("__mix_rounds"), F.col("ties").alias("__mix_ties"))
-    size, at = F.col("__mix_size"), F.col("__mix_place")
-    joined = numbered.withColumns({"__mix_size": n_words(F.col("text")), "__mix_place": place(F.col("doc_id"))})
-    joined = joined.join(side, F.col("source").cast("string").eqNullSafe(F.col("__mix_of")))
-    n = F.when(size == 0, 1).otherwise(copies(size, at, *ties(F.col("text"), F.col("__mix_number")), F.col("__mix_whole"), F.col("__mix_rounds"), F.col("__mix_ties")))
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "mix-numbered")
+    _, per_source = plan(numbered, F.col(number))
+    side = per_source.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("rounds").alias(rounds), F.col("ties").alias(end))
+    joined = numbered.withColumns({size: n_words(F.col("text")), at: place(F.col("doc_id"))})
+    joined = joined.join(side, F.col("source").cast("string").eqNullSafe(F.col(of)))
+    n = F.when(F.col(size) == 0, 1).otherwise(copies(F.col(size), F.col(at), *ties(F.col("text"), F.col(number)), F.col(whole), F.col(rounds), F.col(end)))
     # An array of n elements, exploded, gives n rows and none for 0.
-    return joined.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*docs.columns)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*docs.columns)
