@@ -13,7 +13,7 @@ assistant texts.
 
 Defined results: null texts and roles are empty; rows of equal conversation and turn are ordered by
 role and text; messages whose parent is missing are roots; a cycle has no root and gives no
-path; null conversation ids form one conversation; extra columns are ignored.
+path; null conversation ids form one conversation; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def _jump(active: DataFrame, done: DataFrame) -> DataFrame:
     return joined.select("conv_id", "message_id", F.col("up2").alias("up"), (F.col("gain") + F.col("gain2")).alias("gain"), (F.col("steps") + F.col("steps2")).alias("steps"))
 
 
-def paths(messages: DataFrame, best: int = 1, max_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """messages: conv_id, message_id, parent_id, role, text, score. The rows of the best root-to-leaf
     paths of each conversation: conv_id, path (1 is best), step (0 is the root), role, text.
 
@@ -64,11 +64,13 @@ def paths(messages: DataFrame, best: int = 1, max_rounds: int = 40) -> DataFrame
     linked = messages.join(ids, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent_id") == F.col("m")), "left")
     links = materialize(linked.select("conv_id", "message_id", F.col("m").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("gain"), F.lit(1).cast("long").alias("steps")), "chat-links")
     jumps, active, done = [], links.filter("up is not null"), links.filter("up is null")
-    while len(jumps) < max_rounds and not active.isEmpty():
+    left, before = active.count(), None
+    # Each round ends messages as long as there are any that deep; what is left when none ends hangs on a cycle.
+    while left and left != before:
         jumps.append(active)
         links = materialize(_jump(active, done), "chat-jumps")
         active, done = links.filter("up is not null"), done.unionByName(links.filter("up is null"))
-    # What still has an upper end after the last round hangs on a cycle.
+        left, before = active.count(), left
     whole = done.drop("up")
     parents = linked.select(F.col("conv_id").alias("c"), F.col("m")).filter("m is not null").distinct()
     leaves = whole.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message_id") == F.col("m")), "left_anti")
@@ -79,7 +81,7 @@ def paths(messages: DataFrame, best: int = 1, max_rounds: int = 40) -> DataFrame
         up = jumps[k].select(F.col("conv_id").alias("c"), F.col("message_id").alias("m"), "up")
         higher = on_path.join(up, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message_id") == F.col("m")))
         higher = higher.select("conv_id", "path", F.col("up").alias("message_id"), (F.col("step") - (1 << k)).alias("step"))
-        on_path = materialize(on_path.unionByName(higher), "chat-path")
+        on_path = on_path.unionByName(materialize(higher, "chat-path"))  # only new rows are written
     named = on_path.select(F.col("conv_id").alias("c"), "path", "step", F.col("message_id").alias("m"))
     joined = messages.join(named, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message_id") == F.col("m")))
     return joined.select("conv_id", "path", "step", "role", "text")

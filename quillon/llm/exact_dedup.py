@@ -8,7 +8,7 @@ entry, which is deleted and inserted anew. A failed insertion doubles the table
 the stored keys. Shards follow from the row count, so their size stays bounded.
 
 Defined results: null texts equal the empty text; of rows with equal text and equal id exactly one
-stays; a null id stays only if all ids of its group are null; an empty table gives no rows.
+stays; a null id stays only if all ids of its group are null; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
