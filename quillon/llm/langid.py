@@ -6,15 +6,16 @@ where none of them is known by 4-grams, and so on to single letters, at the mean
 known ones. The scores of a text add up; the best language wins, its score being its share when the
 sums are turned into probabilities.
 
-Fitting: counts are Spark aggregations over a sample of the labelled rows, whose bound MAX_ROWS is
-the model's only one (rows in order of a hash of id and text). All words and grams of these rows are kept,
-in tables of 64-bit names and log frequencies, 8 bytes and 4 a language each.
+Fitting: counts are Spark aggregations over a sample of the labelled rows, in order of a hash of id and text, whose
+bounds MAX_ROWS and MAX_BYTES (of text; one row at least) are the model's only ones. All words and grams of these rows
+are kept, in tables of 64-bit names and log frequencies, 8 bytes and 4 a language each.
 
 Scoring: a batch is cut at white space; each distinct piece of a few megabytes of text is
 scored once, and the scores are added up by text.
 
 Defined results: `und` with score 0 for a text that is null, has no letter, or when nothing was
-learned; ties between languages go to the first by name; empty tables give no rows; identify() puts its
+learned; ties between languages go to the first by name; rows alike in id, text and language are learned from once; very long
+texts and words are read whole, in time that grows with their length; empty tables give no rows; identify() puts its
 result in the column it is told, in place of one that is already called so; other columns are kept.
 """
 
@@ -25,12 +26,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import by_bytes, materialize
 
 MAX_ROWS = 20_000
+MAX_BYTES = 1 << 27
 LONGEST = 5
 GROUP_BYTES = 1 << 22
 UNKNOWN = "und"
@@ -146,8 +148,8 @@ def _units(word: Column) -> Column:
     whole = F.array(F.struct(F.lit(0).alias("n"), word.alias("unit")))
 
     def grams_of(n: int) -> Column:
-        starts = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.substring(marked, i, n).alias("unit")))
+        found = F.regexp_extract_all(marked, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))  # one pass a word, however long
+        return F.transform(found, lambda g: F.struct(F.lit(n).alias("n"), g.alias("unit")))
 
     return F.concat(whole, *map(grams_of, range(1, LONGEST + 1)))
 
@@ -163,15 +165,18 @@ def _table(counts: pa.Table, langs: list[str], n: int) -> tuple[np.ndarray, np.n
     return named[order], logs[order].astype(np.float32)
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """labelled: doc_id, text, lang (null: unlabelled)."""
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.withColumn("order", F.xxhash64("doc_id", "text"))
-    # The limit is on the ids; only their texts are read in full.
-    last = rows.select("order").orderBy("order").limit(max_rows).agg(F.max("order")).first()[0]
+    # The limit is on the ids and sizes; only the texts of those within it are read in full.
+    first = rows.select("order", F.octet_length("text").cast("long").alias("size")).orderBy("order").limit(max_rows)
+    before = F.sum("size").over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, -1))  # over max_rows rows
+    within = first.select("order", (F.coalesce(before, F.lit(0)) + F.col("size")).alias("through"), F.isnull(before).alias("first"))
+    last = within.filter((F.col("through") <= max_bytes) | F.col("first")).agg(F.max("order")).first()[0]
     if last is None:
         return Model([], [])
-    rows = rows.filter(F.col("order") <= last)
+    rows = rows.filter(F.col("order") <= last).dropDuplicates(["order", "lang"])
     words = materialize(rows.select("lang", F.explode(_letters(F.col("text"))).alias("unit")).groupBy("lang", "unit").agg(F.count("*").alias("n")), "langid-words")
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())  # labels, not rows
     if not langs:
@@ -180,13 +185,13 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     by_word = words.groupBy("unit").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"lang{k}") for k, lang in enumerate(langs)])
     sums = [F.sum(f"lang{k}").alias(f"lang{k}") for k in range(len(langs))]
     units = by_word.select(F.explode(_units(F.col("unit"))).alias("u"), *[f"lang{k}" for k in range(len(langs))])
-    counts = units.groupBy("u.n", "u.unit").agg(*sums).toArrow()  # bounded by max_rows
+    counts = units.groupBy("u.n", "u.unit").agg(*sums).toArrow()  # of max_bytes of text
     return Model(langs, [_table(counts, langs, n) for n in range(LONGEST + 1)])
 
 
 def predictor(model: Model, docs: DataFrame):
     """A Column function text -> (lang_pred, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_ROWS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of MAX_BYTES of text
 
     def predict(texts: pa.Array) -> pa.Array:
         use = shared.value

@@ -14,7 +14,8 @@ only one: every feature whose evidence reaches MIN_EVIDENCE is used.
 
 Defined results: null and empty texts get the score of a text without features; equal texts get equal
 scores; without labels of both classes every score is 0; ids labelled twice count once, as toxic if any
-label says so; an empty table gives no rows; score() puts its result in the column it is told, in place of one
+label says so, and of documents with one id the text that is first in order is learned from; very long texts and words are
+read whole, in time that grows with their length; an empty table gives no rows; score() puts its result in the column it is told, in place of one
 that is already called so, and keeps the others.
 """
 
@@ -53,6 +54,7 @@ LETTERS = re.compile(rf"{LETTER}+")
 MIXED = re.compile(rf"(?<![\w@$!|+(])(?:[0-9@$!|+(]*+{LETTER}++[0-9@$!|+(]++|[0-9@$!|+(]++{LETTER}{{2}})(?:{LETTER}|[0-9@$!|+(])*+")
 APART = re.compile(r"(?<![^\s])[\w@$!|](?:[ ._*-][\w@$!|]){2,}(?![^\s.,;:!?])")
 REPEATED = re.compile(rf"{LETTER}*({LETTER})\1\1{LETTER}*")
+THRICE = re.compile(rf"({LETTER})\1\1")
 SIGN = re.compile(r"[0-9@$!|+(]")
 
 
@@ -137,7 +139,7 @@ class Reader:
         low = (text or "").lower()
         found = set(LETTERS.findall(low))
         # Words are distinct here, so a repeated letter is looked for once a word.
-        stretches = {w for w in found if len(w) > 3 and REPEATED.fullmatch(w)}
+        stretches = {w for w in found if len(w) > 3 and REPEATED.fullmatch(w)} if THRICE.search(low) else set()
         if SIGN.search(low):
             stretches.update(m.rstrip("0123456789@$!|+(") if not m[-1].isalpha() and not SIGN.search(m.rstrip("0123456789@$!|+(")) else m for m in MIXED.findall(low))
         stretches.update(m for m in APART.findall(low) if len(set(m[::2])) > 1)
@@ -172,7 +174,8 @@ class Model:
             known = self.cache.get(w)
             if known is None:
                 known = self.cache[w] = [f for f in features(w) if f in self.weights]
-            found.update(known)
+            if known:
+                found.update(known)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.bias + sum(self.weights[f] for f in sorted(found))))))
 
 
@@ -182,7 +185,7 @@ def learn_language(texts: DataFrame) -> Language:
     counts = texts.select(word.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     folded = F.regexp_replace("w", f"[^{''.join(sorted(ALPHABET - {EDGE}))}]", OTHER)
     marked = F.concat(F.lit(EDGE * 2), folded, F.lit(EDGE))
-    grams = F.transform(F.sequence(F.lit(1), F.length(marked) - 2), lambda i: F.substring(marked, i, 3))
+    grams = F.regexp_extract_all(marked, F.lit(r"(?s)(?=(.{3}))."), F.lit(1))  # one pass a word, however long
     found = counts.select("n", F.explode(grams).alias("g")).groupBy("g").agg(F.sum("n").alias("n"))
     return Language({r["g"]: r["n"] for r in found.collect()})  # 59**3 rows at most
 
@@ -206,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = materialize(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "toxicity-labels")
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(marks), "doc_id")  # max_rows rows
-    rows = materialize(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity-sample")
+    rows = materialize(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).repartition("doc_id"), "toxicity-sample")
     language = learn_language(docs.select(F.col("text").cast("string").alias("text")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
