@@ -71,6 +71,11 @@ def in_order(fields: Sequence[Column]) -> Column:
     return F.array_sort(F.collect_list(F.struct(quoted(ORD), *[f.alias(f"f{i}") for i, f in enumerate(fields)])))
 
 
+def in_order_once(order: Column, fields: Sequence[Column]) -> Column:
+    """in_order() by the given order, rows that are alike in all counting once."""
+    return F.array_sort(F.collect_set(F.struct(order.alias(ORD), *[f.alias(f"f{i}") for i, f in enumerate(fields)])))
+
+
 def part(rows: Column, i: int) -> Column:
     return F.transform(rows, lambda r: r[f"f{i}"])
 

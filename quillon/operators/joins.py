@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import append_new, empty_list, first_filled, in_order, part
+from ..functions.cells import append_new, empty_list, first_filled, in_order_once, part
 from ..model import ORD, KeyedTable, Meta, UnknownField, find_name, keyed, quoted, same_name
 from .aggregate import merge_by_key
 from .reshape import reorder, slice_fields, to_shape
@@ -62,7 +62,7 @@ def attach(
     collects what all its elements match, in order, each row for itself. Without a common name the
     tables are joined through the identifier tables that either has, or through either itself. Cells that both have: in a `list` table the
     first filled one stays; in a `double` table what is new is appended; in a `flat` one everything.
-    index (value, target) maps source's match values to other's keys first. complete: keys
+    index (value, target; repeated pairs count once) maps source's match values to other's keys first. complete: keys
     that only other has get rows of their own (matching by source's key only)."""
     if source.shape == "single":
         source = source.with_df(source.df, shape="list")
@@ -92,14 +92,15 @@ def attach(
         joined = source.df.join(right, quoted(match).cast("string") == F.col("__m"), how)
         new = [F.array(c) if source.listed else c for c in cells]
     else:
-        # The elements of the match column with their places, joined, and put together again by row.
+        # The elements of the match column with their places, joined, and put together again by row. Keys and
+        # orders may repeat; rows that are alike in both and in the match column have the same matches.
         values = F.array(quoted(match).cast("string")) if match == source.key or not source.listed else quoted(match)
-        row = [quoted(source.key).alias("__k"), quoted(ORD).alias("__row")]  # keys may repeat
+        row = [quoted(source.key).alias("__k"), quoted(ORD).alias("__row"), F.xxhash64(values).alias("__same")]
         place = source.df.select(*row, F.posexplode(values).alias("__at", "__v"))
         tie = ["__t"] if index is not None else []
-        hits = place.join(right, F.col("__v") == F.col("__m")).select("__k", "__row", F.struct("__at", *tie).alias(ORD), *cells)
-        hits = hits.groupBy("__k", "__row").agg(in_order(cells).alias("__rows"))
-        joined = source.df.join(hits, (quoted(source.key) == F.col("__k")) & quoted(ORD).eqNullSafe(F.col("__row")), "left")
+        hits = place.join(right, F.col("__v") == F.col("__m")).groupBy("__k", "__row", "__same").agg(in_order_once(F.struct("__at", *tie), cells).alias("__rows"))
+        of = [a.eqNullSafe(F.col(b)) for a, b in ((quoted(source.key), "__k"), (quoted(ORD), "__row"), (F.xxhash64(values), "__same"))]
+        joined = source.df.join(hits, reduce(lambda a, b: a & b, of), "left")
         new = [F.coalesce(part(F.col("__rows"), i), F.array().cast("array<array<string>>" if source.listed else "array<string>")) for i in range(len(wanted))]
         if not source.listed:
             new = [F.get(F.filter(c, lambda v: v.isNotNull() & (v.cast("string") != "")), F.lit(0)) for c in new]

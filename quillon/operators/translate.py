@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,10 +93,13 @@ def translate(t: KeyedTable, field: str, target: str, tables: Sequence[KeyedTabl
         value = F.coalesce("__t", quoted(name).cast("string")) if keep_unresolved else F.col("__t")
         columns = [value.alias(target) if f == name else quoted(f) for f in t.fields]
     else:
-        parts = t.df.select(quoted(t.key).alias("__k"), quoted(ORD).alias("__row"), F.posexplode(quoted(name)).alias("__at", "__e"))
+        # Keys and orders may repeat; rows that are alike in both and in the list have the same translations.
+        row = [quoted(t.key).alias("__k"), quoted(ORD).alias("__row"), F.xxhash64(quoted(name)).alias("__same")]
+        parts = t.df.select(*row, F.posexplode(quoted(name)).alias("__at", "__e"))
         parts = parts.join(found, F.col("__e") == F.col("__v"), "left" if keep_unresolved else "inner")
-        lists = parts.groupBy("__k", "__row").agg(F.array_sort(F.collect_list(F.struct("__at", F.col("__t").alias("t")))).alias("__l"))
-        joined = t.df.join(lists, (quoted(t.key) == F.col("__k")) & quoted(ORD).eqNullSafe(F.col("__row")), "left")
+        lists = parts.groupBy("__k", "__row", "__same").agg(F.array_sort(F.collect_set(F.struct("__at", F.col("__t").alias("t")))).alias("__l"))
+        of = [a.eqNullSafe(F.col(b)) for a, b in ((quoted(t.key), "__k"), (quoted(ORD), "__row"), (F.xxhash64(quoted(name)), "__same"))]
+        joined = t.df.join(lists, reduce(lambda a, b: a & b, of), "left")
         value = F.coalesce(F.transform("__l", lambda x: x["t"]), F.array().cast("array<string>"))
         columns = [value.alias(target) if f == name else quoted(f) for f in t.fields]
     return t.with_df(joined.select(quoted(t.key), *columns, ORD), fields=[target if f == name else f for f in t.fields])

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.model import keyed
 from quillon.operators import graph, joins, ranges, translate
 from quillon.operators.entity import Entity, annotation_table, entity_of, from_annotation_table, typed
 from quillon.operators.knowledge import KnowledgeBase
@@ -27,6 +28,17 @@ def test_attach_complete(spark):
     assert rows(t) == {"row1": (["a", "aa", "aaa"], ["b"], ["Id1", "Id2"]), "row2": (["A"], ["B"], []), "row3": ([], ["B"], ["Id3"])}
 
 
+def test_rows_of_equal_key_and_order_keep_their_own_matches(spark):
+    values = [("r", ["x"]), ("r", ["y"]), ("r", ["y"]), (None, ["y", "q"]), ("s", [])]
+    a = keyed(spark.createDataFrame(values, "ID string, ValueA array<string>"), "ID", shape="double", order=F.lit(0))
+    b = table(spark, "#ValueA Other\nx X\ny Y\n")
+    found = joins.attach(a, b, match_key="ValueA").public().collect()
+    assert sorted((r.ID or "", r.ValueA, r.Other) for r in found) == [("", ["y", "q"], ["Y"]), ("r", ["x"], ["X"]), ("r", ["y"], ["Y"]), ("r", ["y"], ["Y"]), ("s", [], [])]
+    for keep, last in ((False, ["Y"]), (True, ["Y", None])):
+        found = translate.translate(a, "ValueA", "Other", [b], keep_unresolved=keep).public().collect()
+        assert sorted((r.ID or "", r.Other) for r in found) == [("", last), ("r", ["X"]), ("r", ["Y"]), ("r", ["Y"]), ("s", [])]
+
+
 def test_attach_singles_become_lists(spark):
     a = table(spark, "#ID ValueA\nrow1 a\nrow2 A\n", shape="single")
     b = table(spark, "#ID ValueB\nrow1 b\nrow3 c\n", shape="single")
