@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, langid, mixing, secrets, simhash, substring_dedup, token_files, toxicity
+from . import chat, codes, decontam, exact_dedup, langid, mixing, secrets, simhash, substring_dedup, token_files, top_k, toxicity
 from .base import id_bucket, materialize, table
 
 
@@ -68,6 +68,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.top(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -79,4 +88,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op12_top_k": op12_top_k,
+    "op13_vector_codes": op13_vector_codes,
 }

@@ -65,4 +65,36 @@ with d as (select *, coalesce(text, '') as t, row_number() over (partition by co
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, nth = 1 as kept, sha256(t) as text_sha256 from d
 """
 
-ORACLES = {"op4_decontamination": DECONTAMINATION, "op7_chat_format": CHAT, "op8_exact_dedup": EXACT_DEDUP, "op10_mixing": MIXING}
+#: Rows whose vector and components are there and finite, as whole numbers.
+WHOLE = "select vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+TOP_K = f"""
+with e as materialized ({WHOLE.format(scale=256)}),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score from e q join e c on c.vec_id is distinct from q.vec_id where q.vec_id % 50 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id nulls last)::int as rank, vec_id, score from s qualify rank <= 5
+"""
+
+
+def _code_round(n: int) -> str:
+    """Parts at their nearest entries, and the entries after the n-th round."""
+    return f"""
+a{n} as materialized (select vec_id, p, any_value(p.x) as x, min({{'d': list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'e': b.e}}) as m from parts p join b{n} b using (p) group by vec_id, p),
+u{n} as (select p, m.e as e, i, floor(sum(x[i])::double / count(*))::bigint as y from a{n}, range(1, 17) t(i) group by all),
+b{n + 1} as materialized (select b.p, b.e, coalesce(any_value(b.x) filter (u.y is null), list(u.y order by u.i)) as x from b{n} b left join u{n} u on b.p = u.p and b.e = u.e group by all),"""
+
+
+CODES = (
+    f"""
+with kept as materialized ({WHOLE.format(scale=1024)}),
+parts as materialized (select vec_id, p, v[p * 16 + 1 : p * 16 + 16] as x from kept, range(4) t(p)),
+b0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as e, x from parts qualify e < 256),"""
+    + "".join(map(_code_round, range(4)))
+    + """
+z as (select vec_id, p, min({'d': list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'e': b.e}) as m from parts p join b4 b using (p) group by all),
+c as (select vec_id, string_agg(lower(printf('%02x', m.e)), '' order by p) as code, sum(m.d)::bigint as error from z group by vec_id),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as codebooks_sha256 from b4)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from c join kept using (vec_id), h
+"""
+)
+
+ORACLES = {"op4_decontamination": DECONTAMINATION, "op7_chat_format": CHAT, "op8_exact_dedup": EXACT_DEDUP, "op10_mixing": MIXING, "op12_top_k": TOP_K, "op13_vector_codes": CODES}
