@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontam, exact_dedup, langid, mixing, secrets, simhash, substring_dedup, token_files, top_k, toxicity
+from . import chat, codes, collocations, decontam, exact_dedup, langid, mixing, secrets, simhash, substring_dedup, token_files, top_k, toxicity
 from .base import id_bucket, materialize, table
 
 
@@ -68,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k.top(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
     "op12_top_k": op12_top_k,
     "op13_vector_codes": op13_vector_codes,
 }

@@ -65,6 +65,26 @@ with d as (select *, coalesce(text, '') as t, row_number() over (partition by co
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, nth = 1 as kept, sha256(t) as text_sha256 from d
 """
 
+COLLOCATIONS = r"""
+with w as materialized (select lang, id, piece, unnest(ws) as word, generate_subscripts(ws, 1) as place from (
+  select coalesce(lang, 'und') as lang, id, unnest(range(len(ps))) as piece, unnest(list_transform(ps, lambda p: regexp_extract_all(p, '[^\x20\x09]+'))) as ws from (
+    select lang, row_number() over () as id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as ps from documents))),
+c1 as materialized (select lang, word, count(*) as f from w group by all),
+n as (select lang, sum(f)::bigint as n from c1 group by lang),
+o as materialized (select lang, word as x, lead(word, 1) over p as y, lead(word, 2) over p as z from w window p as (partition by id, piece order by place)),
+c2 as materialized (select lang, x, y, count(*) as f from o where y is not null group by all having f >= 10),
+c3 as materialized (select lang, x, y, z, count(*) as f from o where z is not null group by all having f >= 10),
+k3 as (select c3.lang, c3.x, c3.y, c3.z, c3.f as a, unnest([{'k': 1, 'l': u.f, 'r': q.f}, {'k': 2, 'l': p.f, 'r': v.f}], recursive := true) from c3
+  join c1 u on u.lang = c3.lang and u.word = c3.x join c1 v on v.lang = c3.lang and v.word = c3.z
+  join c2 p on p.lang = c3.lang and p.x = c3.x and p.y = c3.y join c2 q on q.lang = c3.lang and q.x = c3.y and q.y = c3.z),
+s3 as (select lang, x || ' ' || y || ' ' || z as phrase, a, l, r, (1000000::hugeint * a * a // (l::hugeint * r))::bigint as score from k3
+  qualify row_number() over (partition by lang, x, y, z order by 1000000::hugeint * a * a // (l::hugeint * r), k) = 1),
+s2 as (select c2.lang, c2.x || ' ' || c2.y as phrase, c2.f as a, u.f as l, v.f as r, (1000000::hugeint * c2.f * c2.f // (u.f::hugeint * v.f))::bigint as score from c2
+  join c1 u on u.lang = c2.lang and u.word = c2.x join c1 v on v.lang = c2.lang and v.word = c2.y
+  where not exists (select 1 from c3 where c3.lang = c2.lang and 100 * c3.f >= 50 * c2.f and (c3.x = c2.x and c3.y = c2.y or c3.y = c2.x and c3.z = c2.y)))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from (from s2 union all from s3) join n using (lang) qualify rank <= 2000
+"""
+
 #: Rows whose vector and components are there and finite, as whole numbers.
 WHOLE = "select vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 
@@ -97,4 +117,4 @@ select vec_id, code, error, sum(error) over (partition by label)::bigint as labe
 """
 )
 
-ORACLES = {"op4_decontamination": DECONTAMINATION, "op7_chat_format": CHAT, "op8_exact_dedup": EXACT_DEDUP, "op10_mixing": MIXING, "op12_top_k": TOP_K, "op13_vector_codes": CODES}
+ORACLES = {"op4_decontamination": DECONTAMINATION, "op7_chat_format": CHAT, "op8_exact_dedup": EXACT_DEDUP, "op10_mixing": MIXING, "op11_collocations": COLLOCATIONS, "op12_top_k": TOP_K, "op13_vector_codes": CODES}
