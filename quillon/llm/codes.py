@@ -172,13 +172,15 @@ def learn(rows: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
 def encode(vectors: DataFrame) -> DataFrame:
     """vectors: vec_id, embedding, label. vec_id, code, error, label_error and codebooks_sha256 of each vector."""
     spark, kind = vectors.sparkSession, vectors.select("label").schema[0].dataType.simpleString()
-    rows = whole(vectors, SCALE, "label")
-    first = rows.select("vec_id", "v").orderBy(F.asc_nulls_last("vec_id"), "v").limit(ENTRIES).collect()
-    length = len(first[0]["v"]) if first else 0
+    rows, order = whole(vectors, SCALE, "label"), (F.asc_nulls_last("vec_id"), "v")
+    first = rows.select("vec_id", "v").orderBy(*order).first()
+    if first is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    length = len(first["v"])
     rows = materialize(rows.filter(F.size("v") == length), "codes-vectors")
-    start = np.array([r["v"] for r in first if len(r["v"]) == length], np.int64).reshape(-1, length)
+    start = np.array([r["v"] for r in rows.select("vec_id", "v").orderBy(*order).limit(ENTRIES).collect()], np.int64).reshape(-1, length)
     books = [start[:, cut] for cut in _cuts(length)]
-    for _ in range(ROUNDS if len(start) else 0):
+    for _ in range(ROUNDS):
         books = learn(rows, books)
     digest = hashlib.sha256(",".join(str(x) for b in books for x in b.ravel().tolist()).encode()).hexdigest()
     digits = np.array([f"{i:02x}" for i in range(ENTRIES)])
@@ -189,8 +191,6 @@ def encode(vectors: DataFrame) -> DataFrame:
             error = [min(LARGEST, int(x)) for x in sum(squares).tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(code), pa.array(error, pa.int64())], names=["vec_id", "label", "code", "error"])
 
-    if not len(start):
-        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
     coded = materialize(_assigned(rows, books, f"vec_id long, label {kind}, code string, error long", shown), "codes-found")
     total = coded.groupBy(F.col("label").alias("of")).agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(LARGEST).cast("decimal(38,0)")).cast("long").alias("label_error"))
     return coded.join(total, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))

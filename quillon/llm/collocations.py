@@ -23,8 +23,10 @@ order, whenever they are read, as those of files are.
 
 from __future__ import annotations
 
+import contextlib
 import string
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +62,18 @@ def _numbered(groups: DataFrame, *by: str) -> DataFrame:
     return materialize(groups.repartition(n, *by).withColumn("id", place * n + F.spark_partition_id()), "collocation-groups")
 
 
+@contextlib.contextmanager
+def co_located(spark: SparkSession) -> Iterator[None]:
+    """Tables bucketed by row may meet by row and place without a shuffle: Spark asks by default that buckets be of all join keys."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Relation:
     """Occurrences (row, at: place of the last word, id) as a table bucketed by row and sorted by row and place."""
 
@@ -132,12 +146,13 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, reported: int = REPORTED,
         placed = tokens(rows, "row").join(words, ["lang", "word"]).repartition(_buckets(spark), "row")
     ones = Relation(placed.select("row", "at", "id"))
 
-    pairs = _extended(ones, ones, base)
-    twos = _frequent(pairs, min_count)
-    kept = twos.select("code", "id")
-    pairs = pairs.join(F.broadcast(kept), "code") if small_pairs(twos, max_broadcast_bytes) else pairs.join(kept, "code").repartition(_buckets(spark), "row")
-    relation = Relation(pairs.select("row", "at", "id"))
-    threes = _frequent(_extended(relation, ones, base), min_count)
+    with co_located(spark):
+        pairs = _extended(ones, ones, base)
+        twos = _frequent(pairs, min_count)
+        kept = twos.select("code", "id")
+        pairs = pairs.join(F.broadcast(kept), "code") if small_pairs(twos, max_broadcast_bytes) else pairs.join(kept, "code").repartition(_buckets(spark), "row")
+        relation = Relation(pairs.select("row", "at", "id"))
+        threes = _frequent(_extended(relation, ones, base), min_count)
     for r in (ones, relation):
         r.drop()
 
