@@ -38,6 +38,35 @@ def collapse(t: KeyedTable, sep: str = "|") -> KeyedTable:
     return t.with_df(rows.select(quoted(t.key), *joined, F.col("__rows")[0][ORD].alias(ORD)))
 
 
+def collapse_runs(t: KeyedTable, sep: str = "|") -> KeyedTable:
+    """Neighbouring rows of one key as one row of joined texts; the same key further on is a row of its own. Rows are put
+    in order in parts, runs are told in each part by itself, and a table with a row a part carries over its borders whether a
+    part's first run goes on from the part before. A run must fit in a task, as its row does."""
+    from ..sources.store import work_path
+
+    path = work_path(t.df.sparkSession, "runs")
+    t.df.orderBy(ORD).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = t.df.sparkSession.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
+    key, order = quoted(t.key), Window.partitionBy("__part").orderBy("__id")
+    new = F.when(F.row_number().over(order) == 1, F.lit(1)).otherwise((~key.eqNullSafe(F.lag(key).over(order))).cast("int"))
+    rows = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order))
+
+    ends = F.struct("__id", key.alias("key"))
+    parts = rows.groupBy("__part").agg(F.max("__run").alias("runs"), F.min(ends).alias("first"), F.max(ends).alias("last"))
+    line = Window.orderBy("__part")  # a row a part
+    before = F.lag("last").over(line)
+    goes_on = (before.isNotNull() & F.col("first.key").eqNullSafe(before["key"])).cast("int")
+    parts = parts.withColumns({"goes_on": goes_on, "earlier": F.coalesce(F.sum("runs").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    parts = parts.select(F.col("__part").alias("__of"), (F.col("earlier") - F.sum("goes_on").over(line)).alias("__before"))
+    rows = rows.join(F.broadcast(parts), F.col("__part") == F.col("__of"))  # a row a part
+
+    cells = [quoted(f).cast("string") for f in t.fields]
+    one = rows.select(key, *map(quoted, t.fields), F.col("__id").alias(ORD), (F.col("__before") + F.col("__run")).alias("__n"))
+    found = one.groupBy("__n").agg(F.first(key).alias(t.key), in_order(cells).alias("__rows"))
+    joined = [F.array_join(part(F.col("__rows"), i), sep, "").alias(f) for i, f in enumerate(t.fields)]
+    return t.with_df(found.select(quoted(t.key), *joined, F.col("__rows")[0][ORD].alias(ORD)))
+
+
 def field_match_counts(t: KeyedTable, words: Sequence[str]) -> DataFrame:
     """field, n: how many distinct values of each column, the key included, are among words."""
     as_list = lambda c: quoted(c).cast(STRINGS) if t.listed and c != t.key else F.array(quoted(c).cast("string"))

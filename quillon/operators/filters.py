@@ -129,20 +129,33 @@ def values_at(t: KeyedTable, keys: Sequence[str]) -> DataFrame:
 class FilterStack:
     """Filters on top of a table, which all must hold: ':key' against a value or a set; a field
     against a value that its cell holds, or a list that it equals. With a folder, the keys that a filter on a field
-    finds are saved there once, sorted, and read from then on by any stack of that folder; reset(True) deletes them."""
+    finds are saved there once, sorted, and read from then on by any stack of that folder; reset(True) deletes them. append()
+    keeps what is saved up to date as the table grows."""
 
     def __init__(self, table: KeyedTable, folder: str | None = None):
         self.table, self.filters, self.folder = table, [], folder and folder.rstrip("/")
+        self.saved: dict[str, Column] = {}
 
-    def _saved(self, match: str, value: object, test: Column) -> DataFrame:
+    def _save(self, rows: DataFrame, test: Column, path: str) -> None:
+        """The keys of the rows that meet a test, unless they are there."""
         from ..sources.store import exists
 
-        spark, digest = self.table.df.sparkSession, hashlib.sha256(json.dumps([match, value], default=sorted).encode()).hexdigest()[:16]
-        path = f"{self.folder}/filter-{digest}"
-        if not exists(spark, f"{path}/_SUCCESS"):
-            keys = self.table.df.filter(test).select(quoted(self.table.key).alias("__k")).distinct()
+        if not exists(rows.sparkSession, f"{path}/_SUCCESS"):
+            keys = rows.filter(test).select(quoted(self.table.key).alias("__k")).distinct()
             keys.repartitionByRange("__k").sortWithinPartitions("__k").write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+
+    def _saved(self, match: str, value: object, test: Column) -> str:
+        digest = hashlib.sha256(json.dumps([match, value], default=sorted).encode()).hexdigest()[:16]
+        path = f"{self.folder}/filter-{digest}"
+        self._save(self.table.df, test, f"{path}/batch=0")
+        self.saved[path] = test
+        return path
+
+    def append(self, rows: DataFrame, number: int) -> None:
+        """Take the keys of rows that have come into the table in what the stack's filters have saved. number, from 1, names the batch: one
+        that was taken is not taken again. Only the new rows are read."""
+        for path, test in self.saved.items():
+            self._save(rows, test, f"{path}/batch={int(number)}")
 
     def add(self, match: str, value: object) -> FilterStack:
         name = match.removeprefix("field:")
@@ -175,11 +188,17 @@ class FilterStack:
         finally:
             self.pop()
 
-    def result(self) -> KeyedTable:
-        df = self.table.df
+    def result(self, table: KeyedTable | None = None) -> KeyedTable:
+        """The rows that all filters leave, of the table or of what it is by now."""
+        table = table or self.table
+        df, kind = table.df, dict(table.df.dtypes)[table.key]
         for f in self.filters:
-            df = df.join(f, quoted(self.table.key) == F.col("__k"), "left_semi") if isinstance(f, DataFrame) else df.filter(f)
-        return self.table.with_df(df)
+            if isinstance(f, str):
+                keys = df.sparkSession.read.schema(f"__k {kind}").parquet(f).select("__k")
+                df = df.join(keys, quoted(table.key) == F.col("__k"), "left_semi")
+            else:
+                df = df.filter(f)
+        return table.with_df(df)
 
 
 def edge_filter(edges: DataFrame, field: str, value: object | None = None) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import replicates
 from ..model import ORD, KeyedTable, quoted
+from ..sources import clustered
+from ..sources.store import write_text
 from .translate import translation_index
 
 
@@ -116,3 +119,41 @@ def neighbours(e: DataFrame, entities: DataFrame | Sequence[str] | str, undirect
     """Edges at entities with their direction; in an undirected relation children are all."""
     down = children(e, entities).withColumn("direction", F.lit("child"))
     return down if undirected else down.unionByName(parents(e, entities).withColumn("direction", F.lit("parent")))
+
+
+class EdgeStore:
+    """Edges on disk in two copies, one sorted by source and one by target, so that either end is looked up in the files that hold it.
+    Undirected edges are there once, from the smaller end to the greater, and are found from both."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.undirected = json.loads(spark.read.text(f"{self.path}/edges.json", wholetext=True).first()[0])["undirected"]
+
+    @classmethod
+    def save(cls, e: DataFrame, path: str, undirected: bool = False, files: int | None = None) -> EdgeStore:
+        once = undirected_closure(e).filter("source <= target") if undirected else e
+        for first, second in (("source", "target"), ("target", "source")):
+            clustered.write(once, f"{path}/by-{first}", [first, second], files=files)
+        write_text(e.sparkSession, f"{path}/edges.json", json.dumps({"undirected": undirected}))
+        return cls(e.sparkSession, path)
+
+    def files(self, end: str, entities: Sequence[str]) -> list[str]:
+        """The files that a look-up at one end reads."""
+        return clustered.files(self.spark, f"{self.path}/by-{end}", clustered.having(entities))
+
+    def _at(self, end: str, entities: DataFrame | Sequence[str] | str) -> DataFrame:
+        entities = [entities] if isinstance(entities, str) else entities
+        needed = None if isinstance(entities, DataFrame) else clustered.having(list(map(str, entities)))
+        return _among(clustered.read(self.spark, f"{self.path}/by-{end}", needed), end, entities)
+
+    def children(self, entities: DataFrame | Sequence[str] | str) -> DataFrame:
+        down = self._at("source", entities)
+        return down.unionByName(reverse(self._at("target", entities).filter("source <> target"))) if self.undirected else down
+
+    def parents(self, entities: DataFrame | Sequence[str] | str) -> DataFrame:
+        return reverse(self.children(entities)) if self.undirected else self._at("target", entities)
+
+    def neighbours(self, entities: DataFrame | Sequence[str] | str) -> DataFrame:
+        """Edges at entities with their direction; in an undirected relation children are all."""
+        down = self.children(entities).withColumn("direction", F.lit("child"))
+        return down if self.undirected else down.unionByName(self.parents(entities).withColumn("direction", F.lit("parent")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import append_new, empty_list, first_filled, in_order_once, part
@@ -159,6 +159,33 @@ def paste(tables: Sequence[KeyedTable], all_match: bool = False, same_fields: bo
     return KeyedTable(df, Meta(tables[0].key, tuple(columns), "double" if double else "list"))
 
 
+def paste_stored(spark: SparkSession, names: Sequence[str], key: str, prefixes: Sequence[str] | None = None) -> DataFrame:
+    """An N-way outer join of catalog tables that store.save_bucketed() wrote with one number of buckets and a row a key, without a shuffle of any. Rows come
+    from the first table that has their key: each table without the keys of those before, joined to those after, all bucket by
+    bucket; missing cells are null. Fields that have been are named with the table's number, or by its prefix."""
+    tables, taken = [], {key}
+    for n, name in enumerate(names):
+        fields = [c for c in spark.table(name).columns if c not in (key, ORD)]
+        named = [f"{prefixes[n]}:{f}" if prefixes else f"{f} ({n})" if f in taken else f for f in fields]
+        taken.update(named)
+        tables.append((name, dict(zip(fields, named, strict=True))))
+
+    def rows(n: int) -> DataFrame:
+        name, fields = tables[n]
+        return spark.table(name).select(quoted(key).alias(f"__k{n}"), *[quoted(f).alias(as_) for f, as_ in fields.items()])
+
+    out = []
+    for n in range(len(tables)):
+        part = rows(n)
+        for m in [*range(n), *range(n + 1, len(tables))]:
+            other = (rows(m).select(f"__k{m}") if m < n else rows(m)).hint("merge")
+            part = part.join(other, F.col(f"__k{n}") == F.col(f"__k{m}"), "left_anti" if m < n else "left")
+        of = dict(part.dtypes)
+        cells = [quoted(c) if c in of else F.lit(None).cast(dict(rows(m).dtypes)[c]).alias(c) for m, (_, fields) in enumerate(tables) for c in fields.values()]
+        out.append(part.select(F.col(f"__k{n}").alias(key), *cells))
+    return reduce(DataFrame.unionByName, out)
+
+
 def value_pairs(t: KeyedTable, target: str = ":key", fields: Sequence[str] | None = None) -> DataFrame:
     """value, target, position, order: what each value of the chosen columns points at. All columns,
     the target first, if none are named."""

@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import KeyedTable, in_namespace, quoted
-from ..sources.store import delete, load, names_in, save, write_text
+from ..sources.store import delete, exists, load, names_in, save, write_text
 from . import graph
+from .enrichment import enrichment
 from .filters import info_condition
 from .translate import NoPath, translate_column, translation_index
 
@@ -43,6 +44,7 @@ class Relation:
     options: dict
     table: KeyedTable | None = None
     edges: DataFrame | None = None
+    stored: graph.EdgeStore | None = None
 
 
 @dataclass
@@ -155,14 +157,29 @@ class KnowledgeBase:
     def subset(self, name: str, source: DataFrame | Sequence[str] | None = None, target: DataFrame | Sequence[str] | None = None) -> DataFrame:
         return graph.subset(self.index(name), source, target, self.info(name)["undirected"])
 
+    def keep_edges(self, name: str, path: str, files: int | None = None) -> graph.EdgeStore:
+        """Save a relation's edges by both ends, or open them if they are there; look-ups read them from then on."""
+        there = exists(self.spark, f"{path}/edges.json")
+        stored = graph.EdgeStore(self.spark, path) if there else graph.EdgeStore.save(self.index(name), path, self.info(name)["undirected"], files)
+        self.relations[name].stored = stored
+        return stored
+
     def children(self, name: str, entities: Sequence[str] | str | DataFrame) -> DataFrame:
-        return graph.children(self.index(name), entities)
+        stored = self.relations[name].stored
+        return stored.children(entities) if stored else graph.children(self.index(name), entities)
 
     def parents(self, name: str, entities: Sequence[str] | str | DataFrame) -> DataFrame:
-        return graph.parents(self.index(name), entities)
+        stored = self.relations[name].stored
+        return stored.parents(entities) if stored else graph.parents(self.index(name), entities)
 
     def neighbours(self, name: str, entities: Sequence[str] | str | DataFrame) -> DataFrame:
-        return graph.neighbours(self.index(name), entities, self.info(name)["undirected"])
+        stored = self.relations[name].stored
+        return stored.neighbours(entities) if stored else graph.neighbours(self.index(name), entities, self.info(name)["undirected"])
+
+    def enrichment(self, name: str, entities: Sequence[str] | DataFrame) -> DataFrame:
+        """How surprisingly often the targets of a relation go with entities, which are first put in the naming of its sources."""
+        df = entities if isinstance(entities, DataFrame) else self.spark.createDataFrame([(str(e),) for e in entities], "entity string")
+        return enrichment(self.index(name), self.identify(name, df.select(F.col(df.columns[0]).cast("string").alias("entity")), "source"))
 
     def query(self, name: str, text: str) -> DataFrame:
         """'e' all edges at e, 'e~' its children, '~e' its parents, 's~t' one pair."""

@@ -69,9 +69,11 @@ def get(t: KeyedTable, *keys: str) -> DataFrame:
     return t.df.filter(quoted(t.key).cast("string").isin(list(map(str, keys)))).select(*map(quoted, t.all_fields))
 
 
-def save_bucketed(t: KeyedTable, name: str, buckets: int) -> None:
-    """A catalog table bucketed and sorted by key: joins by key need no shuffle of it."""
-    t.df.write.bucketBy(buckets, t.key).sortBy(t.key).mode("overwrite").saveAsTable(name)
+def save_bucketed(t: KeyedTable, name: str, buckets: int, path: str | None = None) -> None:
+    """A catalog table bucketed and sorted by key, a file a bucket: joins by key need no shuffle of it. path: where its files lie, else
+    in the warehouse."""
+    out = t.df.repartition(buckets, quoted(t.key)).write.bucketBy(buckets, t.key).sortBy(t.key).mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(name)
 
 
 def save_sharded(t: KeyedTable, path: str, shard: Callable[[Column], Column], mode: str = "error") -> None:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import split_cell
 from ..model import KeyedTable, quoted
+from ..operators.filters import FilterStack
+from ..sources.store import exists
 from ..sources.text import split_row
 
 
@@ -65,3 +67,16 @@ def collapse_stream(stream: DataFrame, key: str, fields: Sequence[str], sep: str
     """Rows of a key as one row of joined texts, in order of the texts; for output mode "complete" or "update"."""
     lists = merge_running(stream, key, fields)
     return lists.select(quoted(key), *[F.array_join(quoted(f), sep, "").alias(f) for f in fields])
+
+
+def maintain(stream: DataFrame, path: str, stacks: Sequence[FilterStack], checkpoint: str):
+    """Append a stream's rows to the table at path, a folder a batch, and keep saved filters over it up to date. A batch that comes again
+    changes nothing. A started query, for all that is there now."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        if not exists(batch.sparkSession, f"{path}/batch={number}/_SUCCESS"):
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for stack in stacks:
+            stack.append(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={number}"), number + 1)
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
