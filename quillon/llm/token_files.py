@@ -3,15 +3,16 @@
 Documents are dealt to range partitions of (doc_id, text hash). Each partition is encoded in that
 order, an end id follows each document, and the ids are packed into sequences of `length`. A
 partition becomes two Arrow IPC files: `ids-*.arrow`, record batches of two fixed-size lists, the ids
-(uint16 where the vocabulary allows, else uint32) and a mask that is false on padding, and
+(uint16 if all ids fit, else uint32) and a mask that is false on padding, and
 `docs-*.arrow`, the documents' ids, offsets and lengths. All lists of a column have one length, so the
 buffers of a memory-mapped batch are matrices: row i of a column is found by arithmetic, without a copy.
 
 A task writes under a name of its own attempt and reports it; only reported files count, so
 a repeated or speculative attempt does no harm.
 
-Encoding is exact but works on pieces between ASCII white space, which no token of the vocabulary
-crosses; distinct pieces are encoded once a process, in a table of bounded size.
+Encoding is that of the tokenizer on whole texts. Where its description shows that no token crosses ASCII white space, that letters are
+lowered and how words end (see by_pieces), it works on pieces between white space; distinct pieces are encoded
+once a process, in a table of bounded size. Texts of any other tokenizer are encoded whole.
 
 Defined results: null texts are empty and give the end id alone; null ids come first; rows with equal
 id are ordered by a hash of their text; extra columns are ignored; an empty table gives no files.
@@ -19,6 +20,7 @@ id are ordered by a hash of their text; extra columns are ignored; an empty tabl
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -40,9 +42,39 @@ GROUP_BYTES = 1 << 23
 LETTERS_AT_ONCE = 4096
 END_ID = 2
 
+#: How a tokenizer is described whose words can be encoded piece by piece.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_END, MARK = "</w>", "<|"
+
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
+def by_pieces(described: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, encodes a text as its pieces between ASCII white space one by one: it lowers letters,
+    drops white space, cuts words by WORDS, and ends each with a token that ends in WORD_END. Special tokens must be told by MARK."""
+    split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    into = described["pre_tokenizer"] or {}
+    words, *rest = into.get("pretokenizers", [None])
+    bytes_only = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0].get("use_regex", True)
+    model = described["model"]
+    plain = model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "unk_token", "byte_fallback", "ignore_merges"))
+    special = all(t["content"].startswith(MARK) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not any(map(str.isspace, t["content"])) for t in described["added_tokens"])
+    lowered = (described["normalizer"] or {}).get("normalizers") == NORMALIZERS
+    return words == split and bytes_only and plain and special and lowered and not described["truncation"] and not described["padding"]
+
+
+def id_type(tokenizer: str, end_id: int, dtype: str | None = None) -> str:
+    """The type of ids: uint16 if all of the vocabulary and the end id fit. A narrower one than that is refused."""
+    from tokenizers import Tokenizer
+
+    last = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    dtype = dtype or ("uint16" if last <= np.iinfo(np.uint16).max else "uint32")
+    if last > np.iinfo(dtype).max:
+        raise ValueError(f"ids up to {last} don't fit {dtype}")
+    return dtype
+
+
 class PieceEncoder:
     """Ids of texts by way of a table of white-space pieces, each of which is encoded once.
 
@@ -55,9 +87,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        self.by_pieces = by_pieces(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self._clear()
 
     @classmethod
@@ -125,10 +158,13 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts without nulls, one after the other, and how many each has."""
+        if not self.by_pieces:
+            found = self._ids(texts.to_pylist())
+            return np.fromiter(chain.from_iterable(found), np.int64).astype(self.dtype), np.fromiter(map(len, found), np.int64, len(found))
         if len(self.pieces) > MAX_PIECES:
             self._cut()
         # The tokenizer lowers letters itself; doing so first makes pieces alike, but special tokens are exact.
-        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, MARK), texts, pc.ascii_lower(texts)))
         coded = lists.flatten().dictionary_encode()
         rows = self._rows(coded.dictionary)
         if (rows < 0).any():
@@ -186,10 +222,10 @@ class _Packer:
         self.writer.close()
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = LENGTH, dtype: str = "uint16", folder: str | None = None) -> DataFrame:
-    """Write docs (doc_id, text) to folder. The manifest, one row a file pair: part, ids_file,
+def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = LENGTH, dtype: str | None = None, folder: str | None = None) -> DataFrame:
+    """Write docs (doc_id, text) to folder, ids as dtype, by default the narrowest that holds the vocabulary. The manifest, one row a file pair: part, ids_file,
     docs_file, n_tokens, n_docs and start, the number of ids in all parts before."""
-    folder = folder or shared_path(docs.sparkSession, "token-files")
+    folder, dtype = folder or shared_path(docs.sparkSession, "token-files"), id_type(tokenizer, end_id, dtype)
     ids_schema, docs_schema = _schemas(dtype, length)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

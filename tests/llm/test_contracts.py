@@ -187,6 +187,35 @@ def test_tables_of_pieces_are_cut_and_filled_again(monkeypatch):
     assert encoder.encode(pa.array([], pa.string()))[1].tolist() == []
 
 
+def test_other_tokenizers_encode_whole_texts(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  world The cat.", "", None, " x\t\tY <|endoftext|> z", "Straße, naïve", *[r.text for r in docs[:40]]]
+    df = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    files = token_files.write(df, path)
+    whole = Tokenizer.from_file(path)
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, token_files.END_ID] for t in texts]
+    import zlib
+
+    starts = np.cumsum([0, *map(len, want)])
+    assert {tuple(r) for r in token_files.read(files).collect()} == {(i, int(starts[i]), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
+    assert not token_files.PieceEncoder(path, "uint16").by_pieces and token_files.PieceEncoder(queries.tokenizer_path(), "uint16").by_pieces
+    with pytest.raises(ValueError):
+        token_files.write(df, path, dtype="uint8")
+    with pytest.raises(ValueError):
+        token_files.write(df, path, end_id=70_000, dtype="uint16")
+    assert token_files.id_type(path, 70_000) == "uint32" and token_files.id_type(path, 2) == "uint16"
+
+    changed = Tokenizer.from_file(queries.tokenizer_path())  # the same vocabulary, but letters are kept as they are
+    changed.normalizer = normalizers.NFC()
+    assert not token_files.by_pieces(__import__("json").loads(changed.to_str()))
+    bare = Tokenizer(models.BPE())
+    bare.pre_tokenizer = pre_tokenizers.Whitespace()
+    assert not token_files.by_pieces(__import__("json").loads(bare.to_str()))
+
+
 # op5
 
 
