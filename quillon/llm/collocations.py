@@ -64,14 +64,17 @@ def _numbered(groups: DataFrame, *by: str) -> DataFrame:
 
 @contextlib.contextmanager
 def co_located(spark: SparkSession) -> Iterator[None]:
-    """Tables bucketed by row may meet by row and place without a shuffle: Spark asks by default that buckets be of all join keys."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Tables bucketed by row may meet by row and place without a shuffle, though Spark asks by default that buckets be of all join keys; and
+    are taken to be sorted as they were written, which holds for buckets of one file."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Relation:
