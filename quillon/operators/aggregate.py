@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import STRINGS, empty_list, in_order, padded, part
 from ..model import ORD, KeyedTable, quoted
+from ..sources.store import written
 
 
-#: Of the time that trace_times() covers.
-SLICES = 1024
+#: Jobs that trace_times() puts in order in one task.
+ROWS_PER_WINDOW = 1_000_000
 
 
 def merge_by_key(t: KeyedTable, one2one: bool = False, merge: bool = True) -> KeyedTable:
@@ -108,29 +109,38 @@ def trace_summary(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("task").agg(F.count("*").alias("calls"), F.floor(F.avg(seconds)).cast("bigint").alias("avg"), F.floor(F.sum(seconds)).cast("bigint").alias("total"))
 
 
-def trace_times(jobs: DataFrame, by: str | None = None, drop_gaps: bool = True) -> DataFrame:
+def trace_times(jobs: DataFrame, by: str | None = None, drop_gaps: bool = True, rows_per_window: int = ROWS_PER_WINDOW) -> DataFrame:
     """jobs with start_s and end_s, in seconds from the first start of all (or of each `by`). Gaps, the
-    times in which no job runs, are taken out of both. Time is cut into SLICES slices, so that no window is over all jobs:
-    the latest end and the gaps before a slice come from a table with a row a slice."""
+    times in which no job runs, are taken out of both. If more jobs than rows_per_window belong together, they are dealt to slices of
+    about equal size, in order of time, so that no window is over all of them: the latest end and the gaps before a slice come from a table with a
+    row a slice."""
     keys = [by] if by else []
-    micros = jobs.withColumns({"__s": _micros("start"), "__e": _micros("end")})
-    low, high = micros.agg(F.min("__s"), F.max("__s")).first()
-    cut = F.floor((F.col("__s") - F.lit(low or 0)) / F.lit(((high or 0) - (low or 0)) / SLICES + 1)).cast("int")
-    micros = micros.withColumn("__cut", cut)
-
-    def before(rows: DataFrame, value: Column, total: Callable[[str], Column]) -> DataFrame:
-        """rows with the total of value over earlier slices."""
-        slices = rows.groupBy(*keys, "__cut").agg(value.alias("__v"), F.min("__s").alias("__low"))
-        order = Window.partitionBy(*keys).orderBy("__cut")
-        slices = slices.select(*keys, "__cut", total("__v").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__low").over(order).alias("__first"))
+    micros = written(jobs.withColumns({"__s": _micros("start"), "__e": _micros("end")}), "jobs")
+    most = micros.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    sliced = most > rows_per_window
+    if sliced:
+        slices = -(-micros.count() // rows_per_window)
+        dealt = micros.repartitionByRange(slices, "__s", "__e", F.xxhash64(*map(quoted, micros.columns)))
+        micros = written(dealt.withColumn("__cut", F.spark_partition_id()), "jobs")
+
+    def before(rows: DataFrame, value: Column, total: Callable[[str], Column], name: str, first: str | None = None) -> DataFrame:
+        """rows with the total of value over earlier slices, and the first start of all."""
+        if not sliced:
+            out = rows.withColumn(name, F.lit(None).cast("bigint"))
+            return out.withColumn(first, F.min("__s").over(Window.partitionBy(*keys))) if first else out
+        parts = rows.groupBy(*keys, "__cut").agg(value.alias("__v"), F.min("__s").alias("__low"))
+        order = Window.partitionBy(*keys).orderBy("__cut")  # a row a slice
+        wanted = {name: total("__v").over(order.rowsBetween(Window.unboundedPreceding, -1))} | ({first: F.min("__low").over(order)} if first else {})
+        parts = parts.withColumns(wanted).select(*[F.col(k).alias(f"__of_{k}") for k in [*keys, "__cut"]], *wanted)
         same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in [*keys, "__cut"]]
-        return rows.join(slices.withColumnsRenamed({k: f"__of_{k}" for k in [*keys, "__cut"]}), same).drop(*[f"__of_{k}" for k in [*keys, "__cut"]])
+        return rows.join(parts, same).drop(*[f"__of_{k}" for k in [*keys, "__cut"]])
 
-    order = Window.partitionBy(*keys, "__cut").orderBy("start", "end")
-    out = before(micros, F.max("__e"), F.max)
-    latest = F.greatest(F.max("__e").over(order.rowsBetween(Window.unboundedPreceding, -1)), "__before")
-    out = out.withColumn("__gap", F.greatest(F.col("__s") - F.coalesce(latest, F.col("__s")), F.lit(0))).drop("__before", "__first")
-    out = before(out, F.sum("__gap"), F.sum)
+    order = Window.partitionBy(*keys, *(["__cut"] if sliced else [])).orderBy("__s", "__e")
+    out = before(micros, F.max("__e"), F.max, "__ended", "__first")
+    latest = F.greatest(F.max("__e").over(order.rowsBetween(Window.unboundedPreceding, -1)), "__ended")
+    out = out.withColumn("__gap", F.greatest(F.col("__s") - F.coalesce(latest, F.col("__s")), F.lit(0)))
+    out = before(out, F.sum("__gap"), F.sum, "__earlier")
     # Jobs with one start share a gap: the first of them has it, later ones and its equals count it as well.
-    gone = F.coalesce("__before", F.lit(0)) + F.sum("__gap").over(order) if drop_gaps else F.lit(0)
-    return out.withColumn("__gone", gone).withColumns({"start_s": (F.col("__s") - F.col("__first") - F.col("__gone")) / 1e6, "end_s": (F.col("__e") - F.col("__first") - F.col("__gone")) / 1e6}).drop("__s", "__e", "__first", "__gap", "__gone", "__cut", "__before")
+    gone = F.coalesce("__earlier", F.lit(0)) + F.sum("__gap").over(order) if drop_gaps else F.lit(0)
+    out = out.withColumn("__gone", gone).withColumns({"start_s": (F.col("__s") - F.col("__first") - F.col("__gone")) / 1e6, "end_s": (F.col("__e") - F.col("__first") - F.col("__gone")) / 1e6})
+    return out.select(*map(quoted, jobs.columns), "start_s", "end_s")

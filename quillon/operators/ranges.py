@@ -4,7 +4,8 @@ Intervals are (start, end), both inclusive. Bins come in tiers, each SPREAD time
 below. An interval belongs to the lowest tier in which it covers SPREAD bins at most. Two intervals meet in the
 higher of their tiers, in the first bin they share: an equi-join without duplicates, whatever the lengths. One
 side shows itself in its own tier, the other in the tiers that the first has; both ways round make all pairs.
-Where bins are full, the left rows of a bin are split and the right ones repeated for each part.
+The left rows of each bin are counted; those of a full bin are split, and the right ones of that bin repeated for each part. Both
+sides are written once, so that what they come from is worked out once.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import replicates
 from ..model import KeyedTable, quoted
+from ..sources.store import written
 
 #: A power of two.
 SPREAD = 64
 TIERS = 8
-#: Left rows of a bin that one task joins, on average.
+#: Left rows of a bin that are joined as one part.
 ROWS_PER_BIN = 1_000_000
+#: Full bins that are broadcast; more of them are joined by shuffle.
+MAX_FULL = 100_000
 
 
 def intervals(t: KeyedTable, start: str, end: str | None = None) -> DataFrame:
@@ -44,11 +48,17 @@ def _tier(length: Column, width: int) -> Column:
     return out
 
 
-def _placed(df: DataFrame, on: tuple[str, str], width: int, own: str) -> tuple[DataFrame, list]:
-    """Valid intervals with their tier, and a row a tier: its number, how many intervals, and their extent."""
+def _placed(df: DataFrame, on: tuple[str, str], width: int, own: str) -> tuple[DataFrame, list[int]]:
+    """Valid intervals with their tier, as a table, and the tiers there are."""
     start, end = on
-    df = df.filter(F.col(start) <= F.col(end)).withColumn(own, _tier(F.col(end) - F.col(start), width))
-    return df, df.groupBy(own).agg(F.count("*").alias("n"), F.min(start).alias("low"), F.max(end).alias("high")).collect()
+    df = written(df.filter(F.col(start) <= F.col(end)).withColumns({own: _tier(F.col(end) - F.col(start), width), f"{own}_id": F.monotonically_increasing_id()}), "intervals")
+    return df, sorted(r[0] for r in df.select(own).distinct().collect())
+
+
+def _parts(df: DataFrame, rows_per_bin: int) -> DataFrame:
+    """tier, role, bin and number of parts of the bins that hold more rows than one part may."""
+    counts = df.groupBy("__tier", "__role", "__bin").agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_bin)
+    return written(counts.select("__tier", "__role", "__bin", F.ceil(F.col("n") / rows_per_bin).cast("int").alias("__parts")), "full-bins")
 
 
 def _shown(df: DataFrame, on: tuple[str, str], width: int, tiers: list[tuple[int, int, Column]]) -> DataFrame:
@@ -67,17 +77,22 @@ def overlaps(left: DataFrame, right: DataFrame, width: int, left_on: tuple[str,
     """All pairs of rows whose intervals overlap. width: of the lowest bins, about a usual
     interval's length. Column names of the two sides must differ."""
     (ls, le), (rs, re_) = left_on, right_on
-    a, tiers_a = _placed(left, left_on, width, "__own_l")
-    b, tiers_b = _placed(right, right_on, width, "__own_r")
+    a, in_a = _placed(left, left_on, width, "__own_l")
+    b, in_b = _placed(right, right_on, width, "__own_r")
     own_l, own_r = F.col("__own_l"), F.col("__own_r")
-    in_a, in_b = ([r[0] for r in tiers] for tiers in (tiers_a, tiers_b))
     # Role 0: left rows in their own tier. Role 1: right rows in theirs, which is higher than the left row's.
     a = _shown(a, left_on, width, [(n, 0, own_l == n) for n in in_a] + [(n, 1, own_l < n) for n in in_b])
     b = _shown(b, right_on, width, [(n, 0, own_r <= n) for n in in_a] + [(n, 1, own_r == n) for n in in_b])
-    n_left, low, high = sum(r["n"] for r in tiers_a), min((r["low"] for r in tiers_a), default=0), max((r["high"] for r in tiers_a), default=0)
-    parts = 1 + n_left // (rows_per_bin * max(1, min(n_left, (high - low) // width + 1)))
-    a = a.withColumn("__part", F.pmod(F.xxhash64(*map(quoted, left.columns)), F.lit(parts)).cast("int"))
-    b = b.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    full = _parts(a, rows_per_bin)
+    n_full = full.count()
+    if n_full:
+        full = F.broadcast(full) if n_full <= MAX_FULL else full
+        at = ["__tier", "__role", "__bin"]
+        part = F.pmod(F.xxhash64("__own_l_id"), F.coalesce("__parts", F.lit(1)))
+        a = a.join(full, at, "left").withColumn("__part", part.cast("int"))
+        b = b.join(full, at, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    else:
+        a, b = (x.withColumn("__part", F.lit(0)) for x in (a, b))
     joined = a.join(b, ["__tier", "__role", "__bin", "__part"])
     first = floor_div(f"greatest(`{ls}`, `{rs}`)", f"shiftleft(bigint({width}), {SPREAD.bit_length() - 1} * __tier)")
     met = (F.col(ls) <= F.col(re_)) & (F.col(le) >= F.col(rs)) & (F.col("__bin") == first)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..model import keyed
 from ..operators import aggregate, filters, joins, reshape
-from ..sources import store
+from ..sources import blocks, store, text
 from ..sources.clustered import IntervalIndex
 from ..sources.keyed_store import Conflict, KeyedStore
 from ..streaming import tables as streams
@@ -63,6 +63,15 @@ def store_merged(spark, sf):
     return shown(kept.read())
 
 
+@query("select c_custkey::varchar as c_custkey, c_name, c_nationkey::varchar as c_nationkey from customer")
+def block_gzip(spark, sf):
+    """A table written as block-gzip files and read by ranges of blocks."""
+    t = reshape.slice_fields(customers(spark, sf), ["c_name", "c_nationkey"])
+    files = blocks.write_lines(text.dump_lines(t.with_df(t.df.repartition(3))), store.work_path(spark, "blocks"), in_block=1000)
+    header = text.parse_header(["#c_custkey\tc_name\tc_nationkey"])
+    return shown(text.parse_lines(text.read_lines(spark, files), header, shape="list"))
+
+
 @query("with g as (select event_id, event_type, user_id, row_number() over (order by event_id) - row_number() over (partition by event_type order by event_id) as island from events) select event_type, string_agg(user_id::varchar, '|' order by event_id) as users, min(event_id) as first_event from g group by event_type, island")
 def collapse_runs(spark, sf):
     """Events in a row that are of one type."""

@@ -138,3 +138,10 @@ def work_path(spark: SparkSession, label: str) -> str:
     at, fs = _file(spark, path)
     fs.deleteOnExit(at)
     return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: worked out once, however often it is read."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

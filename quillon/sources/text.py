@@ -2,11 +2,12 @@
 
 A file may begin with `#: option=value#option=value` lines, then `#`-lines of which the last is the header.
 Only the first lines are read by the driver; everything else is a projection of spark.read.text, so
-compressed files and any Hadoop file system work.
+compressed files and any Hadoop file system work; block-gzip files and archives are read by their blocks and members.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -18,6 +19,7 @@ from ..functions.cells import cast_cell, join_cell, literal_pattern, split_cell
 from ..model import ORD, KeyedTable, Meta, find_name, quoted
 from ..operators.aggregate import merge_by_key
 from ..operators.reshape import reorder, to_shape
+from . import blocks
 
 
 
@@ -118,10 +120,22 @@ def parse_lines(
     return merge_by_key(t, one2one=one2one, merge=merge)
 
 
+def _in_blocks(path: str | Sequence[str]) -> bool:
+    return any(p.endswith((".bgz", ".zip")) for p in ([path] if isinstance(path, str) else path))
+
+
+def _raw_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """value, file and place. Block-gzip files (.bgz) and archives (.zip) are read by their blocks and members."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if _in_blocks(path):
+        spark.dataSource.register(blocks.BlockLines)
+        return spark.read.format("block_lines").option("paths", json.dumps(paths)).load()
+    return spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """value and ORD; the order of lines within a file is that of its splits."""
-    lines = spark.read.text(path)
-    return lines.select("value", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line")).alias(ORD))
+    return _raw_lines(spark, path).select("value", F.struct("file", F.col("place").alias("line")).alias(ORD))
 
 
 def first_lines(spark: SparkSession, path: str, sep: str = "\t", header_mark: str = "#") -> tuple[list[str], Header]:
@@ -132,7 +146,7 @@ def first_lines(spark: SparkSession, path: str, sep: str = "\t", header_mark: st
         path = f"{path}/header-00000.txt"
     n = 64
     while True:
-        lines = [r[0] for r in spark.read.text(path).limit(n).collect()]
+        lines = blocks.first_lines([path] if isinstance(path, str) else list(path), n) if _in_blocks(path) else [r[0] for r in spark.read.text(path).limit(n).collect()]
         header = parse_header(lines, sep, header_mark)
         if header.lines < len(lines) or len(lines) < n:
             return lines, header

@@ -105,6 +105,16 @@ def test_collapsed_ranges(spark):
     assert sorted((r.who, r.start, r.end) for r in got) == [("a", 1, 11), ("a", 13, 14), ("b", 2, 2)]
 
 
+def test_a_full_bin_is_split_however_far_the_others_lie(spark):
+    rows = [(n, 5, 6) for n in range(900)] + [(900, 10**9, 10**9)]
+    left = ranges._shown(spark.createDataFrame(rows, "key long, start long, end long"), ("start", "end"), 10, [(0, 0, F.lit(True))])
+    assert [(r["__bin"], r["__parts"]) for r in ranges._parts(left, 100).collect()] == [(0, 9)]
+    df = spark.createDataFrame(rows, "key long, start long, end long")
+    asked = spark.createDataFrame([(1, 0, 5), (2, 6, 10**9), (3, 7, 8)], "q long, q_start long, q_end long")
+    got = ranges.overlaps(df, asked, 10, rows_per_bin=100)
+    assert sorted((r.key, r.q) for r in got.collect()) == sorted((k, q) for k, s, e in rows for q, a, b in ((1, 0, 5), (2, 6, 10**9), (3, 7, 8)) if s <= b and e >= a)
+
+
 def test_trace_times_over_slices(spark):
     rng = random.Random(2)
     jobs, at = [], 0
@@ -122,6 +132,8 @@ def test_trace_times_over_slices(spark):
         return out
 
     assert {r.id: (r.start_s, r.end_s) for r in aggregate.trace_times(df).collect()} == plain(jobs)
+    assert {r.id: (r.start_s, r.end_s) for r in aggregate.trace_times(df, rows_per_window=40).collect()} == plain(jobs)
+    assert {r.id: (r.start_s, r.end_s) for r in aggregate.trace_times(df, "g", rows_per_window=40).collect()} == {r.id: (r.start_s, r.end_s) for r in aggregate.trace_times(df, "g").collect()}
     by = {r.id: (r.start_s, r.end_s) for r in aggregate.trace_times(df, "g").collect()}
     assert by == {k: v for g in ("g0", "g1", "g2") for k, v in plain([j for j in jobs if j[1] == g]).items()}
     assert aggregate.trace_times(df.limit(0)).count() == 0

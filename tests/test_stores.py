@@ -1,7 +1,9 @@
 """Tables on disk: what is read, what is written, and what a reader sees; kept filters and edges, runs, and enrichment."""
 
+import gzip
 import math
 import random
+import zipfile
 from itertools import groupby
 
 import pytest
@@ -11,7 +13,7 @@ from quillon.model import keyed
 from quillon.operators import aggregate, filters, graph, joins
 from quillon.operators.enrichment import adjusted, enrichment, hypergeometric_tail
 from quillon.operators.knowledge import KnowledgeBase
-from quillon.sources import clustered, store
+from quillon.sources import blocks, clustered, store, text
 from quillon.sources.clustered import IntervalIndex
 from quillon.sources.keyed_store import Conflict, KeyedStore, shard_of
 from quillon.streaming import tables as streams
@@ -210,3 +212,37 @@ def test_enrichment_of_a_list(spark):
     got = {r.target: (r.n, r.hits) for r in enrichment(edges, spark.createDataFrame([("s0",), ("s3",), ("s0",), ("nobody",)], "e string")).collect()}
     assert got == {"t0": (4, 2), "t1": (5, 1), "t2": (4, 0)}
     assert enrichment(edges.limit(0), edges.select("source")).count() == 0
+
+
+def test_lines_over_the_borders_of_blocks(spark, tmp_path):
+    rng = random.Random(9)
+    for n, lines in enumerate(([f"line {i} " + "x" * rng.choice([0, 1, 30, 400]) for i in range(300)], [""] * 50, ["y" * 5000] * 3 + ["", "z"], [], ["Ünï" * 7] * 40)):
+        df = spark.createDataFrame([(v, i) for i, v in enumerate(lines)], "value string, i int").coalesce(1).sortWithinPartitions("i")
+        file, = blocks.write_lines(df, f"file://{tmp_path}/{n}", in_block=64)
+        plain = gzip.decompress((tmp_path / str(n) / file.rsplit("/", 1)[1]).read_bytes()).decode()
+        assert plain == "".join(v + "\n" for v in lines)  # any gzip reader can read it
+        for split in (37, 100, 1009, 1 << 20):
+            parts = blocks.BlockReader({"path": file, "splitBytes": str(split)}).partitions()
+            got = [line for p in parts for line in blocks._lines(p)]
+            assert [v for v, _ in got] == lines and [p for _, p in got] == sorted({p for _, p in got})
+        spark.dataSource.register(blocks.BlockLines)
+        read = spark.read.format("block_lines").option("splitBytes", 500).load(file)
+        assert [r.value for r in read.orderBy("place").collect()] == lines
+    bad = tmp_path / "bad.bgz"
+    bad.write_bytes(blocks.block(b"a\nb") + blocks.block(b"c\nd\r\n")[:-3])
+    with pytest.raises(ValueError):
+        list(blocks._lines(blocks.Part(f"file://{bad}", 0, 1 << 20)))
+
+
+def test_tables_in_archives_and_blocks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "t.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.tsv", "#: :type=:list\n#ID\tV\na\t1\nb\t2")  # no line end at the end of a member
+        z.writestr("folder/", "")
+        z.writestr("folder/b.tsv", "c\t3\r\n")
+    t = text.read_tsv(spark, f"{tmp_path}/t.zip", shape="list")
+    assert t.key == "ID" and sorted(map(tuple, t.public().collect())) == [("a", "1"), ("b", "2"), ("c", "3")]
+    body = "".join(f"k{i}\t{i}\n" for i in range(500))
+    (tmp_path / "t.bgz").write_bytes(blocks.block(b"#ID\tV\n") + blocks.block(body.encode()) + blocks.LAST)
+    t = text.read_tsv(spark, f"{tmp_path}/t.bgz", shape="list")
+    assert {r.ID: r.V for r in t.public().collect()} == {f"k{i}": str(i) for i in range(500)}
+    assert [r.V for r in t.df.orderBy("_ord").limit(3).collect()] == ["0", "1", "2"]
