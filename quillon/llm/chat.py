@@ -92,16 +92,11 @@ def render(turns: DataFrame) -> DataFrame:
     role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("&#10;"))
     text = escape(F.coalesce("text", F.lit("")))
     head, body = F.concat(F.lit(OPEN), role, F.lit("\n")), F.concat(text, F.lit(CLOSE))
-    turn = F.struct("step", F.concat(head, body).alias("shown"), (F.col("role") == "assistant").alias("learned"), F.length(head).cast("long").alias("head"), F.length(text).cast("long").alias("body"))
-    whole = turns.groupBy("conv_id", "path").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-
-    def add(acc: Column, t: Column) -> Column:
-        start = acc["at"] + t["head"]
-        span = F.array(F.struct(start.alias("start"), (start + t["body"]).alias("end")))
-        return F.struct((acc["at"] + F.length(t["shown"])).alias("at"), F.when(F.coalesce(t["learned"], F.lit(False)), F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    spans = F.aggregate("turns", nothing, add, lambda acc: acc["spans"])
+    shown = turns.select("conv_id", "path", "step", F.concat(head, body).alias("shown"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("learned"), F.length(head).cast("long").alias("head"), F.length(text).cast("long").alias("body"))
+    before = F.sum(F.length("shown").cast("long")).over(Window.partitionBy("conv_id", "path").orderBy("step", "shown").rowsBetween(Window.unboundedPreceding, -1))
+    placed = shown.withColumn("start", F.coalesce(before, F.lit(0)) + F.col("head"))
+    whole = placed.groupBy("conv_id", "path").agg(F.array_sort(F.collect_list(F.struct("step", "shown", "start", "learned", "body"))).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: F.struct(t["start"].alias("start"), (t["start"] + t["body"]).alias("end")))
     return whole.select("conv_id", "path", F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
