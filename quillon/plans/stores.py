@@ -11,6 +11,7 @@ from ..operators import aggregate, filters, joins, reshape
 from ..sources import blocks, store, text
 from ..sources.clustered import IntervalIndex
 from ..sources.keyed_store import Conflict, KeyedStore
+from ..streaming import stateful
 from ..streaming import tables as streams
 from .oracles import SPANS
 from .queries import customers, knowledge, order_spans, shown, table
@@ -127,3 +128,47 @@ def kb_enrichment(spark, sf):
     some = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING' and c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("entity"))
     found = knowledge(spark, sf).enrichment("lives_in", some)
     return found.select("target", "n", "hits", F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"))
+
+
+# Streams with state
+
+
+@query("with a as (select c_custkey::varchar as k, c_name from customer where c_nationkey < 9), b as (select c_custkey::varchar as k, c_mktsegment from customer where c_acctbal > 5000), c as (select c_custkey::varchar as k, c_nationkey::varchar as c_nationkey, c_acctbal > 0 as rich from customer where c_acctbal < 6000) select coalesce(a.k, b.k, c.k) as custkey, c_name, c_mktsegment, c_nationkey, rich::varchar as rich from a full join b on a.k = b.k full join c on coalesce(a.k, b.k) = c.k")
+def stream_paste(spark, sf):
+    """Three streams side by side by key; the last row of all only moves the watermark."""
+    at = lambda c: F.timestamp_seconds(86_400 + (F.col(c) if isinstance(c, str) else c)).alias("at")
+    t, key = table(spark, sf, "customer"), F.col("c_custkey").cast("string").alias("custkey")
+    parts = [t.filter("c_nationkey < 9").select(key, at("c_custkey"), "c_name"), t.filter("c_acctbal > 5000").select(key, at("c_custkey"), "c_mktsegment"), t.filter("c_acctbal < 6000").select(key, at("c_custkey"), "c_nationkey", (F.col("c_acctbal") > 0).alias("rich"))]
+    end = spark.range(1).select(F.lit("end").alias("custkey"), at(F.lit(10**10)), F.lit("").alias("c_name"))
+    parts[0] = parts[0].unionByName(end)
+    out = stateful.paste_all([_as_stream(spark, p) for p in parts], "custkey", "at", "0 seconds")
+    return _ran(out, "pasted")
+
+
+@query("select s_nationkey::varchar as nation, string_agg(s_name, '|' order by s_suppkey) as names from supplier group by 1")
+def stream_running(spark, sf):
+    """Lists by key that grow batch by batch; each batch puts only the keys that changed in a store."""
+    t = table(spark, sf, "supplier").select("s_nationkey", F.timestamp_seconds(86_400 + F.col("s_suppkey")).alias("at"), F.col("s_name").alias("names"), F.col("s_suppkey").alias("n"))
+    third = t.agg((F.floor(F.max("n") / 3) + 1).cast("long")).first()[0] or 1
+    lines = _as_stream(spark, t.withColumnRenamed("s_nationkey", "nation"), F.floor(F.col("n") / third))
+    out = stateful.collapse_running(lines, "nation", "at", ["names"], "1 day", 10**9)
+    kept = KeyedStore.create(keyed(spark.createDataFrame([], "nation string, names string"), "nation"), store.work_path(spark, "running"), shards=4)
+    write = lambda batch, number: kept.put(keyed(batch, "nation", ["names"]))
+    out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", store.work_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return shown(kept.read())
+
+
+def _as_stream(spark, df, batch=None):
+    """df as a stream; batch: a column that tells its batches apart."""
+    path = store.work_path(spark, "stream")
+    for n in sorted(r[0] for r in df.select(batch).distinct().collect()) if batch is not None else [0]:
+        (df.filter(batch == n) if batch is not None else df).coalesce(1).write.parquet(f"{path}/b={n}")
+    stream = spark.readStream.schema(df.schema)
+    return (stream.option("maxFilesPerTrigger", 1) if batch is not None else stream).parquet(f"{path}/b=*")
+
+
+def _ran(stream, label):
+    """All that a stream has, written by it and read back."""
+    path = store.work_path(stream.sparkSession, label)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}.state").trigger(availableNow=True).start(path).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
