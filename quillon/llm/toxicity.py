@@ -37,6 +37,7 @@ from .base import materialize
 MAX_ROWS = 20_000
 MIN_EVIDENCE = 12.0
 PREFIXES = (4, 5, 6)
+LEAST = PREFIXES[0]
 CACHE_WORDS = 200_000
 EDGE, OTHER = "\x02", "\x01"
 ALPHABET = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ" + EDGE)
@@ -135,17 +136,23 @@ class Reader:
             self.cache[stretch] = LETTERS.findall(decode(stretch, self.language))
         return self.cache[stretch]
 
+    def restored(self, low: str, found: set[str] | None = None) -> list[str]:
+        """Words restored from the disguised stretches of a text in lower case. found: its words as they stand, if known."""
+        stretches = set(m for m in APART.findall(low) if len(set(m[::2])) > 1)
+        if SIGN.search(low):
+            stretches.update(m.rstrip("0123456789@$!|+(") if not m[-1].isalpha() and not SIGN.search(m.rstrip("0123456789@$!|+(")) else m for m in MIXED.findall(low))
+        repeated = THRICE.search(low)
+        if not stretches and not repeated:
+            return []
+        found = set(LETTERS.findall(low)) if found is None else found
+        if repeated:  # words are distinct here, so a repeated letter is looked for once a word
+            stretches.update(w for w in found if len(w) > 3 and REPEATED.fullmatch(w))
+        return [w for s in stretches if s not in found or REPEATED.fullmatch(s) for w in self._restore(s)]
+
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         found = set(LETTERS.findall(low))
-        # Words are distinct here, so a repeated letter is looked for once a word.
-        stretches = {w for w in found if len(w) > 3 and REPEATED.fullmatch(w)} if THRICE.search(low) else set()
-        if SIGN.search(low):
-            stretches.update(m.rstrip("0123456789@$!|+(") if not m[-1].isalpha() and not SIGN.search(m.rstrip("0123456789@$!|+(")) else m for m in MIXED.findall(low))
-        stretches.update(m for m in APART.findall(low) if len(set(m[::2])) > 1)
-        for s in stretches:
-            if s not in found or REPEATED.fullmatch(s):
-                found.update(self._restore(s))
+        found.update(self.restored(low, found))
         return found
 
 
@@ -160,22 +167,17 @@ class Model:
     bias: float
 
     def __post_init__(self) -> None:
-        self.reader, self.cache = Reader(self.language), {}
+        self.reader = Reader(self.language)
+        self.starts = {f.removeprefix("=")[:LEAST] for f in self.weights}
 
     def __reduce__(self):
         return Model, (self.language, self.weights, self.bias)
 
     def score(self, text: str | None) -> float:
-        words = self.reader.words(text)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         found: set[str] = set()
-        for w in words:
-            known = self.cache.get(w)
-            if known is None:
-                known = self.cache[w] = [f for f in features(w) if f in self.weights]
-            if known:
-                found.update(known)
+        for w in self.reader.words(text):
+            if w[:LEAST] in self.starts:  # else none of its features counts
+                found.update(f for f in features(w) if f in self.weights)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.bias + sum(self.weights[f] for f in sorted(found))))))
 
 
