@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +120,12 @@ def subset(t: KeyedTable, keys: DataFrame | Iterable[str], invert: bool = False)
     return t.with_df(found.select(*map(quoted, t.all_fields), F.col("__o").alias(ORD)))
 
 
+def keys_of_any(stacks: Sequence[FilterStack]) -> DataFrame:
+    """key: the distinct keys, sorted, of the rows that any of the stacks leaves."""
+    found = [s.result().df.select(quoted(s.table.key).cast("string").alias("key")) for s in stacks]
+    return reduce(DataFrame.unionByName, found).distinct().orderBy("key")
+
+
 def values_at(t: KeyedTable, keys: Sequence[str]) -> DataFrame:
     """A row a requested key, in order, nulls for missing ones."""
     wanted = t.df.sparkSession.createDataFrame(list(enumerate(map(str, keys))), "position long, requested string")

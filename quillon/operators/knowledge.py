@@ -10,7 +10,8 @@ Rules are lines like
     }
 
 A match rule reads `source relation target [- conditions]`; ends are entities, variables (?v) or saved lists
-(:name). Each rule keeps the edges that fit what its variables may be so far; a variable then means the
+(:name). The relation may be a variable, which goes over all relations, and may name a knowledge base that this one includes:
+`relation@base`, `relation@?base` (all that have it), `?relation@base`, `?relation@?base`; variables mean the names. Each rule keeps the edges that fit what its variables may be so far; a variable then means the
 ends it met. Earlier rules are not narrowed again: assignments are those sets, and paths are the
 combinations that agree in all rules. Rules without a variable in common combine freely, so each connected group of
 rules has a table of paths of its own, and their product is never made.
@@ -32,6 +33,7 @@ from ..model import KeyedTable, in_namespace, quoted
 from ..sources.store import delete, exists, load, names_in, save, write_text
 from . import graph
 from .enrichment import enrichment
+from .entity import typed
 from .filters import info_condition
 from .translate import NoPath, translate_column, translation_index
 
@@ -66,6 +68,22 @@ class KnowledgeBase:
     lists: dict[str, DataFrame] = field(default_factory=dict)
     #: Where lists are written; without it they last as long as this object.
     folder: str | None = None
+    #: Options of the entities of an end, by its name; see typed_edges().
+    entity_options: dict[str, dict] = field(default_factory=dict)
+    others: dict[str, KnowledgeBase] = field(default_factory=dict)
+
+    def include(self, name: str, other: KnowledgeBase) -> None:
+        """Another knowledge base whose relations rules may name as relation@name."""
+        self.others[name] = other
+
+    def typed_edges(self, name: str) -> DataFrame:
+        """The edges of a relation, its ends typed as entities of what they are, with the namespace and the options of that entity."""
+        out, info = self.index(name), self.info(name)
+        for end in ("source", "target"):
+            spec = graph.field_spec(self.relations[name].options.get(end))
+            entity = spec[2] or spec[1] or info[end]
+            out = typed(out, end, entity, **({"namespace": self.namespace} if self.namespace else {}) | self.entity_options.get(entity, {}))
+        return out
 
     def register(self, name: str, table: Source, identifiers: Sequence[KeyedTable] = (), description: str = "", **options) -> None:
         """A relation from a table, a function that makes one when first asked for, or the path of a saved one, in which
@@ -196,7 +214,7 @@ class KnowledgeBase:
 
     def to_json(self) -> str:
         """The registry's names and options."""
-        return json.dumps({"namespace": self.namespace, "relations": {n: r.options for n, r in self.relations.items()}, "lists": self.list_names()}, sort_keys=True)
+        return json.dumps({"namespace": self.namespace, "relations": {n: r.options for n, r in self.relations.items()}, "lists": self.list_names(), "entities": self.entity_options}, sort_keys=True)
 
     def save(self, folder: str) -> None:
         """All tables, lists and options, for open_knowledge()."""
@@ -216,7 +234,7 @@ def open_knowledge(spark: SparkSession, folder: str) -> KnowledgeBase:
     """What save() wrote; its lists stay in that folder."""
     folder = folder.rstrip("/")
     registry = json.loads(spark.read.text(f"{folder}/registry.json", wholetext=True).first()[0])
-    kb = KnowledgeBase(spark, registry["namespace"], folder=folder)
+    kb = KnowledgeBase(spark, registry["namespace"], folder=folder, entity_options=registry.get("entities", {}))
     for name, options in registry["relations"].items():
         kb.register(name, partial(load, spark, f"{folder}/tables/{name}"), [load(spark, f"{folder}/identifiers/{name}/{i}") for i in range(registry["identifiers"][name])], **options)
     return kb
@@ -243,42 +261,52 @@ class _Traversal:
             found = self.kb.identify(relation, found, "source").unionByName(self.kb.identify(relation, found, "target"))
         self.bound[name] = found.distinct()
 
-    def _end(self, e: DataFrame, relation: str, end: str, term: str) -> DataFrame:
+    def _end(self, kb: KnowledgeBase, e: DataFrame, relation: str, end: str, term: str) -> DataFrame:
         if term.startswith("?"):
             if term not in self.bound:
                 return e
             wanted = self.bound[term]
         elif term.startswith(":"):
-            wanted = self.kb.identify(relation, self.kb.load_list(term[1:]), end)
+            wanted = kb.identify(relation, self.kb.load_list(term[1:]), end)
         else:
-            wanted = self.kb.identify(relation, self._one([term]), end)
+            wanted = kb.identify(relation, self._one([term]), end)
         wanted = wanted.select(F.col("entity").alias("__e")).distinct()
         return e.join(wanted, F.col(end) == F.col("__e"), "left_semi")
 
-    def _match(self, source: str, relation: str, target: str, conditions: str | None) -> None:
-        names = [n for n in self.kb.relations if relation == n] or ([n for n in self.kb.relations] if relation.startswith("?") else [])
-        if not names:
+    def _named(self, relation: str) -> list[tuple[str, str, KnowledgeBase]]:
+        """Name, base and knowledge base of all relations that a term means."""
+        wanted, _, base = relation.partition("@")
+        bases = {"": self.kb} if not base else self.kb.others if base.startswith("?") else {base: self.kb.others[base]}
+        found = [(n, b, kb) for b, kb in sorted(bases.items()) for n in kb.relations if wanted.startswith("?") or n == wanted]
+        if not found:
             raise KeyError(f"no relation {relation!r}")
-        parts = []
-        for name in names:
-            e = self.kb.index(name)
-            if conditions:
-                for c in shlex.split(conditions):
-                    fname, equals, value = c.partition("=")
-                    if fname not in e.columns:
-                        raise KeyError(f"{relation!r} has no field {fname!r}")
-                    e = e.filter(info_condition(fname, value if equals else None))
-            e = self._end(self._end(e, name, "source", source), name, "target", target)
-            parts.append(e.select("source", "target", F.lit(name).alias("relation")))
+        return found
+
+    def _match(self, source: str, relation: str, target: str, conditions: str | None) -> None:
+        parts, named = [], self._named(relation)
+        asked = [c.partition("=") for c in shlex.split(conditions or "")]
+        for name, base, kb in named:
+            e = kb.index(name)
+            if missing := [f for f, *_ in asked if f not in e.columns]:
+                if len(named) > 1:
+                    continue  # some other relation may have the field
+                raise KeyError(f"{relation!r} has no field {missing[0]!r}")
+            for fname, equals, value in asked:
+                e = e.filter(info_condition(fname, value if equals else None))
+            e = self._end(kb, self._end(kb, e, name, "source", source), name, "target", target)
+            parts.append(e.select("source", "target", F.lit(name).alias("relation"), F.lit(base).alias("base")))
+        if not parts:
+            raise KeyError(f"{relation!r} has none of the fields {[f for f, *_ in asked]}")
         found = reduce(lambda a, b: a.unionByName(b), parts).distinct()
         if source == target and source.startswith("?"):
             found = found.filter("source = target")
-        for end, term in (("source", source), ("target", target)):
-            if term.startswith("?"):
-                self.bound[term] = found.select(F.col(end).alias("entity")).distinct()
-        if relation.startswith("?"):
-            self.bound[relation] = found.select(F.col("relation").alias("entity")).distinct()
-        columns = {t: c for c, t in (("source", source), ("target", target), ("relation", relation)) if t.startswith("?")}
+        wanted, _, base = relation.partition("@")
+        columns = {t: c for c, t in (("source", source), ("target", target), ("relation", wanted), ("base", base)) if t.startswith("?")}
+        for term, c in columns.items():
+            if c in ("relation", "base") and term in self.bound:
+                found = found.join(self.bound[term].select(F.col("entity").alias("__e")).distinct(), F.col(c) == F.col("__e"), "left_semi")
+        for term, c in columns.items():
+            self.bound[term] = found.select(F.col(c).alias("entity")).distinct()
         self.steps.append(found.select(*[F.col(c).alias(t) for t, c in columns.items()] or [F.lit(True).alias("__met")]).distinct())
 
     def run(self, lines: list[str], with_paths: bool) -> Answer:

@@ -75,8 +75,8 @@ def reorder(
 ) -> KeyedTable:
     """Re-key by a column and project. fields None: the old key first, then the others; "all": every
     column. A list-valued key gives a row an element; the cells that go with element i are
-    whole lists (one2one False), element i or else the first (True), or element i or null ("strict").
-    Rows of one new key merge as merge_by_key does."""
+    whole lists (one2one False), element i or else the first (True), or element i or null ("strict"). Of several fields
+    a `flat` table has all values in one list, and a `single` one the first. Rows of one new key merge as merge_by_key does."""
     new, shape = t.identify(key), shape or t.shape
     if fields == "all":
         names = list(t.all_fields)
@@ -84,7 +84,9 @@ def reorder(
         names = list(t.fields) if new == t.key else [t.key, *[f for f in t.fields if f != new]]
     else:
         names = [t.identify(f) for f in fields]
-    listed_key = t.listed and new != t.key
+    listed_key, asked = t.listed and new != t.key, shape
+    if len(names) > 1:  # one cell of several fields is made of them at the end
+        shape = {"flat": "double", "single": "list"}.get(shape, shape)
     if t.shape == "flat" and listed_key:
         df = t.df.select(F.explode(F.array_distinct(quoted(new)) if uniq else quoted(new)).alias("__key"), F.array(quoted(t.key)).alias(t.key), ORD)
         return merge_by_key(t.with_df(df.withColumnRenamed("__key", new).select(quoted(new), quoted(t.key), ORD), key=new, fields=[t.key]), merge=merge)
@@ -98,7 +100,7 @@ def reorder(
         own = F.get(c, F.col("__at"))
         if name == t.key:
             return c if shape in ("flat", "double") else F.get(c, F.lit(0))
-        if one2one == "strict" or (not one2one and shape == "list"):
+        if one2one == "strict" or (not one2one and asked == "list"):
             return F.array(own) if shape in ("flat", "double") else own
         if one2one:
             own = F.coalesce(own, F.get(c, F.lit(0)))
@@ -110,7 +112,7 @@ def reorder(
     named = [cell(i, n).alias(n if n != new or fields == "all" else n) for i, n in enumerate(names)]
     key_name = new if new not in names else f"{new} (key)"
     out = t.with_df(df.select(F.col("__key").alias(key_name), *named, order), key=key_name, fields=names, shape=shape)
-    return merge_by_key(out, merge=merge)
+    return merge_by_key(to_shape(out, asked), merge=merge)
 
 
 def change_key(t: KeyedTable, key: str, keep: bool = False, one2one: bool | str = False, merge: bool = True) -> KeyedTable:

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from ..functions.cells import says_true, truthy
 from ..model import keyed
-from ..operators import aggregate, filters, joins, reshape
+from ..operators import aggregate, filters, graph, joins, reshape
+from ..operators.entity import entity_of
+from ..operators.knowledge import KnowledgeBase, open_knowledge
 from ..sources import blocks, store, text
 from ..sources.clustered import IntervalIndex
 from ..sources.keyed_store import Conflict, KeyedStore
 from ..streaming import stateful
 from ..streaming import tables as streams
 from .oracles import SPANS
-from .queries import customers, knowledge, order_spans, shown, table
+from .queries import customers, knowledge, nations, order_spans, parts, shown, suppliers, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +133,84 @@ def kb_enrichment(spark, sf):
     return found.select("target", "n", "hits", F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"))
 
 
+# Several knowledge bases, kept filters together, and other ways to look at a table
+
+
+@query("with e as (select 'north' as base, c_custkey::varchar as source, c_nationkey::varchar as target from customer where c_nationkey < 12 union all select 'south', c_custkey::varchar, c_nationkey::varchar from customer where c_nationkey >= 9) select base, source as customer, target as nation, s_suppkey::varchar as supplier from e join supplier on target = s_nationkey::varchar where s_acctbal > 6000")
+def kb_registries(spark, sf):
+    """A rule over two saved knowledge bases, and a relation of the one that includes them."""
+    kb = knowledge(spark, sf)
+    for base, part in (("north", "c_nationkey < 12"), ("south", "c_nationkey >= 9")):
+        t, folder = customers(spark, sf), store.work_path(spark, base)
+        saved = KnowledgeBase(spark, base, entity_options={"c_nationkey": {"format": "number"}})
+        saved.register("lives_in", t.with_df(t.df.filter(part)), source="c_custkey", target="c_nationkey", info=["c_mktsegment"])
+        saved.save(folder)
+        kb.include(base, open_knowledge(spark, folder))
+        assert kb.others[base].entity_options == {"c_nationkey": {"format": "number"}}
+    kb.save_list("rich", table(spark, sf, "supplier").filter("s_acctbal > 6000").select(F.col("s_suppkey").cast("string")))
+    found = kb.traverse("?supplier = :rich\n?supplier ships_from ?nation\n?customer lives_in@?base ?nation").paths
+    return found.select(F.col("?base").alias("base"), F.col("?customer").alias("customer"), F.col("?nation").alias("nation"), F.col("?supplier").alias("supplier"))
+
+
+@query("select c_custkey::varchar as source, c_nationkey::varchar as target, 'c_custkey' as source_entity, 'c_nationkey in trade' as target_entity from customer")
+def kb_typed_edges(spark, sf):
+    """Edges whose ends know what entities they are, with options that saving keeps."""
+    folder, kb = store.work_path(spark, "knowledge"), knowledge(spark, sf)
+    kb.entity_options["c_nationkey"] = {"format": "number"}
+    kb.save(folder)
+    e = open_knowledge(spark, folder).typed_edges("lives_in")
+    assert e.schema["target"].metadata["format"] == "number"
+    return e.select("source", "target", F.lit(entity_of(e, "source")).alias("source_entity"), F.lit(f"{entity_of(e, 'target')} in {e.schema['target'].metadata['namespace']}").alias("target_entity"))
+
+
+@query("select c_custkey::varchar as key from customer where c_mktsegment = 'BUILDING' or (c_nationkey = 7 and c_mktsegment = 'MACHINERY')")
+def keys_of_any(spark, sf):
+    """The keys that either of two stacks of saved filters leaves."""
+    folder, t = store.work_path(spark, "filters"), reshape.slice_fields(customers(spark, sf), ["c_nationkey", "c_mktsegment"])
+    one = filters.FilterStack(t, folder).add("c_mktsegment", "BUILDING")
+    two = filters.FilterStack(t, folder).add("c_nationkey", "7").add("c_mktsegment", "MACHINERY")
+    return filters.keys_of_any([one, two])
+
+
+@query("select concat_ws(chr(9), p_partkey::varchar, p_name, p_brand, p_type, p_size::varchar) as line, 5::bigint as cells, p_size::varchar as last_cell from part")
+def lines_and_matrix(spark, sf):
+    """A file as lines, and each line as its cells."""
+    path = store.work_path(spark, "tsv")
+    text.write_tsv(parts(spark, sf), path)
+    cells = text.split_row(F.col("value"), "\t")
+    return text.read_lines(spark, f"{path}/part-*").select(F.col("value").alias("line"), F.size(cells).cast("bigint").alias("cells"), F.element_at(cells, -1).alias("last_cell"))
+
+
+@query("select n_regionkey::varchar as region, array_to_string(flatten(list([n_nationkey::varchar, n_name] order by n_nationkey)), '|') as cells from nation group by 1")
+def reorder_flat(spark, sf):
+    """All fields of the rows of a new key in one list."""
+    t = reshape.reorder(reshape.to_shape(nations(spark, sf), "double"), "n_regionkey", ["n_nationkey", "n_name"], one2one=False, shape="flat", merge=True)
+    return t.df.select(F.col("n_regionkey").alias("region"), F.array_join(t.fields[0], "|").alias("cells"))
+
+
+@query("select c_custkey::varchar || '~' || c_nationkey::varchar as pair, c_nationkey::varchar || '~' || c_custkey::varchar as inverted, c_nationkey::varchar as other_end, 'c_mktsegment=' || c_mktsegment as info from customer")
+def edge_properties(spark, sf):
+    """An edge by its name, turned round, taken apart again, and with what is known of it."""
+    e = graph.pair_names(knowledge(spark, sf).all("lives_in"))
+    apart = graph.split_pairs(e.drop("source", "target"))
+    return apart.select("pair", F.concat_ws("~", "target", "source").alias("inverted"), F.col("target").alias("other_end"), F.concat(F.lit("c_mktsegment="), "c_mktsegment").alias("info"))
+
+
+@query("select c_custkey, said, said <> '' and lower(said) <> 'false' as holds, regexp_matches(said, '\\btrue\\b') as says_true from (select c_custkey, case c_custkey % 4 when 0 then '' when 1 then 'False' when 2 then 'is true' else c_mktsegment end as said from customer)")
+def boolean_text(spark, sf):
+    """Text as truth, in the two ways that filters and rules have."""
+    said = F.when(F.col("c_custkey") % 4 == 0, "").when(F.col("c_custkey") % 4 == 1, "False").when(F.col("c_custkey") % 4 == 2, "is true").otherwise(F.col("c_mktsegment"))
+    return table(spark, sf, "customer").select("c_custkey", said.alias("said")).select("c_custkey", "said", truthy(F.col("said")).alias("holds"), says_true(F.col("said")).alias("says_true"))
+
+
+@query("select s_nationkey::varchar as nation, count(*) as n, round(sum(s_acctbal), 2) as total, round(avg(s_acctbal), 2) as mean, min(s_acctbal) as least, max(s_acctbal) as most from supplier group by 1")
+def field_math(spark, sf):
+    """Numbers in text cells added up by key."""
+    t = reshape.column(reshape.change_key(reshape.to_shape(suppliers(spark, sf), "double"), "s_nationkey"), "s_acctbal", "to_f")
+    values = t.df.select(F.col("s_nationkey").alias("nation"), F.explode("s_acctbal").alias("v"))
+    return values.groupBy("nation").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"), F.round(F.avg("v"), 2).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
 # Streams with state
 
 

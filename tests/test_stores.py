@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.model import keyed
 from quillon.operators import aggregate, filters, graph, joins
 from quillon.operators.enrichment import adjusted, enrichment, hypergeometric_tail
-from quillon.operators.knowledge import KnowledgeBase
+from quillon.operators.knowledge import KnowledgeBase, open_knowledge
 from quillon.sources import blocks, clustered, store, text
 from quillon.sources.clustered import IntervalIndex
 from quillon.sources.keyed_store import Conflict, KeyedStore, shard_of
@@ -246,3 +246,28 @@ def test_tables_in_archives_and_blocks(spark, tmp_path):
     t = text.read_tsv(spark, f"{tmp_path}/t.bgz", shape="list")
     assert {r.ID: r.V for r in t.public().collect()} == {f"k{i}": str(i) for i in range(500)}
     assert [r.V for r in t.df.orderBy("_ord").limit(3).collect()] == ["0", "1", "2"]
+
+
+def test_rules_over_several_knowledge_bases(spark, tmp_path):
+    def base(name, pairs, **relations):
+        kb = KnowledgeBase(spark, name, entity_options={"b": {"format": name}})
+        for relation, rows in {"knows": pairs, **relations}.items():
+            kb.register(relation, keyed(spark.createDataFrame(rows, "a string, b string, since string"), "a", shape="list"), source="a", target="b")
+        return kb
+
+    kb = base("mine", [("x", "y", "1")])
+    base("one", [("x", "z", "1"), ("y", "z", "2")], likes=[("z", "x", "1")]).save(str(tmp_path / "one"))
+    kb.include("one", open_knowledge(spark, str(tmp_path / "one")))
+    kb.include("two", base("two", [("z", "x", "2")]))
+    paths = lambda rules: sorted(tuple(r[c] for c in sorted(r.asDict())) for r in kb.traverse(rules).paths.collect())
+    assert paths("?a knows@one ?b") == [("x", "z"), ("y", "z")]
+    assert paths("?a knows@?kb ?b") == [("x", "z", "one"), ("y", "z", "one"), ("z", "x", "two")]
+    assert paths("z ?r@?kb ?b") == [("x", "one", "likes"), ("x", "two", "knows")]
+    assert paths("?a knows ?b\n?b knows@?kb ?c\n?c ?r@?kb ?a") == [("x", "y", "z", "one", "likes")]
+    assert paths("?a knows@?kb ?b - since=2") == [("y", "z", "one"), ("z", "x", "two")]
+    assert kb.others["one"].entity_options == {"b": {"format": "one"}}
+    e = kb.others["one"].typed_edges("knows")
+    assert e.schema["target"].metadata == {"entity": "b", "namespace": "one", "format": "one"} and e.schema["source"].metadata == {"entity": "a", "namespace": "one"}
+    for wrong in ("?a hates@one ?b", "?a knows@nobody ?b", "?a knows@one ?b - height=1"):
+        with pytest.raises(KeyError):
+            kb.traverse(wrong)

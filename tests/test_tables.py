@@ -244,3 +244,9 @@ def test_csv_scan_writes_with_the_partitions_of_its_table(spark, monkeypatch):
     monkeypatch.setattr(queries.store, "work_path", lambda *a: paths.append(place(*a)) or paths[-1])
     assert queries.QUERIES["csv_scan"](spark, "/root/testdata/sf0.001").count() == read(spark, "/root/testdata/sf0.001", "customer").count()
     assert spark.read.text(paths[0]).select(F.input_file_name()).distinct().count() == 3
+
+
+def test_reorder_into_one_cell(spark):
+    t = text.from_text(spark, "#ID A B\nr1 a|aa b\nr2 a c|cc\n", sep=" ")
+    assert rows(reshape.reorder(t, "A", ["ID", "B"], one2one=False, shape="flat")) == {"a": (["r1", "b", "r2", "c", "cc"],), "aa": (["r1", "b"],)}
+    assert rows(reshape.reorder(t, "A", ["B", "ID"], one2one=False, shape="single")) == {"a": ("c",), "aa": ("b",)}
