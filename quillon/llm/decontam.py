@@ -11,8 +11,7 @@ MinHash), of which such a document holds m + 1 at least. So the share of the ske
 holds estimates the containment, and no contaminated document falls short of the bound, however long it is.
 A document searches only the partitions whose items it is large enough to contain. Its hashes are first looked up in a bitmap of the
 hashes of all sketches, about BITS_PER_HASH bits a hash and MAX_BITS at most, which hardly any other passes; what is left in bitmaps of the
-partitions. It leaves a partition in which it holds fewer hashes than any item there asks for. Only what remains meets the
-sketches, by partition and hash. Candidate pairs are verified by their shingles, as strings.
+partitions. Only what remains meets the sketches, by partition and hash. Candidate pairs are verified by their shingles, as strings.
 
 Defined results: null and word-less texts (items too) match nothing; rows with equal id are judged by
 their own texts; texts of one item id form one item; extra columns are ignored, and kept by clean(); empty
@@ -77,24 +76,18 @@ def index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, materialize(sketch.select("part", "item_id", "n_item", "need", "h"), "decontam-sketches")
 
 
-def _bitmaps(sketch: DataFrame) -> tuple[DataFrame, int]:
-    """A row with `all`, a bitmap of the hashes of all sketches, and `parts`, a struct for each partition: its number, the fewest
-    shingles and the fewest hashes that a document in it needs, and its bitmap. And the bits of a bitmap, a power of two."""
-    n, parts = sketch.count(), sketch.select("part").distinct().count()  # one a power of two
-    bits = max(64, min(1 << max(0, BITS_PER_HASH * n - 1).bit_length(), 1 << (MAX_BITS // (parts + 1)).bit_length() - 1))
+def _bitmaps(sketch: DataFrame, parts: list[int]) -> tuple[DataFrame, int]:
+    """A row with `maps`, an array of bitmaps: one of the hashes of all sketches, and one of those of each partition. And the bits
+    of a bitmap, a power of two."""
+    bits = max(64, min(1 << max(0, BITS_PER_HASH * sketch.count() - 1).bit_length(), 1 << (MAX_BITS // (len(parts) + 1)).bit_length() - 1))
     place = F.col("h").bitwiseAND(F.lit(bits - 1))
-    set_ = sketch.select("part", F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    some = set_.groupBy("part", "word").agg(F.bit_or("bit").alias("bits"))
-    none = sketch.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    dense = lambda rows: F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])
-
-    every = sketch.groupBy("part").agg(F.min("n_item").alias("n"), F.min("need").alias("need")).select("part", least_size(F.col("n")).cast("long").alias("least"), "need")
-    padded = some.unionByName(every.select("part").join(none)).groupBy("part", "word").agg(F.bit_or("bits").alias("bits"))
-    by_part = padded.groupBy("part").agg(dense(padded).alias("map")).join(every, "part").select(F.struct("part", "least", "need", "map").alias("p"))
-    of_all = padded.groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    rows = by_part.agg(F.array_sort(F.collect_list("p")).alias("parts")).withColumn("all", F.lit(None).cast("array<bigint>"))
-    rows = rows.unionByName(of_all.agg(dense(of_all).alias("all")).withColumn("parts", F.lit(None).cast(rows.schema["parts"].dataType)))
-    return materialize(rows.agg(F.first("all", True).alias("all"), F.first("parts", True).alias("parts")).select(F.struct("all", "parts").alias("maps")), "decontam-bitmaps"), bits
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    numbers = F.array(F.lit(0), F.array_position(F.array(*map(F.lit, parts)), F.col("part")).cast("int"))
+    some = sketch.select(F.explode(numbers).alias("number"), F.shiftright(place, 6).alias("word"), bit.alias("bits"))
+    none = sketch.sparkSession.range((len(parts) + 1) * (bits // 64)).select(F.floor(F.col("id") / (bits // 64)).cast("int").alias("number"), (F.col("id") % (bits // 64)).alias("word"), F.lit(0).cast("long").alias("bits"))
+    padded = some.unionByName(none).groupBy("number", "word").agg(F.bit_or("bits").alias("bits"))
+    one = padded.groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("map"))
+    return materialize(one.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "map"))), lambda x: x["map"]).alias("maps")), "decontam-bitmaps"), bits
 
 
 def _in(bitmap: Column, h: Column, bits: int) -> Column:
@@ -103,21 +96,19 @@ def _in(bitmap: Column, h: Column, bits: int) -> Column:
     return F.call_function("shiftrightunsigned", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _searched(hashes: Column, maps: Column, bits: int) -> Column:
-    """Number of shingles, and for each partition that a document stays in its number and the hashes that may be in its sketches."""
-
-    def in_part(p: Column, n_doc: Column, some: Column) -> Column:
-        found = F.when(n_doc >= p["least"], F.filter(some, lambda h: _in(p["map"], h, bits)))
-        return F.struct(p["part"].alias("part"), p["need"].alias("need"), found.alias("hs"))
-
-    def parts(n_doc: Column, some: Column) -> Column:
-        inside = F.transform(maps["parts"], lambda p: in_part(p, n_doc, some))
-        return F.filter(inside, lambda x: F.coalesce(F.size(x["hs"]) >= x["need"], F.lit(False)))
-
-    def of(hs: Column) -> Column:
-        return _once(F.filter(hs, lambda h: _in(maps["all"], h, bits)), lambda some: F.struct(F.size(hs).alias("n_doc"), parts(F.size(hs), some).alias("parts")))
-
-    return _once(hashes, of)
+def searched(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_doc, part and h: the hashes of each document that may be in the sketches of a partition that is open to it."""
+    found = sketch.groupBy("part").agg(least_size(F.min("n_item")).cast("long").alias("least")).orderBy("part").collect()  # a row a power of two
+    if not found:
+        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lit(0).alias("n_doc"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("h")).limit(0)
+    maps, bits = _bitmaps(sketch, [r["part"] for r in found])
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), shingle_hashes(F.col("text")).alias("hs"))
+    # Neither filters that Spark infers for explode() nor for null sizes may reach hs, which would be worked out again for them.
+    every = hashed.select("doc_id", "text_key", F.coalesce(F.size("hs"), F.lit(0)).alias("n_doc"), F.explode_outer("hs").alias("h")).filter("h is not null")
+    some = every.filter(_in(F.get(maps.scalar(), F.lit(0)), F.col("h"), bits))
+    open_ = F.array(*[F.struct(F.lit(n + 1).alias("number"), F.lit(r["part"]).alias("part"), F.lit(r["least"]).alias("least")) for n, r in enumerate(found)])
+    some = some.withColumn("p", F.explode(open_)).filter(F.col("n_doc") >= F.col("p.least"))
+    return some.filter(_in(F.get(maps.scalar(), F.col("p.number")), F.col("h"), bits)).select("doc_id", "text_key", "n_doc", "p.part", "h")
 
 
 def _joined(rows: DataFrame, right: DataFrame, on: Column | list[str]) -> DataFrame:
@@ -128,13 +119,8 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs: doc_id, text. items: item_id, text. One row for each document and item that it
     contains: doc_id, text_key (a hash of the document's text), item_id, n_item and n_shared."""
     sets, sketch = index(items)
-    maps, bits = _bitmaps(sketch)
-
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    hashed = keyed.withColumn("maps", maps.scalar()).select("doc_id", F.xxhash64("text").alias("text_key"), _searched(shingle_hashes(F.col("text")), F.col("maps"), bits).alias("s"))
-    # Outer, since for explode() Spark would filter by the size of s.parts first, and so work it out twice.
-    opened = hashed.select("doc_id", "text_key", F.col("s.n_doc").alias("n_doc"), F.explode_outer("s.parts").alias("p")).filter("p is not null")
-    hits = opened.select("doc_id", "text_key", "n_doc", F.col("p.part").alias("part"), F.explode("p.hs").alias("h"))
+    hits = searched(keyed, sketch)
     met = _joined(hits, sketch, ["part", "h"]).filter(F.col("n_doc") >= least_size(F.col("n_item")))
     met = met.groupBy("doc_id", "text_key", "item_id", "need").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("need"))
     pairs = materialize(met.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text"), F.col("item_id").alias("of_item")), "decontam-candidates")

@@ -346,6 +346,18 @@ def test_large_and_small_items_in_long_and_short_documents(spark):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, *_ in docs} - {d for d, *_ in want}
 
 
+def test_few_hashes_meet_the_sketches_and_none_that_matters_is_lost(spark):
+    df, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    _, sketch = decontam.index(items)
+    every = df.select("doc_id", F.explode(decontam.shingle_hashes(F.col("text"))).alias("h"))
+    met = decontam.searched(df.select("doc_id", "text"), sketch)
+    assert met.count() < 0.05 * every.count()
+    true = every.join(sketch, "h").groupBy("doc_id", "item_id", "need").count().filter("count >= need")
+    kept = met.join(sketch, ["part", "h"]).groupBy("doc_id", "item_id", "need").count().filter("count >= need")
+    rows = lambda x: {(r.doc_id, r.item_id) for r in x.collect()}
+    assert {(r.doc_id, r.item_id) for r in decontam.report(df, items).collect()} <= rows(kept) <= rows(true)
+
+
 def test_op10_meets_its_contract(spark, docs):
     got = queries.op10_mixing(spark, SMALL).collect()
     size = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs}
