@@ -1,3 +1,6 @@
+import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -85,6 +88,46 @@ def test_cuckoo_index_grows_and_deletes():
     assert not index.delete(keys[0]) and len(list(index)) == 1500
 
 
+def test_cuckoo_index_with_forced_collisions():
+    rng = random.Random(4)
+    start = lambda n: n.to_bytes(8, "little")
+    # Equal beginnings, so equal fingerprints and places: more than any table holds; and equal fingerprints in few places.
+    keys = [start(7) + b"\x05\x00" + i.to_bytes(6, "little") for i in range(30)] + [start(i % 3) + (i % 5).to_bytes(2, "little") + b"x" * 5 + bytes([i]) for i in range(100)]
+    keys += [rng.randbytes(16) for _ in range(500)]
+    index, plain = exact_dedup.CuckooIndex(2), {}
+    for step in range(6000):
+        k = rng.choice(keys)
+        if k in plain and rng.random() < 0.4:
+            assert index.delete(k) and plain.pop(k) is not None
+        elif k in plain:
+            index.update(k, step)
+            plain[k] = step
+        else:
+            assert index.find(k) is None and not index.delete(k)
+            index.insert(k, step)
+            plain[k] = step
+    assert dict(index) == plain and index.size == len(plain) and [index.find(k) for k in keys] == [plain.get(k) for k in keys]
+    assert index.filter.buckets < 4096
+
+    fresh = exact_dedup.CuckooIndex(1024)
+    for k in keys[130:]:
+        fresh.insert(k, 1)
+    fresh.verified = 0
+    assert all(fresh.find(rng.randbytes(16)) is None for _ in range(2000)) and fresh.verified < 20  # most misses never reach a bucket
+
+
+def test_conversation_of_many_turns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn <{i}> é " + "word " * (i % 9)) for i in range(8000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(1)).withColumnRenamed("turn", "step")
+    out = chat.render(df)
+    began = time.time()
+    r, = chat.digest(out).collect()
+    took = time.time() - began
+    loss = "".join(t for _, i, role, t in rows if role == "assistant")
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (8000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in rows).encode()).hexdigest() and took < 30
+
+
 def test_mixing_takes_near_targets(spark):
     rows = [(i, "w " * (1 + i % 7), s) for i in range(300) for s in ("x", "y", None)] + [(10**6, "w " * 3, "tiny"), (10**6 + 1, None, "void")]
     docs = frame(spark, rows)
