@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,21 +115,19 @@ class KeyedStore:
 
     def _batch(self, manifest: dict, t: KeyedTable) -> tuple[KeyedTable, list[int]]:
         """The batch, once a key, under the store's names and types, written aside; and the shards of its keys."""
-        types = {f["name"]: f["type"] for f in manifest["types"]["fields"]}
         names = (manifest["key"], *manifest["fields"])
         if len(t.all_fields) != len(names) or (t.shape in ("flat", "double")) != (manifest["shape"] in ("flat", "double")):
             raise ValueError(f"{t.all_fields} ({t.shape}) don't fit {names} ({manifest['shape']})")
         one = merge_by_key(t)
-        cast = StructType.fromJson({"type": "struct", "fields": manifest["types"]["fields"]})
-        df = one.df.filter(quoted(t.key).isNotNull()).select(*[quoted(c).cast(cast[n].dataType).alias(n) for c, n in zip(t.all_fields, names, strict=True)])
+        types = StructType.fromJson(manifest["types"])
+        df = one.df.filter(quoted(t.key).isNotNull()).select(*[quoted(c).cast(types[n].dataType).alias(n) for c, n in zip(t.all_fields, names, strict=True)])
         path = work_path(self.spark, "store-batch")
         df.withColumn("shard", shard_of(quoted(names[0]), manifest["shards"])).write.parquet(path)
         saved = self.spark.read.parquet(path)
         shards = [r[0] for r in saved.select("shard").distinct().collect()]  # a row a shard
-        assert set(types) == set(names)
         return self._table(manifest, saved.drop("shard")), sorted(shards)
 
-    def _changed(self, t: KeyedTable, change) -> int:
+    def _changed(self, t: KeyedTable, change: Callable[[KeyedTable, KeyedTable], KeyedTable]) -> int:
         manifest = self.manifest()
         batch, shards = self._batch(manifest, t)
         if not shards:
@@ -143,11 +141,7 @@ class KeyedStore:
 
     def merge(self, t: KeyedTable) -> int:
         """t's lists behind those of the same key, other keys as they are; of scalars t's stay."""
-
-        def joined(old: KeyedTable, new: KeyedTable) -> KeyedTable:
-            return sets.merge_zip(old, new)
-
-        return self._changed(t, joined)
+        return self._changed(t, sets.merge_zip)
 
     def delete(self, keys: DataFrame | Sequence[str]) -> int:
         """Rows of the keys (a DataFrame of one column, or a list) go."""
