@@ -155,7 +155,8 @@ def _selected(candidates: DataFrame, blocks: dict[int, Block], k: int) -> DataFr
                 for ours, theirs, scores in block.tiles(ids, known, matrix):
                     q, c = np.nonzero(scores >= block.low[ours, None])
                     new = (q + ours.start, scores[q, c], ids[theirs][c], known[theirs][c])
-                    parts.append(tuple(x[_first(*new, k)] for x in new))
+                    best = _first(*new, k)
+                    parts.append(tuple(x[best] for x in new))
                 if parts:
                     rows = tuple(map(np.concatenate, zip(*parts, strict=True)))
                     best = _first(*rows, k)
