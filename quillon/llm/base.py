@@ -74,6 +74,12 @@ def by_bytes(texts: pa.Array, size: int) -> Iterator[pa.Array]:
         at = end
 
 
+def release() -> None:
+    """Give back to the system what Arrow no longer uses. A worker serves later tasks and stages too, and what its pool
+    keeps from a large batch would add up in an executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import by_bytes, materialize
+from .base import by_bytes, materialize, release
 
 MAX_ROWS = 20_000
 MAX_BYTES = 1 << 27
@@ -197,7 +197,10 @@ def predictor(model: Model, docs: DataFrame):
         use = shared.value
         if not use.langs:
             return _result(pa.array([UNKNOWN] * len(texts), pa.string()), pa.array([0.0] * len(texts), pa.float64()))
-        parts = [use.predict(group) for group in by_bytes(texts, GROUP_BYTES)]
+        parts = []
+        for group in by_bytes(texts, GROUP_BYTES):
+            parts.append(use.predict(group))
+            release()
         return pa.concat_arrays(parts) if parts else _result(pa.array([], pa.string()), pa.array([], pa.float64()))
 
     predict.__annotations__ = {"texts": pa.Array, "return": pa.Array}

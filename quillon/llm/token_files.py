@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import by_bytes, materialize, shared_path
+from .base import by_bytes, materialize, release, shared_path
 
 LENGTH = 2048
 SEQUENCES_PER_BATCH = 64
@@ -180,7 +180,11 @@ class PieceEncoder:
 def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers first[i], first[i] + 1, ... of all spans, one span after the other."""
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+    most = max(ends[-1], int((first + sizes).max())) if len(ends) else 0
+    kind = np.int32 if most <= np.iinfo(np.int32).max else np.int64  # a group has millions
+    out = np.repeat((first - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(len(out), dtype=kind)
+    return out
 
 
 def _schemas(dtype: str, length: int) -> tuple[pa.Schema, pa.Schema]:
@@ -245,6 +249,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = L
             for ids, sizes in map(encoder.encode, by_bytes(batch.column("text"), GROUP_BYTES)):
                 packer.add(np.insert(ids, np.cumsum(sizes), end))
                 counts.append(sizes + 1)
+                release()
             counts = np.concatenate(counts)
             offsets = total + np.cumsum(counts) - counts
             total, n_docs = total + int(counts.sum()), n_docs + len(counts)

@@ -184,3 +184,23 @@ def test_mixing_fills_targets_from_rows_of_one_place(spark, ids):
     assert len(taken) == 3 and all(0 <= target - got < 10 for target, got in taken.values())
     again = {r.source: r.n for r in mixing.apply(docs).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
     assert all(0 <= target - again[s] < 10 for s, (target, _) in taken.items()) and mixing.apply(docs).columns == docs.columns
+
+
+def test_workers_give_memory_back_between_groups(monkeypatch):
+    """A worker that keeps what Arrow's pool once held has it on top of all later stages."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.llm import base, langid, token_files
+
+    given = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: given.append(1)})())
+    base.release()
+    assert given == [1]
+    for module in (langid, token_files):
+        assert module.release is base.release
+    first, sizes = np.array([5, 0, 9, 2**31 + 7]), np.array([3, 0, 2, 2])
+    spans = token_files._spans(first, sizes)
+    assert spans.tolist() == [5, 6, 7, 9, 10, 2**31 + 7, 2**31 + 8] and spans.dtype == np.int64
+    spans = token_files._spans(first[:3], sizes[:3])
+    assert spans.tolist() == [5, 6, 7, 9, 10] and spans.dtype == np.int32 and not len(token_files._spans(first[:0], sizes[:0]))
