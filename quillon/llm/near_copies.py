@@ -1,12 +1,15 @@
 """Near copies: pairs of texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
 
 Words are those of simhash.py (bytes, A-Z folded). A text of fewer words than a shingle is one shingle.
-Texts with one set are one node. Candidates share a MinHash band (BANDS bands of ROWS minima): a
+Texts with one set are one node. The first candidates are what the vantage-point trees of simhash.py find: sets whose
+64-bit fingerprints differ in three bits or fewer. Those that are similar are joined. Texts of similarity 0.8 differ in 9.7 bits on average, beyond any
+radius for which trees pass over something, so the rest is found in an exact way that skips what is joined.
+Its candidates share a MinHash band (BANDS bands of ROWS minima): a
 pair of similarity 0.8 misses all bands with probability (1 - 0.8**5)**20, 0.04 %. Links between candidates are
 found exactly, without comparing all pairs of a band's bucket:
 
 1. Each bucket has a hub, the member that shares most buckets with others (in a group of copies, what they were
-   copied from). Every member is compared with the hub; the links give components.
+   copied from). Every member not yet joined with the hub is compared with it; the links give components.
 2. What the hubs leave open is searched by differences. D(x) is the symmetric difference of x and the
    hub h. x and y link if and only if |D(x) ^ D(y)| <= (|x| + |y|) / 9. Of two members in different components one, x,
    is apart from h, so |D(x)| > (|x| + |h|) / 9, and it follows that D(x) and D(y) share at least
@@ -18,6 +21,7 @@ found exactly, without comparing all pairs of a band's bucket:
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -68,13 +72,21 @@ def bands(found: np.ndarray) -> list[int]:
     return np.array(digests, np.uint64).view(np.int64).tolist()
 
 
-SKETCH = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def fingerprint(found: np.ndarray) -> int:
+    """The 64-bit SimHash of a set, as a signed number: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        ones += np.unpackbits(found[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
+SKETCH = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 @F.pandas_udf(SKETCH)
 def sketch_udf(texts: pd.Series) -> pd.DataFrame:
     sets = map(shingles, texts)
-    return pd.DataFrame([(name(s), len(s), bands(s)) for s in sets], columns=["fp", "n", "bands"]).astype({"fp": "int64", "n": "int32"})
+    return pd.DataFrame([(name(s), len(s), fingerprint(s), bands(s)) for s in sets], columns=["fp", "n", "print", "bands"]).astype({"fp": "int64", "n": "int32", "print": "int64"})
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -130,12 +142,17 @@ def _spokes(rows: DataFrame) -> DataFrame:
     return spokes
 
 
-def _by_difference(spokes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one hub that may link though their components differ."""
+def _placed(spokes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The spokes, each with the root of its member and whether the hub has another one."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     placed = spokes.join(of("fp"), "fp", "left").join(of("hub"), "hub", "left")
     placed = placed.withColumns({"root": F.coalesce("root_fp", "fp"), "apart": F.coalesce("root_fp", "fp") != F.coalesce("root_hub", "hub")})
-    placed = materialize(placed.select("hub", "n_hub", "fp", "n", "root", "apart"), "copies-placed")
+    return placed.select("hub", "n_hub", "fp", "n", "root", "apart")
+
+
+def _by_difference(spokes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one hub that may link though their components differ."""
+    placed = materialize(_placed(spokes, roots), "copies-placed")
     open_hubs = placed.groupBy("hub").agg(F.count("*").alias("n_members"), F.max("apart").alias("any")).filter("n_members > 1 and any")
     unlike = _with_texts(placed.join(open_hubs.select("hub"), "hub"), texts, "hub", "fp").withColumn("d", difference_udf("text_a", "text_b"))
     unlike = materialize(unlike.select("hub", "n_hub", "fp", "n", "root", "apart", "d"), "copies-unlike")
@@ -159,14 +176,18 @@ def _by_difference(spokes: DataFrame, roots: DataFrame, texts: DataFrame) -> Dat
     return pairs
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """rows: text, fp, n, bands. Edges (a, b) between sets, whose components are those of all similar
-    pairs that share a band."""
+def links(rows: DataFrame, close: DataFrame) -> DataFrame:
+    """rows: text, fp, n, bands; close: a, b, n_a, n_b, candidates from the fingerprints. Edges (a, b) between sets, whose
+    components are those of all similar pairs that share a band, and of the similar ones of close."""
     spokes = _spokes(rows)
-    ends = spokes.select("fp").unionByName(spokes.select(F.col("hub").alias("fp"))).distinct()
+    parts = (spokes.select("fp"), spokes.select(F.col("hub").alias("fp")), close.select(F.col("a").alias("fp")), close.select(F.col("b").alias("fp")))
+    ends = reduce(DataFrame.unionByName, parts).distinct()
     texts = materialize(rows.select("fp", "text").join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "copies-texts")
-    edges = _verified(spokes.filter(_fit("n", "n_hub")).select(F.col("hub").alias("a"), F.col("fp").alias("b")), texts, "copies-edges")
+    edges = _verified(close.filter(_fit("n_a", "n_b")).select("a", "b"), texts, "copies-close")
+    joined = materialize(components(edges), "copies-joined")
+    left = _placed(spokes, joined).filter(F.col("apart") & _fit("n", "n_hub"))
+    edges = edges.unionByName(_verified(left.select(F.col("hub").alias("a"), F.col("fp").alias("b")), texts, "copies-edges"))
     roots = materialize(components(edges), "copies-roots")
     edges = edges.unionByName(_verified(_by_difference(spokes, roots, texts), texts, "copies-more"))
-    discard(spokes, texts, roots)
+    discard(spokes, texts, joined, roots)
     return edges

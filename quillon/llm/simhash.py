@@ -236,21 +236,36 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return _components(rows, links).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def close_sets(rows: DataFrame) -> DataFrame:
+    """rows: fp, n, print (near_copies.py). Candidates for near copies, a, b, n_a and n_b: sets of one fingerprint with the
+    smallest of them, and these along the forests of the vantage-point trees."""
+    sets = materialize(rows.select("fp", "n", "print").distinct(), "simhash-sets")
+    first = materialize(sets.groupBy("print").agg(F.min(F.struct("fp", "n")).alias("first")).select("print", "first.fp", "first.n"), "simhash-firsts")
+    end = lambda c: first.select(F.col("print").alias(f"print_{c}"), F.col("fp").alias(c), F.col("n").alias(f"n_{c}"))
+    alike = sets.join(end("a"), F.col("print") == F.col("print_a")).select("a", F.col("fp").alias("b"), "n_a", F.col("n").alias("n_b"))
+    found = links(first.select(F.col("print").alias("fp"))).distinct().withColumnsRenamed({"a": "print_a", "b": "print_b"})
+    across = found.join(end("a"), "print_a").join(end("b"), "print_b").select("a", "b", "n_a", "n_b")
+    close = materialize(alike.filter("a <> b").unionByName(across), "simhash-close")
+    discard(sets, first)
+    return close
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, with all columns, one row of each component of near copies (near_copies.py: five-word shingles,
-    similarity 0.8 or more): the one with the smallest id, rows without an id being last. Among rows of one id the
+    similarity 0.8 or more; the trees first, then the rest): the one with the smallest id, rows without an id being last. Among rows of one id the
     smallest hash of the whole row decides, so reruns agree; of rows that are equal throughout one stays."""
     text = F.col("text").cast("string")
     named = docs.select(F.col("doc_id").alias("id"), row_hash(docs).alias("row"), text.alias("text"))
     rows = materialize(named.select("id", "row", "text", near_copies.sketch_udf("text").alias("s")).select("id", "row", "text", "s.*"), "copies-rows")
-    roots = materialize(components(near_copies.links(rows)), "copies-groups")
+    close = close_sets(rows)
+    roots = materialize(components(near_copies.links(rows, close)), "copies-groups")
     placed = rows.select("id", "row", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("id", "row", F.coalesce("root", "fp").alias("root"))
     # Equal rows first: they may be a third of all.
     counted = placed.groupBy("root", "id", "row").agg(F.count("*").alias("n"))
     first = counted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "n")).alias("first"))
     of, of_row = fresh(docs, "of", "of_row")
     kept = materialize(first.select(F.col("first.id").alias(of), F.col("first.row").alias(of_row), F.col("first.n").alias("n")), "copies-kept")
-    discard(rows, roots)
+    discard(rows, close, roots)
     here = docs.withColumn(own := fresh(docs, "row")[0], row_hash(docs))
     out = here.join(kept.drop("n"), F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(of_row)), "left_semi")
     if not kept.filter("n > 1").isEmpty():

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.llm import components, langid, near_copies, secrets, simhash, substring_dedup, toxicity
+from quillon.llm.base import materialize
 from tests.llm.test_files_and_chat import frame
 
 SMALL = "/root/testdata/sf0.001"
@@ -80,6 +81,20 @@ def test_near_dedup_cases(spark):
     assert simhash.near_dedup(frame(spark, [])).count() == 0
 
 
+def test_vantage_trees_alone_join_close_texts(spark, monkeypatch):
+    """The fingerprints of the method find copies within three bits without any MinHash band."""
+    rng = random.Random(5)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(3000)] for _ in range(20)]
+    changed = [[*w[:-1], "other"] for w in words]
+    rows = [(i, " ".join(w), None) for i, w in enumerate(words + changed)]
+    prints = [near_copies.fingerprint(near_copies.shingles(t)) for _, t, _ in rows]
+    near = [i for i in range(20) if ((prints[i] ^ prints[i + 20]) & (1 << 64) - 1).bit_count() <= 3]
+    spokes = near_copies._spokes
+    monkeypatch.setattr(near_copies, "_spokes", lambda rows: materialize(spokes(rows).limit(0), "no-spokes"))
+    kept = {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()}
+    assert len(near) >= 15 and not kept & {i + 20 for i in near} and kept >= set(range(20))
+
+
 def test_keep_one_joins_all_texts_of_similarity_four_fifths(spark):
     rng, texts = random.Random(3), []
     for _ in range(12):
