@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,9 +76,12 @@ def by_bytes(texts: pa.Array, size: int) -> Iterator[pa.Array]:
 
 
 def release() -> None:
-    """Give back to the system what Arrow no longer uses. A worker serves later tasks and stages too, and what its pool
-    keeps from a large batch would add up in an executor."""
+    """Give back to the system what Arrow and the allocator no longer use. A worker serves later tasks and stages too, and what
+    it keeps from a large batch would add up in an executor."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
 
 
 def n_words(text: Column) -> Column:

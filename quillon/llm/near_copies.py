@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import discard, materialize
+from .base import discard, materialize, release
 from .components import components
 
 SHINGLE = 5
@@ -85,6 +85,7 @@ SKETCH = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.I
 
 @F.pandas_udf(SKETCH)
 def sketch_udf(texts: pd.Series) -> pd.DataFrame:
+    release()
     sets = map(shingles, texts)
     return pd.DataFrame([(name(s), len(s), fingerprint(s), bands(s)) for s in sets], columns=["fp", "n", "print", "bands"]).astype({"fp": "int64", "n": "int32", "print": "int64"})
 
@@ -96,6 +97,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 @F.pandas_udf(T.BooleanType())
 def similar_udf(left: pd.Series, right: pd.Series) -> pd.Series:
+    release()
     last, found, out = None, None, []
     for a, b in zip(left, right, strict=True):
         if a != last:
@@ -106,6 +108,7 @@ def similar_udf(left: pd.Series, right: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def difference_udf(left: pd.Series, right: pd.Series) -> pd.Series:
+    release()
     last, found, out = None, None, []
     for a, b in zip(left, right, strict=True):
         if a != last:

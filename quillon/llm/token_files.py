@@ -21,6 +21,7 @@ id are ordered by a hash of their text; extra columns are ignored; an empty tabl
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -39,7 +40,8 @@ LENGTH = 2048
 SEQUENCES_PER_BATCH = 64
 MAX_PIECES = 1_000_000
 GROUP_BYTES = 1 << 23
-LETTERS_AT_ONCE = 4096
+AT_ONCE = 4096
+GATHERED_AT_ONCE = 1 << 17
 END_ID = 2
 
 #: How a tokenizer is described whose words can be encoded piece by piece.
@@ -86,6 +88,7 @@ class PieceEncoder:
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core, and each thread keeps memory of its own
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.by_pieces = by_pieces(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -113,14 +116,19 @@ class PieceEncoder:
         self.used = np.concatenate([self.used, np.ones(len(sizes), bool)])
 
     def _add_one_by_one(self, pieces: pa.Array) -> None:
-        lists = self._ids(pieces.to_pylist())
-        self._add(pieces, np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
+        """Some pieces at a time: what the tokenizer returns for one takes a hundred times its bytes."""
+        ids, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for at in range(0, len(pieces), AT_ONCE):
+            lists = self._ids(pieces.slice(at, AT_ONCE).to_pylist())
+            ids.append(np.fromiter(chain.from_iterable(lists), self.dtype))
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        self._add(pieces, np.concatenate(ids), np.concatenate(sizes))
 
     def _add_letters(self, pieces: pa.Array) -> None:
         """Pieces of letters only, many at a time with spaces between: each ends with the one token of its
         that ends a word. Where that isn't so, they are encoded one by one."""
-        for at in range(0, len(pieces), LETTERS_AT_ONCE):
-            part = pieces.slice(at, LETTERS_AT_ONCE)
+        for at in range(0, len(pieces), AT_ONCE):
+            part = pieces.slice(at, AT_ONCE)
             ids = np.concatenate([np.array(x, np.int64) for x in self._ids([" ".join(part.slice(i, 256).to_pylist()) for i in range(0, len(part), 256)])])
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(part):
@@ -172,9 +180,14 @@ class PieceEncoder:
             rows = self._rows(coded.dictionary)
         self.used[rows] = True
         rows = rows[coded.indices.to_numpy(zero_copy_only=False)]
+        del coded
         sizes = np.diff(self.first)[rows]
         before = np.append(0, np.cumsum(sizes))  # ids before each piece
-        return self.ids[_spans(self.first[rows], sizes)], np.diff(before[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+        ids = np.empty(before[-1], self.dtype)
+        for at in range(0, len(rows), GATHERED_AT_ONCE):
+            part = slice(at, at + GATHERED_AT_ONCE)
+            ids[before[at] : before[min(at + GATHERED_AT_ONCE, len(rows))]] = self.ids[_spans(self.first[rows[part]], sizes[part])]
+        return ids, np.diff(before[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
 def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -2,12 +2,14 @@ import hashlib
 import random
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, exact_dedup, mixing, token_files
+from quillon.llm import base, chat, decontam, exact_dedup, mixing, token_files
 from quillon.llm.queries import tokenizer_path
 
 ROWS = [
@@ -204,3 +206,31 @@ def test_workers_give_memory_back_between_groups(monkeypatch):
     assert spans.tolist() == [5, 6, 7, 9, 10, 2**31 + 7, 2**31 + 8] and spans.dtype == np.int64
     spans = token_files._spans(first[:3], sizes[:3])
     assert spans.tolist() == [5, 6, 7, 9, 10] and spans.dtype == np.int32 and not len(token_files._spans(first[:0], sizes[:0]))
+
+
+def test_encoder_takes_bounded_slices(monkeypatch):
+    monkeypatch.setattr(token_files, "GATHERED_AT_ONCE", 50, raising=False)
+    monkeypatch.setattr(token_files, "AT_ONCE", 20, raising=False)
+    spans, given, gathered = token_files._spans, [], []
+    monkeypatch.setattr(token_files, "_spans", lambda first, sizes: gathered.append(len(first)) or spans(first, sizes))
+    encoder = token_files.PieceEncoder(tokenizer_path(), "uint16")
+    ids = encoder._ids
+    encoder._ids = lambda pieces: given.append(len(pieces)) or ids(pieces)
+    texts = [" ".join(f"{i}x{j}" for j in range(i % 7)) for i in range(300)] + ["", "one, two. three", "x" * 500]
+    for _ in range(2):
+        gathered.clear()
+        found, sizes = encoder.encode(pa.array(texts))
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert found.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+        assert 1 < len(gathered) and max(gathered) <= 50
+    assert max(given) <= 20
+
+
+def test_release_gives_back_what_the_allocator_keeps():
+    kept = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    blocks = [np.ones(5_000) for _ in range(5_000)]  # 200 MB in blocks that the allocator keeps
+    last = np.ones(5_000)
+    full = kept()
+    blocks.clear()
+    base.release()
+    assert full - kept() > 150e6 and len(last)
