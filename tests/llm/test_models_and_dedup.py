@@ -261,3 +261,53 @@ def test_toxicity_of_held_out_texts(spark):
     assert len({round(r.toxicity, 12) for r in toxicity.score(odd, model).collect()}) == 1
     unlabelled = toxicity.fit(docs.limit(5), labels.limit(0))
     assert [r.toxicity < 0.5 for r in toxicity.score(odd, unlabelled).collect()] == [True] * 4
+
+
+def test_pieces_of_many_texts_and_their_gradients():
+    rng = random.Random(8)
+    alphabet = "aB3é日 \n+=.:" + "abc" * 4
+    texts = ["", "x", "a" * 130, "password=abcdefgh " + "y" * 90, "token: Zz/9+.-=" + "f" * 41]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(200))) + rng.choice(["", "token=abc123 later", "AKIA" + "B" * 16]) for _ in range(60)]
+    codes, begins, a, b, low, high, label = secrets.all_labelled(texts)
+    of = np.searchsorted(begins, a, side="right") - 1
+    got = list(zip(of.tolist(), (a - begins[of]).tolist(), (b - begins[of]).tolist(), label.tolist(), strict=True))
+    assert got == [(i, *x) for i, t in enumerate(texts) for x in secrets.labelled(t)] and set(label) == set(range(5))
+    net = secrets.Network.new(np.random.default_rng(1))
+    x = np.stack([secrets.encode(texts[i], s, e) for i, s, e, _ in got])
+    assert np.allclose(net.range_logits(codes, low, high), net.logits(x), atol=1e-3)
+    sums = net.range_gradients(codes, low, high, label)
+
+    def loss(n):
+        z, y = n.logits(x), label == secrets.FINDING
+        return np.array([(np.logaddexp(0, z) - y * z)[label == c].sum() for c in range(5)])
+
+    for i in rng.sample(range(8, sums.shape[1]), 40):
+        step = np.zeros(sums.shape[1])
+        step[i] = 1e-5
+        slope = (loss(net.moved(-step)) - loss(net.moved(step))) / 2e-5
+        assert np.allclose(slope, sums[:, i], atol=1e-2 * (1 + np.abs(slope).max()))
+
+
+def test_secrets_learn_from_all_documents(spark, monkeypatch):
+    """Documents beyond the bounded set of the start move the weights, and all held-out pieces count for the threshold."""
+    monkeypatch.setattr(secrets, "MAX_DOCS", 300)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.filter("text is not null").withColumn("order", F.xxhash64("text"))
+    last = rows.select("order").orderBy("order").limit(300).agg(F.max("order")).first()[0]
+    beyond = rows.filter((F.col("order") > last) & (F.pmod("order", F.lit(3)) != 0)).collect()
+    plain = [r.doc_id for r in beyond if not secrets.rule_spans(r.text)]
+    assert len(plain) > 100
+    net = secrets.train(docs)
+    less = secrets.train(docs.filter(~F.col("doc_id").isin(plain)))
+    assert not np.allclose(net.conv, less.conv, atol=1e-6)
+    held = [r.text for r in rows.filter(F.pmod("order", F.lit(3)) == 0).collect()]
+    *_, low, high, label = found = secrets.all_labelled(held)
+    counted = secrets.held_out(rows, net)
+    n_found = int((label == secrets.FINDING).sum())
+    assert n_found and counted["n"].sum() == len(label) + 2 * secrets.VARIANTS * n_found
+    y = counted["y"].to_numpy(bool)
+    assert counted["n"][y].sum() == (1 + secrets.VARIANTS) * n_found
+    p = net._scaled(counted["bin"].to_numpy() * secrets.GRID)
+    share = lambda t: counted["n"][y & (p >= t)].sum() / counted["n"][y].sum()
+    assert share(net.threshold) >= secrets.RECALL > share(np.nextafter(net.threshold, 2))
+    assert np.bincount(label, minlength=5)[:3].sum() and len(found) == 7
