@@ -40,7 +40,7 @@ from .base import discard, materialize
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-KEYWORDS = ("password", "passwd", "secret", "token", "api")
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "cnn")
 
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
@@ -144,9 +144,9 @@ class Network:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return self._scaled(self.logits(x))
 
-    def range_top(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    def range_top(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray, places: bool = False) -> Iterator[tuple[slice, np.ndarray, np.ndarray | None]]:
         """Of pieces with context codes[low:high], low ascending, SPAN to WIDTH long, some at a time: the largest value of each
-        filter without its bias, and the place where it is. The last seven bits of a value hold its place, which tells all
+        filter without its bias and, if wanted, the place where it is. Then the last seven bits of a value hold its place, which tells all
         windows of a piece apart, so that tables of ranges give both."""
         parts = self.conv.reshape(self.SPAN, -1, self.conv.shape[1])
         by = [(self.embed @ p).astype(np.float32) for p in parts]
@@ -162,9 +162,10 @@ class Network:
             z = two[0][pair[:n]]
             z += two[1][pair[2 : n + 2]]
             z += by[4][c[4 : n + 4]]
-            bits = z.view(np.int32)
-            bits &= ~127
-            bits |= (np.arange(n, dtype=np.int32) & 127)[:, None]
+            if places:
+                bits = z.view(np.int32)
+                bits &= ~127
+                bits |= (np.arange(n, dtype=np.int32) & 127)[:, None]
             first, last = low[i:j] - at, high[i:j] - self.SPAN + 1 - at  # windows first to last - 1
             top, width, power = np.empty((j - i, z.shape[1]), np.float32), last - first, 1
             while True:
@@ -174,8 +175,7 @@ class Network:
                 if not (width >= 2 * power).any():
                     break
                 z, power = np.maximum(z[:-power], z[power:]), 2 * power  # z[p]: the maximum from p over `power` windows
-            place = first[:, None] + ((top.view(np.int32) - first[:, None]) & 127)
-            yield slice(i, j), top, at + place
+            yield slice(i, j), top, at + first[:, None] + ((top.view(np.int32) - first[:, None]) & 127) if places else None
 
     def range_logits(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """As logits(), for pieces in a text."""
@@ -192,7 +192,7 @@ class Network:
         filters = self.conv.shape[1]
         by_code = np.zeros((LABELS, self.SPAN, N_CODES * filters))  # of what a character adds to a filter at each place of a window
         bias, out = np.zeros((LABELS, filters)), np.zeros((LABELS, filters + 1))
-        for which, top, place in self.range_top(codes, low, high):
+        for which, top, place in self.range_top(codes, low, high, True):
             top = np.maximum(top + self.bias, 0)
             of = label[which]
             d = 1 / (1 + np.exp(-np.clip(top @ self.out[:-1] + self.out[-1], -50, 50))) - (of == FINDING)
@@ -411,6 +411,7 @@ def held_out(rows: DataFrame, network: Network) -> pd.DataFrame:
 
     def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            seen = []
             for first in range(0, len(b), TEXTS_AT_ONCE):
                 part = b.iloc[first : first + TEXTS_AT_ONCE]
                 codes, begins, a, e, low, high, label = all_labelled(part["text"].tolist())
@@ -424,8 +425,9 @@ def held_out(rows: DataFrame, network: Network) -> pd.DataFrame:
                     keys, beside = variants(np.repeat((e - a)[here[label[here] == FINDING]], VARIANTS).tolist(), others, rng)
                     s += [network.logits(keys), network.logits(beside)]
                     y += [np.ones(len(keys), bool), np.zeros(len(beside), bool)]
-                found = pd.DataFrame({"y": np.concatenate(y), "bin": np.floor(np.concatenate(s) / GRID).astype(np.int64)})
-                yield found.groupby(["y", "bin"]).size().rename("n").reset_index()
+                seen.append(np.floor(np.concatenate(s) / GRID).astype(np.int64) * 2 + np.concatenate(y))
+            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *seen]), return_counts=True)
+            yield pd.DataFrame({"y": found % 2 == 1, "bin": found // 2, "n": n})
 
     return rows.filter(F.pmod("order", F.lit(3)) == 0).mapInPandas(logits, "y boolean, bin long, n long").groupBy("y", "bin").agg(F.sum("n").alias("n")).orderBy("y", "bin").toPandas()
 
