@@ -35,6 +35,8 @@ MAX_ROWS = 20_000
 MAX_BYTES = 1 << 27
 LONGEST = 5
 GROUP_BYTES = 1 << 22
+#: Units that are named together.
+NAMED_AT_ONCE = 1 << 16
 UNKNOWN = "und"
 BEGIN, END = "\x02", "\x03"
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -158,11 +160,14 @@ def _table(counts: pa.Table, langs: list[str], n: int) -> tuple[np.ndarray, np.n
     """Log frequencies, add-half smoothed, in the order of the units' names."""
     rows = counts.filter(pc.equal(counts["n"], n))
     units = rows["unit"].combine_chunks() if len(rows) else pa.array([], pa.string())
-    named = grams(units, n)[0] if n else names(units)
-    number = np.stack([rows[f"lang{k}"].to_numpy() for k in range(len(langs))], axis=1).astype(np.float64)
-    logs = np.log((number + 0.5) / (number.sum(axis=0) + 0.5 * len(number))) if len(number) else number
+    parts = [units.slice(at, NAMED_AT_ONCE) for at in range(0, len(units), NAMED_AT_ONCE)]
+    named = np.concatenate([np.zeros(0, np.uint64), *(grams(part, n)[0] if n else names(part) for part in parts)])
     order = np.argsort(named)
-    return named[order], logs[order].astype(np.float32)
+    logs = np.zeros((len(order), len(langs)), np.float32)
+    for k in range(len(langs) if len(order) else 0):
+        number = rows[f"lang{k}"].to_numpy().astype(np.float64)
+        logs[:, k] = np.log((number + 0.5) / (number.sum() + 0.5 * len(number)))[order]
+    return named[order], logs
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
@@ -186,7 +191,10 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTE
     sums = [F.sum(f"lang{k}").alias(f"lang{k}") for k in range(len(langs))]
     units = by_word.select(F.explode(_units(F.col("unit"))).alias("u"), *[f"lang{k}" for k in range(len(langs))])
     counts = units.groupBy("u.n", "u.unit").agg(*sums).toArrow()  # of max_bytes of text
-    return Model(langs, [_table(counts, langs, n) for n in range(LONGEST + 1)])
+    model = Model(langs, [_table(counts, langs, n) for n in range(LONGEST + 1)])
+    del counts
+    release()  # the driver lives on, beside what the later stages take
+    return model
 
 
 def predictor(model: Model, docs: DataFrame):

@@ -311,3 +311,24 @@ def test_secrets_learn_from_all_documents(spark, monkeypatch):
     share = lambda t: counted["n"][y & (p >= t)].sum() / counted["n"][y].sum()
     assert share(net.threshold) >= secrets.RECALL > share(np.nextafter(net.threshold, 2))
     assert np.bincount(label, minlength=5)[:3].sum() and len(found) == 7
+
+
+def test_language_tables_take_little_of_the_driver(spark, monkeypatch):
+    """What the driver's Python takes beside the model stays small while units are named, and is given back after the fit."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 200_000
+    units = pa.table({"n": np.zeros(n, np.int32), "unit": [f"unit{k:06}" for k in range(n)], **{f"lang{k}": np.arange(n) for k in range(4)}})
+    tracemalloc.start()
+    named, logs = langid._table(units, list("abcd"), 0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(named.tolist())) == n and logs.shape == (n, 4) and most < 35e6
+    order = np.argsort(langid.names(pa.array([f"unit{k:06}" for k in range(n)])))
+    assert (named == langid.names(pa.array([f"unit{k:06}" for k in order]))).all() and (logs[:, 1] == np.log((order + 0.5) / (order.sum() + 0.5 * n)).astype(np.float32)).all()
+    released = []
+    monkeypatch.setattr(langid, "release", lambda: released.append(1))
+    model = langid.fit(spark.createDataFrame([(1, "one two", "en"), (2, "eins zwei", "de")], "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"] and len(model.tables[0][0]) == 4 and released
