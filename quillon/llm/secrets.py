@@ -47,7 +47,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 MIN_CANDIDATE = 6
 LEFT, BODY, RIGHT, STEP = 24, 40, 8, 20
-BLOCK = 32_768
+#: Characters whose tables are looked at together, so that they stay in a core's cache (a multiple of 128), and pieces whose gradients are added up together.
+BLOCK, SUMMED_AT_ONCE = 8_192, 8_192
 WIDTH = LEFT + BODY + RIGHT
 MAX_DOCS = 20_000
 MAX_CANDIDATES = 2_000
@@ -159,9 +160,9 @@ class Network:
             c = codes[at : at + BLOCK + WIDTH].astype(np.int32)
             pair = c[:-1] * N_CODES + c[1:]
             n = len(c) - self.SPAN + 1
-            z = two[0][pair[:n]]
-            z += two[1][pair[2 : n + 2]]
-            z += by[4][c[4 : n + 4]]
+            z = two[0].take(pair[:n], axis=0)
+            z += two[1].take(pair[2 : n + 2], axis=0)
+            z += by[4].take(c[4 : n + 4], axis=0)
             if places:
                 bits = z.view(np.int32)
                 bits &= ~127
@@ -187,24 +188,35 @@ class Network:
     def range_probability(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return self._scaled(self.range_logits(codes, low, high))
 
+    def _places(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """range_top() with places, by SUMMED_AT_ONCE pieces or somewhat more."""
+        held, begin = [], 0
+        for which, top, place in self.range_top(codes, low, high, True):
+            held.append((top, place))
+            if which.stop - begin >= SUMMED_AT_ONCE or which.stop == len(low):
+                yield slice(begin, which.stop), *map(np.concatenate, zip(*held, strict=True))
+                held, begin = [], which.stop
+
     def range_gradients(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray, label: np.ndarray) -> np.ndarray:
         """Sums of the gradients of the log loss, a row a label: of embed, conv, bias and out, one after the other."""
         filters = self.conv.shape[1]
-        by_code = np.zeros((LABELS, self.SPAN, N_CODES * filters))  # of what a character adds to a filter at each place of a window
+        by_code = np.zeros((self.SPAN, LABELS * N_CODES * filters))  # of what a character adds to a filter at each place of a window
         bias, out = np.zeros((LABELS, filters)), np.zeros((LABELS, filters + 1))
-        for which, top, place in self.range_top(codes, low, high, True):
+        for which, top, place in self._places(codes, low, high):
             top = np.maximum(top + self.bias, 0)
             of = label[which]
             d = 1 / (1 + np.exp(-np.clip(top @ self.out[:-1] + self.out[-1], -50, 50))) - (of == FINDING)
             dtop = np.outer(d, self.out[:-1]) * (top > 0)
+            moving = np.flatnonzero(dtop)  # the others add nothing
+            row, nth_filter = np.divmod(moving, filters)
+            at, where, value = of[row] * (N_CODES * filters) + nth_filter, place.ravel().take(moving), dtop.ravel().take(moving)
+            for nth in range(self.SPAN):
+                by_code[nth] += np.bincount(at + codes.take(where + nth).astype(np.int64) * filters, value, by_code.shape[1])
             for c in np.unique(of):
                 k = of == c
-                for nth in range(self.SPAN):
-                    at = codes[place[k] + nth].astype(np.int64) * filters + np.arange(filters)
-                    by_code[c, nth] += np.bincount(at.ravel(), dtop[k].ravel(), N_CODES * filters)
                 bias[c] += dtop[k].sum(axis=0)
                 out[c] += np.append(top[k].T @ d[k], d[k].sum())
-        by_code = by_code.reshape(LABELS, self.SPAN, N_CODES, filters)
+        by_code = by_code.reshape(self.SPAN, LABELS, N_CODES, filters).swapaxes(0, 1)
         parts = self.conv.reshape(self.SPAN, -1, filters)
         embed = np.einsum("lscf,sdf->lcd", by_code, parts)
         embed[:, 0] = 0

@@ -332,3 +332,27 @@ def test_language_tables_take_little_of_the_driver(spark, monkeypatch):
     monkeypatch.setattr(langid, "release", lambda: released.append(1))
     model = langid.fit(spark.createDataFrame([(1, "one two", "en"), (2, "eins zwei", "de")], "doc_id long, text string, lang string"))
     assert model.langs == ["de", "en"] and len(model.tables[0][0]) == 4 and released
+
+
+def test_network_reads_texts_in_blocks_that_fit_a_cache(monkeypatch):
+    """The tables of a long text are small, and neither its blocks nor the groups of pieces change what comes out."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh XY01 ") for _ in range(60_000)) + " token=abcdef0123456789 ", "x" * 9_000]
+    codes, _, _, _, low, high, label = secrets.all_labelled(texts)
+    net = secrets.Network.new(np.random.default_rng(1))
+    net.range_logits(codes, low, high)
+    tracemalloc.start()
+    for _ in net.range_top(codes, low, high):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6e6
+    logits, sums = net.range_logits(codes, low, high), net.range_gradients(codes, low, high, label)
+    for block, at_once in ((1 << 17, 1 << 20), (256, 1), (1_024, 100)):
+        monkeypatch.setattr(secrets, "BLOCK", block)
+        monkeypatch.setattr(secrets, "SUMMED_AT_ONCE", at_once)
+        assert np.allclose(net.range_logits(codes, low, high), logits, atol=1e-9)
+        assert np.allclose(net.range_gradients(codes, low, high, label), sums, atol=1e-9)
+    assert not net.range_gradients(codes, low[:0], high[:0], label[:0]).any()
