@@ -13,6 +13,9 @@ from ..model import ORD, KeyedTable, Meta, UnknownField, find_name, keyed, quote
 from .aggregate import merge_by_key
 from .reshape import reorder, slice_fields, to_shape
 
+#: Rows of either side that meet in one cell of join_in_cells().
+ROWS_PER_CELL = 1024
+
 
 def match_keys(source: KeyedTable, other: KeyedTable, match_key: str | None = None, other_key: str | None = None) -> tuple[str, str]:
     """The columns that two tables are joined by: as named, else the other's key if source has it, else
@@ -186,6 +189,36 @@ def paste_stored(spark: SparkSession, names: Sequence[str], key: str, prefixes:
     return reduce(DataFrame.unionByName, out)
 
 
+def join_in_cells(left: DataFrame, right: DataFrame, on: Sequence[str], counts: DataFrame | None = None, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """The inner join by equal names, for keys that many rows of both sides share, so that there are far more pairs than rows. Either side's rows of a
+    key are cut by their hash into parts of about rows_per_cell, and each part of one side meets each of the other in a cell of its own: tasks share out even a
+    single key. The right rows of a cell are one list, as many as a task holds at a time. The keys of several parts, fewer than one in rows_per_cell rows, are broadcast.
+    counts: on and __n, the left rows of each key, where something cheaper than left itself tells them. The sides have no other name in common."""
+    own = [c for c in right.columns if c not in on]
+    if not own:
+        return left.join(right, list(on))
+
+    def parts(counted: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.col("__n") / rows_per_cell).cast("int")
+        return F.broadcast(counted.filter(F.col("__n") > rows_per_cell).select(*map(quoted, on), n.alias(name)))
+
+    def count(df: DataFrame) -> DataFrame:
+        return df.groupBy(*map(quoted, on)).agg(F.count("*").alias("__n"))
+
+    many = parts(count(left) if counts is None else counts, "__left"), parts(count(right), "__right")
+    cell, n = [*on, "__left", "__right"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, side: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*map(quoted, df.columns)), F.coalesce(side, F.lit(1))).cast("int")
+        for counted in many:
+            df = df.join(counted, list(on), "left")
+        df = df.withColumn(side, part).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return df.repartition(n, *map(quoted, cell))  # a fixed number, else the sides, which are small, end up in one task
+
+    lists = dealt(right, "__right", "__left").groupBy(*map(quoted, cell)).agg(F.collect_list(F.struct(*map(quoted, own))).alias("__rows"))
+    return dealt(left, "__left", "__right").join(lists, cell).select(*map(quoted, left.columns), F.inline("__rows"))
+
+
 def value_pairs(t: KeyedTable, target: str = ":key", fields: Sequence[str] | None = None) -> DataFrame:
     """value, target, position, order: what each value of the chosen columns points at. All columns,
     the target first, if none are named."""

@@ -35,6 +35,7 @@ from . import graph
 from .enrichment import enrichment
 from .entity import typed
 from .filters import info_condition
+from .joins import join_in_cells
 from .translate import NoPath, translate_column, translation_index
 
 Source = KeyedTable | Callable[[], KeyedTable] | str
@@ -331,19 +332,35 @@ class _Traversal:
         return Answer(self.bound, self._groups() if with_paths else [])
 
     def _groups(self) -> list[DataFrame]:
-        """The natural join of each connected group of rules. A rule without variables is a condition on all groups: it has
-        one row or none."""
+        """The natural join of each connected group of rules, columns in the order in which rules name them. A rule without variables is a condition on all groups: it has
+        one row or none. The rules are joined from the last, as each has been
+        narrowed to what earlier ones left. They are sets, so their join is one without a look at its rows."""
         facts = [s for s in self.steps if s.columns == ["__met"]]
         todo, groups = [s for s in self.steps if s.columns != ["__met"]], []
+        columns = list(dict.fromkeys(c for s in todo for c in s.columns))
         while todo:
-            left = todo.pop(0)
-            while (nth := next((k for k, s in enumerate(todo) if set(s.columns) & set(left.columns)), None)) is not None:
+            joined = [left := todo.pop()]
+            while (nth := next((k for k in reversed(range(len(todo))) if set(todo[k].columns) & set(left.columns)), None)) is not None:
                 step = todo.pop(nth)
-                left = left.join(step, [c for c in step.columns if c in left.columns])
+                on = [c for c in step.columns if c in left.columns]
+                left = join_in_cells(left, step, on, _counts(joined, on))
+                joined.append(step)
             for fact in facts:
                 left = left.join(F.broadcast(fact), F.col("__met"), "left_semi")
-            groups.append(left.select(*map(quoted, left.columns)).distinct())
-        return groups or facts[:1]
+            groups.append(left.select(*[quoted(c) for c in columns if c in left.columns]))
+        return sorted(groups, key=lambda g: columns.index(g.columns[0])) or facts[:1]
+
+
+def _counts(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """keys, __n: the rows of the natural join of tables for each key, from counts of each table instead of that join. Each table shares a column with those before."""
+    found = None
+    for i, t in enumerate(tables):
+        wanted = {*keys, *(c for later in tables[i + 1 :] for c in later.columns)}
+        shared = [c for c in t.columns if i and c in found.columns]
+        t = t.groupBy(*[quoted(c) for c in t.columns if c in wanted or c in shared]).agg(F.count("*").cast("double").alias("__m"))
+        found = found.join(t, shared) if i else t.withColumn("__n", F.lit(1.0))
+        found = found.groupBy(*[quoted(c) for c in found.columns if c in wanted]).agg(F.sum(F.col("__n") * F.col("__m")).alias("__n"))
+    return found
 
 
 def edge_table(kb: KnowledgeBase, name: str) -> DataFrame:

@@ -190,6 +190,39 @@ def test_traverse(kb):
     assert "Siblings" in kb.describe() and kb.info("brothers")["undirected"]
 
 
+def test_join_in_cells_is_the_join(spark):
+    left = spark.createDataFrame([("a" if i % 5 else "b", i // 2, 0) for i in range(60)] + [(None, 1, 0), ("c", 1, 0)], "k string, l int, n int")
+    right = spark.createDataFrame([("a" if i % 3 else "b", i // 2) for i in range(40)] + [(None, 1), ("d", 1)], "k string, r int")
+    pairs_of = lambda df: sorted(map(tuple, df.collect()))
+    counts = left.groupBy("k").agg(F.count("*").alias("__n"))
+    for found in (joins.join_in_cells(left, right, ["k"], rows_per_cell=7), joins.join_in_cells(left, right, ["k"], counts, 7), joins.join_in_cells(left, right, ["k"])):
+        assert pairs_of(found) == pairs_of(left.join(right, "k"))
+    assert pairs_of(joins.join_in_cells(left, right.select("k"), ["k"], rows_per_cell=7)) == pairs_of(left.join(right.select("k"), "k"))
+
+
+def trade(spark, customers=4000, nations=2):
+    """Customers and suppliers of a few nations, nation 0 in region 0 and the others in region 1."""
+    kb = KnowledgeBase(spark, "trade")
+    numbered = lambda n: spark.range(n).select(F.concat(F.lit("e"), "id").alias("a"), (F.col("id") % nations).cast("string").alias("b"))
+    for name, df in (("lives_in", numbered(customers)), ("ships_from", numbered(30)), ("part_of", spark.range(nations).selectExpr("string(id) as a", "if(id = 0, '0', '1') as b"))):
+        kb.register(name, keyed(df, "a", shape="list"), source="a", target="b")
+    return kb
+
+
+def test_paths_of_one_entity_are_shared_out(spark):
+    """All paths of a group of rules that meet in one entity are more than a task should make."""
+    found = trade(spark, nations=1).traverse("?s ships_from ?n\n?c lives_in ?n").paths
+    assert found.distinct().count() == found.count() == 4000 * 30 and found.columns == ["?s", "?n", "?c"]
+    shares = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 1 and max(shares) < 4000 * 30
+
+
+def test_paths_along_a_chain_of_rules(spark):
+    kb = trade(spark, customers=2500)
+    found = kb.traverse("?s ships_from ?n\n?c lives_in ?n\n?n part_of ?r\n?m part_of ?r").paths
+    assert sorted(map(tuple, found.groupBy("?n", "?r", "?m").count().collect())) == [(n, n, n, 1250 * 15) for n in "01"]
+
+
 def test_subset_reports_a_pair_once(kb):
     assert pairs(kb.subset("brothers", ["Isa", "Miki"])) == {("Miki", "Isa")}
 
