@@ -333,11 +333,17 @@ class _Traversal:
 
     def _groups(self) -> list[DataFrame]:
         """The natural join of each connected group of rules, columns in the order in which rules name them. A rule without variables is a condition on all groups: it has
-        one row or none. The rules are joined from the last, as each has been
+        one row or none. A rule whose variables another one has, too, is a condition on that one. The others are joined from the last, as each has been
         narrowed to what earlier ones left. They are sets, so their join is one without a look at its rows."""
         facts = [s for s in self.steps if s.columns == ["__met"]]
         todo, groups = [s for s in self.steps if s.columns != ["__met"]], []
         columns = list(dict.fromkeys(c for s in todo for c in s.columns))
+        for i in sorted(range(len(todo)), key=lambda i: len(todo[i].columns)):
+            wider = [k for k, s in enumerate(todo) if k != i and s is not None and set(todo[i].columns) <= set(s.columns)]
+            for k in wider:
+                todo[k] = todo[k].join(todo[i], todo[i].columns, "left_semi")
+            todo[i] = None if wider else todo[i]
+        todo = [s for s in todo if s is not None]
         while todo:
             joined = [left := todo.pop()]
             while (nth := next((k for k in reversed(range(len(todo))) if set(todo[k].columns) & set(left.columns)), None)) is not None:
